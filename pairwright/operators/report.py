@@ -55,7 +55,8 @@ def match_summary(games: DataFrame, white: str = "white", black: str = "black",
 
 def progress(df: DataFrame, ts: str = "ts", target: int = TARGET_SAMPLES) -> DataFrame:
     """A7 (D23): samples of this run, elapsed seconds, rate, remaining hours."""
-    secs = F.unix_micros(F.max(ts)) / 1e6 - F.unix_micros(F.min(ts)) / 1e6
+    t = F.col(ts).cast("timestamp")
+    secs = F.unix_micros(F.max(t)) / 1e6 - F.unix_micros(F.min(t)) / 1e6
     out = df.agg(F.count(F.lit(1)).cast("bigint").alias("samples"), secs.alias("seconds"))
     rate = F.try_divide(F.col("samples"), F.col("seconds"))
     remaining = F.greatest(F.lit(0), F.lit(target) - F.col("samples"))

@@ -1,4 +1,4 @@
 """Registered queries (importing the query modules fills the registry)."""
 
-from . import q_docs, q_games  # noqa: F401
+from . import q_docs, q_events, q_games  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
