@@ -175,16 +175,18 @@ def backoff_lookup(prompts: DataFrame, model: DataFrame, moves: str = "moves",
                .select(key, "b.ctx_len", "b.ctx")
 
 
-def propose(prompts: DataFrame, model: DataFrame, moves: str = "moves", key: str = "position_id",
-            n: int = N_SAMPLES, k: int = TOP_K, p: float = TOP_P, t: float = TEMPERATURE,
-            penalty: float = REPETITION_PENALTY, seed: int = 42, max_ctx: int = 3) -> DataFrame:
-    """M2: n sampled next moves per prompt (penalty, temperature, top-k, top-p).
+def proposal_distribution(prompts: DataFrame, model: DataFrame, moves: str = "moves",
+                          key: str = "position_id", k: int = TOP_K, p: float = TOP_P,
+                          t: float = TEMPERATURE, penalty: float = REPETITION_PENALTY,
+                          max_ctx: int = 3) -> DataFrame:
+    """Next-move distribution of each prompt after penalty, temperature, top-k, top-p.
 
     Exact top-k under the penalty without scanning whole contexts: only tokens
     of the prompt can drop in rank, so the k best after re-weighting lie in the
     raw ranks 1 .. k + s, where s = prompt tokens found in the context.  Those
-    ranks are exploded per prompt and equi-joined on (ctx, rank).
-    Output: key, draw, next.
+    ranks are exploded per prompt and equi-joined on (ctx, rank), so a prompt
+    that backs off to the unigram context reads k + s rows, not the vocabulary.
+    Output: key, next, prob.
     """
     ctx = backoff_lookup(prompts, model, moves, key, max_ctx)
     # Raw rank inside each context by a distributed sort (a unigram context
@@ -202,5 +204,12 @@ def propose(prompts: DataFrame, model: DataFrame, moves: str = "moves", key: str
                      [key, "next"], "left")
     cand = reweight(cand.select(key, "next", "prob", "in_prompt"), t, penalty, keys=(key,))
     cand = top_k(cand, k, keys=(key,), score="prob").drop("rank")
-    cand = renormalise(nucleus(renormalise(cand, (key,)), p, (key,)), (key,))
-    return sample_n(cand, n, seed, (key,))
+    return renormalise(nucleus(renormalise(cand, (key,)), p, (key,)), (key,))
+
+
+def propose(prompts: DataFrame, model: DataFrame, moves: str = "moves", key: str = "position_id",
+            n: int = N_SAMPLES, k: int = TOP_K, p: float = TOP_P, t: float = TEMPERATURE,
+            penalty: float = REPETITION_PENALTY, seed: int = 42, max_ctx: int = 3) -> DataFrame:
+    """M2: n sampled next moves per prompt.  Output: key, draw, next."""
+    dist = proposal_distribution(prompts, model, moves, key, k, p, t, penalty, max_ctx)
+    return sample_n(dist, n, seed, (key,))

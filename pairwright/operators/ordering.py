@@ -23,8 +23,15 @@ def _cols(cols) -> list[Column]:
 
 
 def global_row_number(df: DataFrame, order, name: str = "rn",
-                      partitions: int | None = None, materialize: bool = False) -> DataFrame:
-    """Add ``name`` = 1..N following ``order`` (which must be a total order)."""
+                      partitions: int | None = None, materialize: bool = True) -> DataFrame:
+    """Add ``name`` = 1..N following ``order`` (which must be a total order).
+
+    The sorted, id-tagged rows are read twice (counts and numbering); rows
+    arrive from a shuffle in no fixed order, so two evaluations could place
+    them differently.  ``materialize`` (default) writes them once to the
+    shared checkpoint folder so both reads see the same partitions, and a
+    lost executor cannot change them either.
+    """
     order = _cols(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)

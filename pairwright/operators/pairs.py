@@ -37,13 +37,13 @@ def legal_only(cands: DataFrame, legal: DataFrame, keys=("position_id", "san"))
 
 
 def first_legal(cands: DataFrame, legal: DataFrame, key: str = "position_id",
-                name: str = "move") -> DataFrame:
+                name: str = "move", keys=None) -> DataFrame:
     """J2 (+F13): first legal candidate per position in (text_no, cand_no) order.
 
     ``min_by`` is a partial aggregate; positions without a legal candidate
     disappear, as the reference's ``None`` results do.
     """
-    ok = legal_only(cands, legal, (key, "san"))
+    ok = legal_only(cands, legal, keys or (key, "san"))
     return ok.groupBy(key).agg(F.min_by("san", F.struct("text_no", "cand_no")).alias(name))
 
 
