@@ -52,7 +52,9 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, moves: str = "moves",
     n = F.size("_ids")
     return out.select(
         key,
-        F.concat("_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), F.lit(length) - n)).alias("input_ids"),
+        # elements are never null: the declared schema says so (containsNull=False)
+        F.transform(F.concat("_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), F.lit(length) - n)),
+                    lambda x: F.coalesce(x, F.lit(pad_id).cast("bigint"))).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1).cast("bigint"), n),
                  F.array_repeat(F.lit(0).cast("bigint"), F.lit(length) - n)).alias("attention_mask"),
         n.cast("bigint").alias("n_tokens"))
