@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns of the game-record text format.
-TAG_PATTERN = r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]'
+TAG_PATTERN = r'(?m)^\[(\w+) "([^"\\]*(?:\\.[^"\\]*)*)"\]'
 COMMENT_PATTERN = r"\{[^}]*\}|;[^\n]*"
 NAG_PATTERN = r"\$\d+"
 RESULT_TOKENS = ["1-0", "0-1", "1/2-1/2", "*"]
@@ -32,7 +32,9 @@ def parse_headers(text) -> Column:
     t = _c(text)
     keys = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 1)
     vals = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 2)
-    vals = F.transform(vals, lambda v: F.regexp_replace(v, r'\\(["\\])', "$1"))
+    # unescaping is a per-element lambda: only records holding a backslash pay for it
+    vals = F.when(t.contains("\\"), F.transform(vals, lambda v: F.regexp_replace(v, r'\\(["\\])', "$1"))) \
+            .otherwise(vals)
     return F.map_from_arrays(keys, vals)
 
 
@@ -43,23 +45,18 @@ def header(headers, name: str, default: str | None = None) -> Column:
 
 
 def movetext(text) -> Column:
-    """The part of a record after its tag lines."""
-    return F.trim(F.regexp_replace(_c(text), r'(?m)^\[\w+ "(?:[^"\\]|\\.)*"\]\s*$', ""))
+    """The part of a record after its leading block of tag lines."""
+    return F.trim(F.regexp_replace(_c(text), r"^(?:\s*\[[^\n]*\])+", ""))
 
 
-def mainline(text) -> Column:
-    """Main-line moves of a record (or bare move text).
+INNER_VARIATION = r"\([^()]*\)"
+REGEX_DEPTH = 3
 
-    Drops comments, NAGs, ``!``/``?`` marks, move numbers, the result and
-    nested variations (tokens at parenthesis depth > 0, any depth).
-    """
-    t = F.regexp_replace(movetext(text), COMMENT_PATTERN, " ")
-    t = F.regexp_replace(t, NAG_PATTERN, " ")
+
+def _fold_mainline(t: Column) -> Column:
+    """Exact depth-0 filter for any nesting depth (per-token fold; slow path)."""
     t = F.regexp_replace(t, r"[()]", " $0 ")
     toks = F.split(F.trim(t), r"\s+")
-    # "12." / "12..." are numbers; "12.e4" keeps its move
-    toks = F.transform(toks, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\d+\.+", ""), r"[!?]+$", ""))
-    toks = F.filter(toks, lambda x: (x != "") & ~x.isin(*RESULT_TOKENS))
     init = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("m"))
 
     def step(acc, x):
@@ -69,7 +66,30 @@ def mainline(text) -> Column:
         return F.struct(nd.alias("d"),
                         F.when(keep, F.concat(acc["m"], F.array(x))).otherwise(acc["m"]).alias("m"))
 
-    return F.aggregate(toks, init, step, lambda acc: acc["m"])
+    return F.array_join(F.aggregate(toks, init, step, lambda acc: acc["m"]), " ")
+
+
+def mainline(text) -> Column:
+    """Main-line moves of a record (or bare move text).
+
+    Drops comments, NAGs, ``!``/``?`` marks, move numbers, the result and
+    nested variations of any depth.  The common path is a handful of
+    whole-string regex passes on space-normalised text (no look-behind, a
+    single-character split); innermost variations are removed ``REGEX_DEPTH``
+    times and only records nested deeper take the exact per-token fold.
+    """
+    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+", " ")   # comments, NAGs
+    v = t
+    for _ in range(REGEX_DEPTH):
+        v = F.regexp_replace(v, INNER_VARIATION, " ")
+    v = F.when(v.contains("(") | v.contains(")"), _fold_mainline(v)).otherwise(v)
+    t = F.when(t.contains("("), v).otherwise(t)
+    # every token now sits between single spaces: " tok1 tok2 ... "
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"\s+", " "), F.lit(" "))
+    t = F.regexp_replace(t, r"[!?]+ ", " ")                                   # annotation marks
+    t = F.regexp_replace(t, r" \d+\.+| (?:1-0|0-1|1/2-1/2|\*)(?= )", " ")  # move numbers, result
+    t = F.trim(F.regexp_replace(t, r" {2,}", " "))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def parse_elo(c) -> Column:
