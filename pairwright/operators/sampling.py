@@ -101,9 +101,21 @@ def downsample(df: DataFrame, pred: Column, rate: float, key: str, seed: int = 4
     return df.filter(~F.coalesce(pred, F.lit(False)) | keep)
 
 
-def phase_positions(df: DataFrame, moves: str = "moves") -> DataFrame:
-    """Up to two positions per game -- opening 8..15, middle 16..40, and
-    the first tactic (capture, check or mate in the next three moves) within
-    10..49; the list is cut to two, so the tactic counts only when earlier
-    phases are missing.  Positions are chosen by hash of (game, phase)."""
-    raise NotImplementedError
+def phase_positions(df: DataFrame, key: str = "game_id", moves: str = "moves",
+                    n_col: str = "n_plies", seed: int = 42) -> DataFrame:
+    """Up to two positions per game -- opening 8..min(15, L-5) if L > 15,
+    middle 16..min(40, L-5) if L > 25, and the first ply i in 10..min(50, L-3)-1
+    with a capture, check or mate among the next three moves; the list is cut
+    to two, so the tactic counts only when an earlier phase is missing.
+    Output: key, slot (1, 2), move_index."""
+    from ..functions.pgn import has_motif
+    L = F.col(n_col)
+    op = F.when(L > 15, hash_pick(seed, F.lit(8), F.least(F.lit(15), L - 5), key, F.lit("opening")))
+    mid = F.when(L > 25, hash_pick(seed, F.lit(16), F.least(F.lit(40), L - 5), key, F.lit("middle")))
+    hi = F.least(F.lit(50), L - 3) - 1
+    idx = F.when(hi >= 10, F.sequence(F.lit(10), hi)).otherwise(F.array().cast("array<int>"))
+    tac = F.array_min(F.filter(idx, lambda i: has_motif(F.col(moves), i)))
+    lst = F.slice(F.array_compact(F.array(op.cast("int"), mid.cast("int"), tac.cast("int"))), 1, 2)
+    return df.select(key, F.posexplode(lst).alias("slot", "move_index")) \
+             .select(key, (F.col("slot") + 1).cast("bigint").alias("slot"),
+                     F.col("move_index").cast("bigint").alias("move_index"))

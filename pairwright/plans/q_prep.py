@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash32, hash_pick
-from ..functions.pgn import has_motif
+from ..functions.hashing import hash32
 from ..functions.text import rl_prompt_len, to_sequence
 from ..operators import encode as E
 from ..operators import quality as Q
@@ -15,6 +14,7 @@ from ..operators.ordering import global_row_number, group_row_number
 from ..operators.pairs import dedup_pairs, disagreements, format_pairs
 from ..operators.report import split_sizes
 from ..operators.sampling import exact_split, first_n, hash_split, take_samples
+from ..operators.sampling import phase_positions as sampling_phase_positions
 from . import bindings as B
 from .games import SQL_GAMES, synthetic_games
 from .q_docs import _PAIRS_SQL, _doc_pairs_df
@@ -221,13 +221,4 @@ def phase_positions(spark, sf_dir):
     """Up to two positions per game -- opening 8..15, middle 16..40, first
     tactic (capture/check/mate in the next three moves) from ply 10 -- cut to two."""
     g = Q.keep_quality(synthetic_games(spark, sf_dir)).select("game_id", "moves", "n_plies")
-    L = F.col("n_plies")
-    op = F.when(L > 15, hash_pick(42, F.lit(8), F.least(F.lit(15), L - 5), "game_id", F.lit("opening")))
-    mid = F.when(L > 25, hash_pick(42, F.lit(16), F.least(F.lit(40), L - 5), "game_id", F.lit("middle")))
-    hi = F.least(F.lit(50), L - 3) - 1
-    idx = F.when(hi >= 10, F.sequence(F.lit(10), hi)).otherwise(F.array().cast("array<int>"))
-    tac = F.array_min(F.filter(idx, lambda i: has_motif(F.col("moves"), i)))
-    lst = F.slice(F.array_compact(F.array(op.cast("int"), mid.cast("int"), tac.cast("int"))), 1, 2)
-    return g.select("game_id", F.posexplode(lst).alias("slot", "move_index")) \
-            .select("game_id", (F.col("slot") + 1).cast("bigint").alias("slot"),
-                    F.col("move_index").cast("bigint").alias("move_index"))
+    return sampling_phase_positions(g)
