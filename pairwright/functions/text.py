@@ -10,9 +10,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def normalise_space(text) -> Column:
+    """Whitespace runs -> one space, trimmed."""
+    return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
+
+
 def tokens(text) -> Column:
-    """Whitespace tokens, empties removed (B2: move = whitespace token)."""
-    return F.filter(F.split(_c(text), r"\s+"), lambda x: x != "")
+    """Whitespace tokens, empties removed (B2: move = whitespace token).
+
+    Same result as ``filter(split(text, '\\s+'), x -> x <> '')`` without a
+    per-element lambda: one regex pass, a single-character split, and the
+    one empty token of an empty text removed.
+    """
+    return F.array_remove(F.split(normalise_space(text), " "), "")
+
+
+def kgrams(text, k: int) -> Column:
+    """Every run of ``k`` consecutive tokens as one space-joined string, in order
+    (overlapping, via a zero-width match at each token start)."""
+    pat = r"(?<=^| )(?=([^ ]+" + r"(?: [^ ]+)" * (k - 1) + r"))"
+    return F.regexp_extract_all(normalise_space(text), F.lit(pat), 1)
 
 
 def to_sequence(moves) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
+from ..functions.text import kgrams
 from .ordering import group_row_number
 
 # Decoding settings of the reference's student (fixed values):
@@ -41,20 +42,38 @@ def context_struct(arr: Column, i: Column, c: int) -> Column:
 
 
 def ngram_rows(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
-               keep: tuple[str, ...] = (), min_ctx: int = 0) -> DataFrame:
-    """One row per (token, context length): ``ctx_len, ctx, next``."""
+               keep: tuple[str, ...] = (), min_ctx: int = 0, text: str | None = None) -> DataFrame:
+    """One row per (token, context length): ``ctx_len, ctx, next``.
+
+    Built from whole sequences with array expressions only (no per-element
+    lambda): the context of length c before token i is the c-gram starting at
+    i - c, so ``arrays_zip(c-grams, tokens shifted by c)`` lists every
+    (context, next) pair; all lengths are concatenated and exploded once.
+    With ``text`` the c-grams come from the raw text (one regex pass each);
+    otherwise from the ``moves`` array.
+    """
     arr = F.col(moves)
-
-    def per_token(x, i):
-        items = []
-        for c in range(min_ctx, max_ctx + 1):
-            s = F.struct(F.lit(c).alias("ctx_len"), context_struct(arr, i, c).alias("ctx"),
-                         x.alias("next"))
-            items.append(s if c == 0 else F.when(i >= c, s))
-        return F.array(*items)
-
-    flat = F.filter(F.flatten(F.transform(arr, per_token)), lambda s: s.isNotNull())
-    return df.select(*keep, F.inline(flat))
+    n = F.size(arr)
+    pair = "array<struct<ctx:string,next:string>>"
+    parts = []
+    for c in range(min_ctx, max_ctx + 1):
+        m = F.greatest(n - F.lit(c), F.lit(0))
+        if c == 0:
+            ctx = F.array_repeat(F.lit(""), n)
+        elif text is not None:
+            ctx = F.slice(kgrams(F.col(text), c), 1, m)
+        elif c == 1:
+            ctx = F.slice(arr, 1, m)
+        else:
+            ctx = F.slice(kgrams(F.array_join(arr, " "), c), 1, m)
+        nxt = F.slice(arr, c + 1, m) if c else arr
+        parts.append(F.when(m > 0, F.arrays_zip(ctx, nxt).cast(pair))
+                     .otherwise(F.array().cast(pair)))
+    out = df.select(*keep, F.explode(F.concat(*parts)).alias("p"))
+    spaces = F.length("p.ctx") - F.length(F.replace(F.col("p.ctx"), F.lit(" "), F.lit("")))
+    ctx_len = F.when(F.col("p.ctx") == "", F.lit(0)).otherwise(spaces + 1)
+    return out.select(*keep, ctx_len.cast("int").alias("ctx_len"), F.col("p.ctx").alias("ctx"),
+                      F.col("p.next").alias("next"))
 
 
 def ngram_counts(df: DataFrame, moves: str = "moves", max_ctx: int = 3,

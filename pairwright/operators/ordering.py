@@ -12,6 +12,7 @@ partitions, so a group holding a third of the rows is still split.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,20 @@ def global_row_number(df: DataFrame, order, name: str = "rn",
     """
     order = _cols(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    # The range partitioner samples its input in a job of its own, and an eager
+    # checkpoint runs one job to count and one to write; persisting the input and
+    # the sorted rows makes the (possibly expensive) upstream run only once.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
+    ranged = (src.repartitionByRange(n, *order)
+                 .sortWithinPartitions(*order)
+                 .withColumn("_mid", F.monotonically_increasing_id()))
     if materialize:
         # Reliable checkpoint into the cluster's shared checkpoint folder: the
         # ids are then fixed even if an executor is lost and a stage reruns.
-        ranged = ranged.checkpoint(eager=True)
+        cached = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+        ranged = cached.checkpoint(eager=True)
+        cached.unpersist()
+        src.unpersist()
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
                    .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import computed_once
 from ..functions.text import prefix, tokens
 from ..operators.sampling import hash_split, sample_position
 
@@ -26,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def doc_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, moves (array<string>), n_plies."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return d.select("doc_id", "lang", "source", tokens("text").alias("moves")) \
-            .withColumn("n_plies", F.size("moves"))
+    seqs = computed_once(d, ["doc_id", "lang", "source"], moves=tokens("text"))
+    return seqs.withColumn("n_plies", F.size("moves"))
 
 
 def doc_positions(seqs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
 from .bindings import table
 
@@ -122,16 +123,23 @@ def render_games(orders: DataFrame) -> DataFrame:
     return orders.select(k.alias("game_id"), pgn.alias("pgn"))
 
 
-def parse_games(df: DataFrame, text: str = "pgn") -> DataFrame:
-    """game records -> game_id, headers (map), moves (array), n_plies."""
-    return df.select("game_id", parse_headers(text).alias("headers"), mainline(text).alias("moves")) \
-             .withColumn("n_plies", F.size("moves"))
+def parse_games(df: DataFrame, text: str = "pgn", with_moves: bool = True) -> DataFrame:
+    """game records -> game_id, headers (map), moves (array), n_plies.
+
+    Each parsed column is computed once per row; ``with_moves=False`` skips the
+    main-line parse for jobs that only read the tags.
+    """
+    g = computed_once(df, ["game_id", text], headers=parse_headers(text))
+    if not with_moves:
+        return g.drop(text)
+    g = computed_once(g, ["game_id", "headers"], moves=mainline(text))
+    return g.withColumn("n_plies", F.size("moves"))
 
 
-def synthetic_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+def synthetic_games(spark: SparkSession, sf_dir: str, with_moves: bool = True) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    return parse_games(render_games(orders))
+    return parse_games(render_games(orders), with_moves=with_moves)
 
 
 # ---- oracle side: the same values computed straight from orders ---------

@@ -48,7 +48,7 @@ def game_headers(spark, sf_dir):
 SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM gq GROUP BY 1""")
 def game_quality_report(spark, sf_dir):
     """F1-F5 + A1: games kept and skipped by the first failing rule."""
-    return Q.quality_report(Q.quality(synthetic_games(spark, sf_dir))).select("reason", _b("n"))
+    return Q.quality_report(Q.quality(synthetic_games(spark, sf_dir, with_moves=False))).select("reason", _b("n"))
 
 
 def _kept(spark, sf_dir):
@@ -107,7 +107,7 @@ SELECT game_id, eco FROM (
   SELECT game_id, eco, row_number() OVER (PARTITION BY eco ORDER BY game_id) AS r FROM gq) WHERE r <= 1000""")
 def opening_cap(spark, sf_dir):
     """at most 1000 games per opening, first by game id."""
-    g = synthetic_games(spark, sf_dir).select("game_id", pgn.header("headers", "ECO").alias("eco"))
+    g = synthetic_games(spark, sf_dir, with_moves=False).select("game_id", pgn.header("headers", "ECO").alias("eco"))
     return Q.cap_per_group(g, "eco", Q.OPENING_CAP, ["game_id"])
 
 
@@ -115,7 +115,7 @@ def opening_cap(spark, sf_dir):
 SELECT eco, count(*)::BIGINT AS n FROM gq WHERE reason IS NULL GROUP BY eco""")
 def opening_counts(spark, sf_dir):
     """A10: kept games per opening."""
-    g = _kept(spark, sf_dir)
+    g = Q.keep_quality(synthetic_games(spark, sf_dir, with_moves=False))
     return g.groupBy(pgn.header("headers", "ECO").alias("eco")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
@@ -167,7 +167,7 @@ SELECT player, opponent, count(*)::BIGINT AS games,
 FROM sides GROUP BY player, opponent""")
 def match_summary_q(spark, sf_dir):
     """Win / draw / loss of each player against each opponent, both colours."""
-    g = synthetic_games(spark, sf_dir).select(
+    g = synthetic_games(spark, sf_dir, with_moves=False).select(
         pgn.header("headers", "White").alias("white"), pgn.header("headers", "Black").alias("black"),
         pgn.header("headers", "Result").alias("result"))
     return match_summary(g)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
 
 RECORD_SEP = "\n\n[Event "
@@ -44,8 +45,8 @@ def read_game_records(spark: SparkSession, path: str, crlf: bool = False,
 
 def parse_records(recs: DataFrame) -> DataFrame:
     """Records -> the game schema (headers map, main-line moves)."""
-    return recs.select("game_id", "seq", parse_headers("pgn").alias("headers"),
-                       mainline("pgn").alias("moves"))
+    g = computed_once(recs, ["game_id", "seq", "pgn"], headers=parse_headers("pgn"))
+    return computed_once(g, ["game_id", "seq", "headers"], moves=mainline("pgn"))
 
 
 def read_games(spark: SparkSession, path: str, crlf: bool = False,
