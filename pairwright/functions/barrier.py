@@ -18,4 +18,8 @@ from pyspark.sql import functions as F
 def computed_once(df: DataFrame, keep: list[str] | None = None, **cols: Column) -> DataFrame:
     """``df`` (columns ``keep``, default all) plus ``cols``, each evaluated once per row."""
     keep = df.columns if keep is None else keep
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+    # evaluate in an ordinary (code-generated) projection, then pass plain
+    # attributes through the generator
+    tmp = {k: f"__once_{k}" for k in cols}
+    staged = df.select(*keep, *[c.alias(tmp[k]) for k, c in cols.items()])
+    return staged.select(*keep, F.inline(F.array(F.struct(*[F.col(tmp[k]).alias(k) for k in cols]))))

@@ -85,11 +85,18 @@ def ngram_counts(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
 
 
 def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
-               min_count: int = 1, min_ctx: int = 0) -> DataFrame:
-    """M1: counts and probability of the next token given the last 0..max_ctx."""
-    counts = (ngram_rows(df, moves, max_ctx, min_ctx=min_ctx)
-              .groupBy("ctx_len", "ctx", "next")
-              .agg(F.count(F.lit(1)).alias("count")))
+               min_count: int = 1, min_ctx: int = 0, contexts: DataFrame | None = None) -> DataFrame:
+    """M1: counts and probability of the next token given the last 0..max_ctx.
+
+    ``contexts`` (ctx_len, ctx) restricts the table to the contexts a set of
+    prompts can back off to.  The semi join runs before the aggregation and
+    keeps every row of those contexts, so their counts and shares are exact,
+    while the shuffle carries only what the prompts can use.
+    """
+    rows = ngram_rows(df, moves, max_ctx, min_ctx=min_ctx)
+    if contexts is not None:
+        rows = rows.join(contexts.select("ctx_len", "ctx").distinct(), ["ctx_len", "ctx"], "left_semi")
+    counts = rows.groupBy("ctx_len", "ctx", "next").agg(F.count(F.lit(1)).alias("count"))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
     totals = counts.groupBy("ctx_len", "ctx").agg(F.sum("count").alias("ctx_total"))

@@ -71,3 +71,18 @@ def group_row_number(df: DataFrame, keys: list[str], order, name: str = "rn",
     starts = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
     return g.join(starts, keys).withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("bigint")) \
             .drop("_g", "_g0")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    For tables that several branches of one job read (a fitted model, a ranked
+    table): they are computed once, their lineage is cut, and a lost executor
+    re-reads files instead of recomputing the whole upstream.  The input is
+    persisted for the duration so the checkpoint's count and write jobs do not
+    compute it twice.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
