@@ -78,18 +78,17 @@ def mainline(text) -> Column:
     single-character split); innermost variations are removed ``REGEX_DEPTH``
     times and only records nested deeper take the exact per-token fold.
     """
-    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+", " ")   # comments, NAGs
+    # one pass: comments, NAGs, !/? marks and whitespace runs all become one space
+    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+(?=[\s()]|$)|\s+", " ")
     v = t
     for _ in range(REGEX_DEPTH):
         v = F.regexp_replace(v, INNER_VARIATION, " ")
     v = F.when(v.contains("(") | v.contains(")"), _fold_mainline(v)).otherwise(v)
     t = F.when(t.contains("("), v).otherwise(t)
-    # every token now sits between single spaces: " tok1 tok2 ... "
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"\s+", " "), F.lit(" "))
-    t = F.regexp_replace(t, r"[!?]+ ", " ")                                   # annotation marks
+    # every token now sits between spaces: " tok1 tok2 ... "
+    t = F.concat(F.lit(" "), t, F.lit(" "))
     t = F.regexp_replace(t, r" \d+\.+| (?:1-0|0-1|1/2-1/2|\*)(?= )", " ")  # move numbers, result
-    t = F.trim(F.regexp_replace(t, r" {2,}", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.array_remove(F.split(F.trim(F.regexp_replace(t, r" {2,}", " ")), " "), "")
 
 
 def parse_elo(c) -> Column:
