@@ -34,12 +34,14 @@ def global_row_number(df: DataFrame, order, name: str = "rn",
     lost executor cannot change them either.
     """
     order = _cols(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range partitioner samples its input in a job of its own, and an eager
     # checkpoint runs one job to count and one to write; persisting the input and
     # the sorted rows makes the (possibly expensive) upstream run only once.
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
-    ranged = (src.repartitionByRange(n, *order)
+    # without an explicit count AQE sizes the range partitions from the data
+    # (adjacent ranges are merged, so the order across partitions holds)
+    parted = src.repartitionByRange(partitions, *order) if partitions else src.repartitionByRange(*order)
+    ranged = (parted
                  .sortWithinPartitions(*order)
                  .withColumn("_mid", F.monotonically_increasing_id()))
     if materialize:

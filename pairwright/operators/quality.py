@@ -125,3 +125,27 @@ def elo_tier(bounds=tuple(ELO_TIERS), h: str = "headers") -> Column:
     for i, b in enumerate(sorted(bounds), start=1):
         t = F.when(lo >= b, F.lit(i)).otherwise(t)
     return F.when(lo.isNull(), F.lit(None)).otherwise(t)
+
+
+def parse_errors(h: str = "headers") -> Column:
+    """why a record's fields do not parse (null when they all do).
+
+    Failures are values, not exceptions: a rating that is present but not an
+    integer, a date that is present but not ``yyyy.M.d``, a time control
+    without a base.  Codes are joined with ``,`` in a fixed order.
+    """
+    w, b = header(h, "WhiteElo"), header(h, "BlackElo")
+    d, tc = header(h, "UTCDate"), header(h, "TimeControl")
+    codes = F.array_compact(F.array(
+        F.when(w.isNotNull() & parse_elo(w).isNull(), F.lit("white_elo")),
+        F.when(b.isNotNull() & parse_elo(b).isNull(), F.lit("black_elo")),
+        F.when(d.isNotNull() & parse_game_date(d).isNull(), F.lit("date")),
+        F.when(tc.isNotNull() & (tc != "-") & time_base(tc).isNull(), F.lit("time_control")),
+    ))
+    return F.when(F.size(codes) > 0, F.array_join(codes, ","))
+
+
+def error_report(df: DataFrame, h: str = "headers") -> DataFrame:
+    """rows counted per parse-error code (rows without errors are not listed)."""
+    e = df.select(F.explode(F.split(parse_errors(h), ",")).alias("error"))
+    return e.groupBy("error").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from ..operators.encode import build_vocab
 from ..operators.pairs import unprocessed
 from ..operators.report import match_summary
 from ..operators.sampling import first_n
+from .bindings import table
 from .games import SQL_GAMES, synthetic_games
 from .registry import H, register
 
@@ -178,5 +179,18 @@ SELECT game_id, CAST(n_plies AS BIGINT) AS n_plies FROM gq WHERE k % 3 <> 0""")
 def resume_unprocessed(spark, sf_dir):
     """J7 (D12): games of a run resumed after the k % 3 = 0 third was done."""
     g = synthetic_games(spark, sf_dir)
-    done = g.filter(F.col("game_id") % 3 == 0).select("game_id")
+    # the processed-id list of the interrupted run: a separate table of keys
+    done = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id")) \
+        .filter(F.col("game_id") % 3 == 0)
     return unprocessed(g, done).select("game_id", _b("n_plies"))
+
+
+@register("game_parse_errors", f"""{W}
+SELECT error, count(*)::BIGINT AS n FROM (
+  SELECT 'white_elo' AS error FROM gq WHERE k % 41 = 0 AND k % 43 <> 0
+  UNION ALL
+  SELECT 'date' FROM gq WHERE k % 89 = 0 AND k % 97 <> 0)
+GROUP BY error""")
+def game_parse_errors(spark, sf_dir):
+    """fields that do not parse, counted by code (values, never exceptions)."""
+    return Q.error_report(synthetic_games(spark, sf_dir, with_moves=False)).select("error", _b("n"))
