@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..functions.text import kgrams
-from .ordering import group_row_number
+from .ordering import group_row_number, materialize
 
 # Decoding settings of the reference's student (fixed values):
 # 8 continuations per prompt, top_k 40, top_p 0.9, temperature 0.8,
@@ -45,27 +45,29 @@ def ngram_rows(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
                keep: tuple[str, ...] = (), min_ctx: int = 0, text: str | None = None) -> DataFrame:
     """One row per (token, context length): ``ctx_len, ctx, next``.
 
-    Built from whole sequences with array expressions only (no per-element
-    lambda): the context of length c before token i is the c-gram starting at
-    i - c, so ``arrays_zip(c-grams, tokens shifted by c)`` lists every
-    (context, next) pair; all lengths are concatenated and exploded once.
-    With ``text`` the c-grams come from the raw text (one regex pass each);
-    otherwise from the ``moves`` array.
+    Built from whole sequences: the context of length c before token i is the
+    c-gram starting at i - c; c-grams are built from (c-1)-grams with one
+    ``zip_with`` each, then ``arrays_zip(c-grams, tokens shifted by c)`` lists
+    every (context, next) pair; all lengths are concatenated and exploded once.
+    With ``text`` the c-grams come from the raw text (one regex pass each).
     """
     arr = F.col(moves)
     n = F.size(arr)
     pair = "array<struct<ctx:string,next:string>>"
     parts = []
-    for c in range(min_ctx, max_ctx + 1):
+    grams = arr  # grams[i] = the c tokens starting at i (c = 1 first)
+    for c in range(0, max_ctx + 1):
+        if c >= 2:
+            if text is not None:
+                grams = kgrams(F.col(text), c)
+            else:
+                k = F.greatest(n - F.lit(c - 1), F.lit(0))
+                grams = F.zip_with(F.slice(grams, 1, k), F.slice(arr, c, k),
+                                   lambda a, b: F.concat(a, F.lit(" "), b))
+        if c < min_ctx:
+            continue
         m = F.greatest(n - F.lit(c), F.lit(0))
-        if c == 0:
-            ctx = F.array_repeat(F.lit(""), n)
-        elif text is not None:
-            ctx = F.slice(kgrams(F.col(text), c), 1, m)
-        elif c == 1:
-            ctx = F.slice(arr, 1, m)
-        else:
-            ctx = F.slice(kgrams(F.array_join(arr, " "), c), 1, m)
+        ctx = F.array_repeat(F.lit(""), n) if c == 0 else F.slice(grams, 1, m)
         nxt = F.slice(arr, c + 1, m) if c else arr
         parts.append(F.when(m > 0, F.arrays_zip(ctx, nxt).cast(pair))
                      .otherwise(F.array().cast(pair)))
@@ -97,6 +99,9 @@ def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
     if contexts is not None:
         rows = rows.join(contexts.select("ctx_len", "ctx").distinct(), ["ctx_len", "ctx"], "left_semi")
     counts = rows.groupBy("ctx_len", "ctx", "next").agg(F.count(F.lit(1)).alias("count"))
+    # the counts feed both the context totals and the join back; written once
+    # so the explode and the big aggregation are not run a second time
+    counts = materialize(counts)
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
     totals = counts.groupBy("ctx_len", "ctx").agg(F.sum("count").alias("ctx_total"))
