@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
 from ..functions.text import to_sequence
 from ..operators.ordering import global_row_number
@@ -23,7 +24,8 @@ from ..sources.games import stream_game_records
 
 def sft_frame(recs: DataFrame, min_elo: int = 2000) -> DataFrame:
     """T2 body (S2 -> P1..P4 -> F5): game_id, text -- identical in batch and stream."""
-    games = recs.select("game_id", parse_headers("pgn").alias("headers"), mainline("pgn").alias("moves"))
+    games = computed_once(recs, ["game_id", "pgn"], headers=parse_headers("pgn"))
+    games = computed_once(games, ["game_id", "headers"], moves=mainline("pgn"))
     kept = keep_quality(games, default_rules(min_elo))
     return kept.select("game_id", to_sequence("moves").alias("text"))
 
@@ -127,7 +129,11 @@ def stream_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 def windowed_progress(df: DataFrame, ts: str = "ts", window: str = "30 seconds",
                       watermark: str = "1 minute") -> DataFrame:
-    """T6 (table form): rows per event-time window, late rows bounded by a watermark."""
+    """T6 (table form): rows per event-time window, late rows bounded by a watermark.
+
+    Watermarks need TIMESTAMP; zone-less timestamps are read in the session zone.
+    """
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
     return df.withWatermark(ts, watermark).groupBy(F.window(ts, window)).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,5 +142,6 @@ def stream_dedup(df: DataFrame, key: str = "game_id", event_time: str | None = N
     """T7 (D12): drop repeated keys.  With an event time the state is bounded
     by the watermark; without one Spark keeps every key seen (as a resume list)."""
     if event_time:
+        df = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
         return df.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
     return df.dropDuplicates([key])

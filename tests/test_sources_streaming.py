@@ -101,3 +101,18 @@ def test_stream_until_and_snapshots(spark, tmp_path):
     s = spark.read.parquet(snap)
     assert sorted(r.n for r in s.collect()) == list(range(1, 11))
     assert s.agg(F.max("snapshot")).first()[0] == 3
+
+
+def test_windowed_progress_stream_matches_batch(spark, tmp_path):
+    from conftest import SF_SMALL
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts")
+    src = str(tmp_path / "ev")
+    events.repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (T.windowed_progress(stream, "ts", "1 hour", "1000 days")
+         .writeStream.outputMode("update").format("memory").queryName("winprog")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.table("winprog").groupBy("window").agg(F.max("n").alias("n"))
+    batch = events.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted((r.window.start, r.n) for r in got.collect()) == sorted((r.window.start, r.n) for r in batch.collect())

@@ -93,3 +93,11 @@ def test_ranks_tie_one_candidate_expert_last(spark):
     assert r == {1: ("a", 2, False), 2: ("x", 1, True), 3: ("p", 3, False)}
     best = {x.position_id: x.best for x in arg_best(scored).collect()}
     assert best == {1: "a", 2: "x", 3: "p"}
+
+
+def test_evaluation_moves_union_distinct(spark):
+    from pairwright.operators.pairs import evaluation_moves
+    ex = spark.createDataFrame([(1, "e4"), (2, "d4")], "position_id long, move string")
+    st = spark.createDataFrame([(1, "e4"), (1, "c4"), (1, "c4"), (2, "Nf3")], "position_id long, move string")
+    got = sorted((r.position_id, r.move) for r in evaluation_moves(ex, st).collect())
+    assert got == [(1, "c4"), (1, "e4"), (2, "Nf3"), (2, "d4")]
