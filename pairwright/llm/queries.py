@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import decontamination, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,45 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels are learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "lang", toxicity.score("text", model).alias("score"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                       toxicity.threshold("lang", model).alias("lang_threshold"))
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{decontamination.WORD}')"
+
+
+@register("op8_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT item, 13 AS len, array_to_string(w[s:s + 12], ' ') AS span FROM b, unnest(range(1, len(w) - 11)) AS t(s) WHERE len(w) >= 13
+  UNION ALL SELECT item, len(w), array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 12),
+lens AS (SELECT DISTINCT len FROM iw),
+dw AS (SELECT rid, s, lens.len, array_to_string(w[s:s + lens.len - 1], ' ') AS span FROM d, lens, unnest(range(1, len(w) - lens.len + 2)) AS t(s)),
+spans AS (SELECT DISTINCT span FROM iw),
+met AS (SELECT rid, s, len, span FROM dw SEMI JOIN spans USING (span)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM met, unnest(range(s, s + len)) AS t(p) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT rid, item FROM met JOIN iw USING (span) WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 13-word window of a benchmark item."""
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      decontamination.is_contaminated().alias("contaminated"))
+
+
 @register("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 3 bits)."""

@@ -1,6 +1,7 @@
 """Words of many texts as numpy arrays (used inside Arrow tasks).
 
-A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D).
+A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D),
+or of another given set of bytes.
 Texts are cut into chunks of a few megabytes, so memory does not follow the
 batch, and every step is vectorised over the chunk's bytes.
 """
@@ -15,8 +16,10 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 
-_SEP = np.ones(256, dtype=bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = False  # True: part of a word
+NOT_SPACE = np.ones(256, dtype=bool)          # True: part of a word
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+ALNUM = np.zeros(256, dtype=bool)             # ASCII letters and digits, and all other characters
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -80,8 +83,11 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * powers(_Q_INV, n))
 
 
-def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Chunks of an Arrow string column in order; a null text has no words."""
+def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES,
+                letters: np.ndarray = NOT_SPACE) -> Iterator[Words]:
+    """Chunks of an Arrow string column in order; a null text has no words.
+
+    ``letters``: which bytes are part of a word."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -97,12 +103,12 @@ def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Wo
     while lo < len(column):
         hi = int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, side="right")) - 1
         hi = min(max(hi, lo + 1), len(column))
-        yield _words(lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
+        yield _words(lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], letters)
         lo = hi
 
 
-def _words(lo: int, hi: int, data: np.ndarray, at: np.ndarray) -> Words:
-    inside = _SEP[data]
+def _words(lo: int, hi: int, data: np.ndarray, at: np.ndarray, letters: np.ndarray) -> Words:
+    inside = letters[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
     before[at] = False                     # a text's first byte has nothing before it
