@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, simhash, toxicity
+from . import decontamination, packing, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: the base patterns' and what the CRF adds."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", secret_scan.spans("text", secret_scan.train(docs)).alias("found"))
+    base = F.filter("found", lambda s: s["kind"] != "crf")
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *[count(k) for k in (*secret_scan.KINDS, "crf")],
+                       F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+                       secret_scan.as_text(F.col("found")).alias("spans"))
+
+
 @register("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learnt outside the held-out fifth."""
