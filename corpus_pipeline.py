@@ -1,20 +1,41 @@
 """A training corpus in five stages; each is one operator of ``pairwright.llm``.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
-read again as the next one's ``docs``.
+read again as the next one's ``docs``.  All but the last keep the columns of
+``documents``.  Null texts pass the filters; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwright.llm import packing, simhash
+from pairwright.llm import decontamination, packing, secret_scan, simhash, toxicity
+from pairwright.llm.queries import outside_held_out
 from pairwright.llm.shared import stage
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays (3-word shingles, 3 bits)."""
-    return simhash.one_of_each(docs, shingle=3, max_bits=3).select(*docs.columns)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold of their language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, allowed=outside_held_out())
+    return docs.filter(toxicity.score(docs["text"], model) < toxicity.threshold(docs["lang"], model))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (3-word shingles, 3 bits)."""
+    return simhash.one_of_each(docs, shingle=3, max_bits=3)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with fewer than one word in twenty inside benchmark windows."""
+    return decontamination.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret in the text replaced by a mark."""
+    clean = docs.withColumn("text", secret_scan.redacted(docs["text"], secret_scan.train(docs)))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +43,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies),
+          ("decontamination", drop_contaminated), ("secret_scan", redact_secrets), ("packing", pack)]
 
-# Models and tokenizers take part, which SQL cannot express.
+# Trained models and a tokenizer take part, which SQL cannot express.
 ORACLE_SQL = None
 
 

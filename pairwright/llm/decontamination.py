@@ -168,5 +168,5 @@ def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """``docs`` without the contaminated ones; the columns stay as they are."""
     bad = contamination(docs, items, id_col, text_col).filter(is_contaminated()) \
         .select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) &
-                     (F.xxhash64(docs[text_col]) == F.col("_bad_key")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) &
+                     (F.xxhash64(docs[text_col]) == bad["_bad_key"]), "left_anti")

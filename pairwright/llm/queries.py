@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """The fifth of the documents whose labels are never learnt (null ids: no)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def outside_held_out(id_col: str = "doc_id"):
+    return ~held_out(id_col)
+
+
 @register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
@@ -52,9 +61,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learnt outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=~held_out)
-    rows = docs.select("doc_id", held_out.alias("held_out"), "lang", toxicity.score("text", model).alias("score"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=outside_held_out())
+    rows = docs.select("doc_id", held_out().alias("held_out"), "lang", toxicity.score("text", model).alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                        toxicity.threshold("lang", model).alias("lang_threshold"))
 

@@ -174,7 +174,8 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per document: ``id_col, fingerprint (16 hex digits), component_id, n_texts``.
+    """One row per document: ``id_col, fingerprint (16 hex digits), component_id,
+    component`` (a fingerprint, one for each component).
 
     ``component_id`` is the smallest id reachable over links, itself included.
     """
@@ -197,10 +198,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (nulls last; of repeated
     rows, one)."""
-    rows = stage(docs.withColumns({"_fp": fingerprint(text_col, shingle),
-                                   "_row": F.monotonically_increasing_id()}), "simhash-docs")
-    groups = component_of(rows.select(F.col(id_col), F.col("_fp").alias("fp")), id_col, max_bits)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    kept = rows.select(id_col, "_row", F.col("_fp").alias("fp")).join(groups, "fp") \
-               .groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row", "_fp")
+    rows = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                             fingerprint(docs[text_col], shingle).alias("fp"),
+                             F.monotonically_increasing_id().alias("row")), "simhash-docs")
+    narrow = rows.select(F.col("doc")[id_col].alias("id"), "row", "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = narrow.join(component_of(narrow, "id", max_bits), "fp") \
+                 .groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

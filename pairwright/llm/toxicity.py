@@ -36,6 +36,8 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8              # of each width
 EPOCHS = 5
+MIN_TEXTS = 4            # of the sample, that hold a word that is learnt
+LEAST_STEPS = 300        # of training, for small samples
 BATCH = 50
 CALIBRATION = 5          # one row in so many sets thresholds instead of weights
 SHRINK = 100             # examples of its own that outweigh the threshold of all languages
@@ -105,16 +107,18 @@ def _features(column: pa.Array):
 def _fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     """Mini-batch Adam on the logistic loss; every batch holds both classes alike."""
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (PAD + 1, DIM)).astype(np.float32)
-    embedding[PAD] = 0
+    rows, known = _known_words(rows)
+    embedding = np.zeros((PAD + 1, DIM), dtype=np.float32)
+    embedding[known] = rng.normal(0, 0.1, (len(known), DIM))
     params = [embedding] + [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS] + [
         np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32),
         np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     per_epoch = max(1, -(-2 * max(len(c) for c in classes) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
     rate, step = 0.02, 0
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         orders = [np.concatenate([rng.permutation(c) for _ in range(-(-per_epoch * BATCH // (2 * len(c))))])
                   for c in classes]
         for b in range(per_epoch):
@@ -123,7 +127,7 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
             model = Model(params[0], params[1:-3], params[-3], params[-2], float(params[-1][0]))
             grads = _gradient(model, [rows[i] for i in pick], labels[pick])
             step += 1
-            lr = rate * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+            lr = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for p, g, m, v in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -132,6 +136,18 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     return Model(params[0], params[1:-3], params[-3], params[-2], float(params[-1][0]))
 
 
+def _known_words(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Texts with the words of fewer than ``MIN_TEXTS`` of them blanked, and the rows in use.
+
+    A rare word would only be learnt by heart; rows without a known word stay zero."""
+    keys = [(r.astype(np.int64) * np.array([1, BUCKETS, BUCKETS ** 2])).sum(axis=1) for r in rows]
+    word, texts = np.unique(np.concatenate([np.unique(k) for k in keys]), return_counts=True)
+    often = word[texts >= MIN_TEXTS]
+    out = [np.where(np.isin(k, often)[:, None], r, np.int32(PAD)) for k, r in zip(keys, rows)]
+    used = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int32)
+    return out, used[used != PAD]
+
+
 def _gradient(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
     counts = np.array([len(r) for r in rows])
     padded, begin = _padded(np.concatenate(rows), counts)
@@ -228,14 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _calibrate(model: Model, rows, y, langs, counts) -> None:
-    """Shift the score so that 0.5 is the best threshold over all languages, then set one
+    """Shift the score towards 0.5 as the best threshold over all languages, then set one
     for each language with 20 examples of each class (others: 0.5), drawn to 0.5 where they are few."""
-    score = model.score(np.concatenate(rows), np.array([len(r) for r in rows]))
-    # the classes weigh as in the label table, not as in the sample
+    rows, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    # batches hold both classes alike, the labels do not: the odds as they are
+    model.intercept += float(np.log(counts[1] / counts[0]))
+    score = model.score(rows, sizes)
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    at = np.clip(_best_threshold(score, y, weight), 1e-6, 1 - 1e-6)
-    model.intercept -= float(np.log(at / (1 - at)))
-    score = model.score(np.concatenate(rows), np.array([len(r) for r in rows]))
+    n = min((y == 1).sum(), (y == 0).sum())
+    best = np.clip(_best_threshold(score, y, weight), 1e-6, 1 - 1e-6)
+    model.intercept -= float(np.log(best / (1 - best)) * n / (n + SHRINK))
+    score = model.score(rows, sizes)
     for lang in sorted({x for x in langs if x is not None}):
         own = langs == lang
         n = min((y[own] == 1).sum(), (y[own] == 0).sum())
