@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secret_scan, simhash, toxicity
+from . import decontamination, packing, secret_scan, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,12 @@ def outside_held_out(id_col: str = "doc_id"):
     return ~held_out(id_col)
 
 
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
 @register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
@@ -57,6 +63,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        secret_scan.as_text(F.col("found")).alias("spans"))
 
 
+@register("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 40 equal shards by their id, and with one shard more."""
+    out = sharding.shard_records(table(spark, sf_dir, "documents"), [1.0] * 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 @register("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learnt outside the held-out fifth."""
