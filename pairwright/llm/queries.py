@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from . import (decontamination, embedding_dedup, html_main, packing, secret_scan, sharding, simhash, token_counts,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +71,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@register("op6_embedding_near_dedup")
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and components of all vectors."""
+    out = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 @register("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learnt outside the held-out fifth."""
@@ -108,6 +116,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontamination.is_contaminated().alias("contaminated"))
 
 
+@register("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's winning paths."""
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 @register("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 3 bits)."""
