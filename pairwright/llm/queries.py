@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, embedding_dedup, html_main, packing, secret_scan, sharding, simhash, token_counts,
-               toxicity)
+from . import (decontamination, embedding_dedup, html_main, packing, secret_scan, sharding, simhash, substring_dedup,
+               token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        secret_scan.as_text(F.col("found")).alias("spans"))
 
 
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@register("op4_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS span FROM d, unnest(range(1, len(w) - 18)) AS t(s)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY span ORDER BY doc_id, s) AS r FROM win),
+gone AS (SELECT DISTINCT doc_id, p FROM ranked, unnest(range(s, s + 20)) AS t(p) WHERE r > 1),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)) AS k FROM d LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 20-word windows that stand earlier in the corpus."""
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op5_sharding")
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over 40 equal shards by their id, and with one shard more."""

@@ -85,7 +85,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES,
                 letters: np.ndarray = NOT_SPACE) -> Iterator[Words]:
-    """Chunks of an Arrow string column in order; a null text has no words.
+    """Chunks of an Arrow string (or UTF-8 binary) column in order; a null text has no words.
 
     ``letters``: which bytes are part of a word."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,8 +93,8 @@ def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES,
     if not len(column):
         return
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
     offsets = offsets[column.offset: column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
