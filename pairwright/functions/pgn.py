@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 # Fixed patterns of the game-record text format.
 TAG_PATTERN = r'(?m)^\[(\w+) "([^"\\]*(?:\\.[^"\\]*)*)"\]'
-COMMENT_PATTERN = r"\{[^}]*\}|;[^\n]*"
-NAG_PATTERN = r"\$\d+"
-RESULT_TOKENS = ["1-0", "0-1", "1/2-1/2", "*"]
 DATE_FORMAT = "yyyy.M.d"
 # Lexical move features.
 CAPTURE, CHECK, MATE = "x", "+", "#"
@@ -29,7 +26,8 @@ def _c(c) -> Column:
 def parse_headers(text) -> Column:
     """``[Tag "value"]`` lines -> map<string,string> (duplicate tag: last wins,
     with ``spark.sql.mapKeyDedupPolicy=LAST_WIN``); ``\\"`` and ``\\\\`` unescaped."""
-    t = _c(text)
+    # the tag block ends at the first blank line: the move text is never searched
+    t = F.substring_index(F.ltrim(F.regexp_replace(_c(text), "\r\n", "\n")), "\n\n", 1)
     keys = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 1)
     vals = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 2)
     # unescaping is a per-element lambda: only records holding a backslash pay for it
@@ -72,22 +70,25 @@ def _fold_mainline(t: Column) -> Column:
 def mainline(text) -> Column:
     """Main-line moves of a record (or bare move text).
 
-    Drops comments, NAGs, ``!``/``?`` marks, move numbers, the result and
-    nested variations of any depth.  The common path is a handful of
+    Drops comments, NAGs, ``!``/``?`` marks, move numbers, the result, nested
+    variations of any depth and stray closing brackets; castling written with
+    zeros becomes letters.  The common path is a handful of
     whole-string regex passes on space-normalised text (no look-behind, a
     single-character split); innermost variations are removed ``REGEX_DEPTH``
     times and only records nested deeper take the exact per-token fold.
     """
     # one pass: comments, NAGs, !/? marks and whitespace runs all become one space
-    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+(?=[\s()]|$)|\s+", " ")
+    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+(?=[\s(){};$]|$)|\s+", " ")
     v = t
     for _ in range(REGEX_DEPTH):
         v = F.regexp_replace(v, INNER_VARIATION, " ")
-    v = F.when(v.contains("(") | v.contains(")"), _fold_mainline(v)).otherwise(v)
-    t = F.when(t.contains("("), v).otherwise(t)
+    v = F.when(v.contains("("), _fold_mainline(v)).otherwise(v)
+    t = F.translate(F.when(t.contains("("), v).otherwise(t), "()", "  ")
     # every token now sits between spaces: " tok1 tok2 ... "
     t = F.concat(F.lit(" "), t, F.lit(" "))
     t = F.regexp_replace(t, r" \d+\.+| (?:1-0|0-1|1/2-1/2|\*)(?= )", " ")  # move numbers, result
+    t = F.when(t.contains(" 0-0"), F.regexp_replace(F.regexp_replace(t, " 0-0-0(?=[+# ])", " O-O-O"),
+                                                    " 0-0(?=[+# ])", " O-O")).otherwise(t)
     return F.array_remove(F.split(F.trim(F.regexp_replace(t, r" {2,}", " ")), " "), "")
 
 

@@ -18,7 +18,7 @@ def extract_moves(c) -> Column:
 
 
 def candidates(texts: DataFrame, key: str = "position_id", text: str = "text",
-               prompt: str = "prompt", text_no: str = "text_no", mode: str = "all") -> DataFrame:
+               prompt: str = "prompt", text_no: str = "text_no", mode: str = "prefix") -> DataFrame:
     """Ordered candidate list of each generated text.
 
     The prompt is removed (D9 ``mode``), then the first whitespace token comes

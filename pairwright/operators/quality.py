@@ -24,6 +24,7 @@ PLY_RANGE = (20, 100)
 MIN_BASE_SECONDS = 300
 DRAW_KEEP_RATE = 0.3
 OPENING_CAP = 1000
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 ELO_TIERS = [2400]
 
 
@@ -91,8 +92,9 @@ def ply_range(lo: int = PLY_RANGE[0], hi: int = PLY_RANGE[1], moves: str = "move
 
 
 def min_time(n: int = MIN_BASE_SECONDS, h: str = "headers") -> Column:
-    """F8: base time >= n seconds (unknown time control fails)."""
-    return F.coalesce(time_base(header(h, "TimeControl")) >= n, F.lit(False))
+    """F8: not known to be faster than n seconds: only a ``base+inc`` control with a
+    smaller base fails; absent, ``-`` and other controls pass."""
+    return ~F.coalesce(time_base(header(h, "TimeControl")) < n, F.lit(False))
 
 
 def draw_kept(key: str, rate: float = DRAW_KEEP_RATE, seed: int = 42,
@@ -106,14 +108,19 @@ def cap_per_group(df: DataFrame, key: str, n: int = OPENING_CAP, order=("game_id
     """at most ``n`` rows per group, first by ``order``; null/empty key uncapped.
 
     ``row_number() <= n`` is planned with a partial WindowGroupLimit before the
-    shuffle, so a hot group sends at most ``n`` rows per map task.
+    shuffle, so a hot group sends at most ``n`` rows per map task; Spark plans it
+    up to a threshold, which is raised to ``n`` here.  Rows without a key get one
+    of their own, so the input is read once.
     """
     from pyspark.sql import Window
-    grouped = df.filter(F.coalesce(F.col(key), F.lit("")) != "")
-    free = df.filter(F.coalesce(F.col(key), F.lit("")) == "")
-    w = Window.partitionBy(key).orderBy(*order)
-    capped = grouped.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-    return capped.unionByName(free)
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT_CONF, "1000")) < n:
+        conf.set(GROUP_LIMIT_CONF, str(n))
+    free = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    alone = F.when(free, F.concat_ws("\u0001", *[F.col(o).cast("string") if isinstance(o, str) else o.cast("string")
+                                                for o in order]))
+    w = Window.partitionBy(F.col(key), alone).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= n) | free).drop("_r")
 
 
 def elo_tier(bounds=tuple(ELO_TIERS), h: str = "headers") -> Column:

@@ -133,4 +133,4 @@ def pair_metrics(pairs: DataFrame, chosen: str = "s_chosen", rejected: str = "s_
     m = F.col(chosen) - F.col(rejected)
     return pairs.agg(F.count(F.lit(1)).cast("bigint").alias("n_pairs"),
                      r6(F.avg((m > 0).cast("double"))).alias("accuracy"),
-                     r6(F.avg(F.log1p(F.exp(-m)))).alias("loss"))
+                     r6(F.avg(F.greatest(-m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))))).alias("loss"))

@@ -11,11 +11,13 @@ archives turns it back into headers and moves.  With ``k = o_orderkey``:
   ????.??.?? if k % 89 = 0, unpadded yyyy.M.d if k % 83 = 0);
 * Termination: status F Normal, O Time forfeit, P no tag;
 * ECO: letter A-E from custkey % 5, then 0, then custkey % 2;
-* TimeControl (k % 10) * 60 + '+' + k % 3; Result from the order priority;
+* TimeControl (k % 10) * 60 + '+' + k % 3 (tag missing if k % 31 = 0, '-' if
+  k % 37 = 0, '600' if k % 47 = 0); Result from the order priority;
 * White P<custkey % 7>, Black P<(custkey + 1 + k % 6) % 7>;
 * moves: the first (k*7) % 61 plies of line k % 3; clock comments if
-  k % 5 = 0, NAG and !? marks if k % 7 = 0, a nested variation if k % 11 = 0,
-  an escaped quote in Event if k % 13 = 0.
+  k % 5 = 0, marks before NAGs and comments if k % 7 = 0, a variation nested
+  four deep if k % 11 = 0, castling with zeros, a stray bracket and a line
+  comment if k % 19 = 0, an escaped quote in Event if k % 13 = 0.
 """
 
 from __future__ import annotations
@@ -39,11 +41,7 @@ LINES = [" ".join(x.split()[:60]) for x in LINES]
 # Result by the first digit of the order priority.
 RESULTS = {"1": "1-0", "2": "0-1", "3": "1/2-1/2", "4": "1-0", "5": "0-1"}
 CLOCK = " {[%clk 0:03:00]}"
-VARIATION = " ( 2. d4 ( 2. c3 ) exd4 )"
-
-
-def _lines_literal() -> Column:
-    return F.array(*[F.array(*[F.lit(m) for m in line.split()]) for line in LINES])
+VARIATION = " ( 2. d4 ( 2. c3 ( 2. b3 ( 2. a3 a6 ) b6 ) ) exd4 )"
 
 
 def _tag(name: str, value: Column) -> Column:
@@ -53,25 +51,28 @@ def _tag(name: str, value: Column) -> Column:
 def _movetext_variants() -> list[tuple[int, int, int, str]]:
     """(line, plies, decoration bits, move text) for every line prefix.
 
-    Decoration bits: 1 = clock comments, 2 = NAG and !? marks, 4 = variation.
-    A fixed table of 3 x 61 x 8 rows, built from the rule above.
+    Decoration bits: 1 = clock comments, 2 = marks and NAGs, 4 = variation,
+    8 = zero castling, stray bracket and line comment.
+    A fixed table of 3 x 61 x 16 rows, built from the rule above.
     """
     rows = []
     for li, line in enumerate(LINES):
         moves = line.split()
         for n in range(61):
-            for bits in range(8):
+            for bits in range(16):
                 parts = []
                 for i, x in enumerate(moves[:n]):
                     tok = (f"{i // 2 + 1}. " if i % 2 == 0 else "") + x
-                    if bits & 2 and i == 0:
-                        tok += " $1"
-                    if bits & 2 and i == 1:
-                        tok += "!?"
+                    if bits & 8:
+                        tok = tok.replace("O-O", "0-0").replace("-O", "-0")
+                    if bits & 2 and i < 3:
+                        tok += ("!$1", "!?{sharp}", "??;loses\n")[i]
                     if bits & 1:
                         tok += CLOCK
                     if bits & 4 and i == 1:
                         tok += VARIATION
+                    if bits & 8 and i == 2:
+                        tok += " ) ; stray\n"
                     parts.append(tok)
                 rows.append((li, n, bits, " ".join(parts)))
     return rows
@@ -81,13 +82,13 @@ def render_games(orders: DataFrame) -> DataFrame:
     """game_id, pgn (one game record per order).
 
     The move text comes from a broadcast lookup of the fixed variant table
-    (1 464 rows, independent of the data size) instead of a per-ply lambda.
+    (2 928 rows, independent of the data size) instead of a per-ply lambda.
     """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     spark = orders.sparkSession
     variants = spark.createDataFrame(_movetext_variants(), "_line int, _n int, _bits int, _text string")
     bits = (F.when(k % 5 == 0, 1).otherwise(0) + F.when(k % 7 == 0, 2).otherwise(0)
-            + F.when(k % 11 == 0, 4).otherwise(0))
+            + F.when(k % 11 == 0, 4).otherwise(0) + F.when(k % 19 == 0, 8).otherwise(0))
     orders = orders.withColumn("_line", (k % 3).cast("int")).withColumn("_n", ((k * 7) % 61).cast("int")) \
                    .withColumn("_bits", bits.cast("int")) \
                    .join(F.broadcast(variants), ["_line", "_n", "_bits"])
@@ -117,7 +118,8 @@ def render_games(orders: DataFrame) -> DataFrame:
         _tag("UTCDate", date),
         F.when(term.isNotNull(), _tag("Termination", term)),
         _tag("ECO", eco),
-        _tag("TimeControl", F.concat(((k % 10) * 60).cast("string"), F.lit("+"), (k % 3).cast("string"))),
+        F.when(k % 31 != 0, _tag("TimeControl", F.when(k % 37 == 0, F.lit("-")).when(k % 47 == 0, F.lit("600"))
+               .otherwise(F.concat(((k % 10) * 60).cast("string"), F.lit("+"), (k % 3).cast("string"))))),
     ))  # concat_ws skips the null (absent) tags
     pgn = F.concat(tags, F.lit("\n\n"), text, F.lit("\n"))
     return orders.select(k.alias("game_id"), pgn.alias("pgn"))
@@ -160,7 +162,7 @@ g AS (
          CASE WHEN k % 97 = 0 THEN DATE '2021-03-12' WHEN k % 89 = 0 THEN NULL ELSE CAST(od AS DATE) END AS game_date,
          CASE st WHEN 'F' THEN 'Normal' WHEN 'O' THEN 'Time forfeit' END AS termination,
          chr(CAST(65 + c % 5 AS INTEGER)) || '0' || CAST(c % 2 AS VARCHAR) AS eco,
-         CAST((k % 10) * 60 AS INTEGER) AS time_base,
+         CASE WHEN k % 31 <> 0 AND k % 37 <> 0 AND k % 47 <> 0 THEN CAST((k % 10) * 60 AS INTEGER) END AS time_base,
          CASE pr WHEN '1' THEN '1-0' WHEN '2' THEN '0-1' WHEN '3' THEN '1/2-1/2' WHEN '4' THEN '1-0' ELSE '0-1' END AS result,
          'P' || CAST(c % 7 AS VARCHAR) AS white,
          'P' || CAST((c + 1 + k % 6) % 7 AS VARCHAR) AS black,

@@ -16,6 +16,7 @@ from .games import SQL_GAMES, synthetic_games
 from .registry import H, register
 
 W = f"WITH {SQL_GAMES.strip()}"
+CAP = 30  # games per opening in the query: small enough to cut the test tables
 
 
 def _b(c):
@@ -87,7 +88,7 @@ def first_games(spark, sf_dir):
 SELECT game_id,
        n_plies >= 10 AS min_plies_ok,
        n_plies BETWEEN 20 AND 100 AS ply_range_ok,
-       coalesce(time_base >= 300, false) AS time_ok,
+       NOT coalesce(time_base < 300, false) AS time_ok,
        (result <> '1/2-1/2') OR {H(42, 'game_id')} < {int(0.3 * 4294967296)} AS draw_kept,
        CAST(CASE WHEN k % 43 <> 0 AND k % 41 = 0 THEN NULL
                  WHEN least(coalesce(white_elo, 0), black_elo) >= 2400 THEN 1 ELSE 0 END AS BIGINT) AS elo_tier
@@ -105,11 +106,13 @@ def game_filters(spark, sf_dir):
 
 @register("opening_cap", f"""{W}
 SELECT game_id, eco FROM (
-  SELECT game_id, eco, row_number() OVER (PARTITION BY eco ORDER BY game_id) AS r FROM gq) WHERE r <= 1000""")
-def opening_cap(spark, sf_dir):
-    """at most 1000 games per opening, first by game id."""
-    g = synthetic_games(spark, sf_dir, with_moves=False).select("game_id", pgn.header("headers", "ECO").alias("eco"))
-    return Q.cap_per_group(g, "eco", Q.OPENING_CAP, ["game_id"])
+  SELECT game_id, eco, row_number() OVER (PARTITION BY eco ORDER BY game_id) AS r FROM gq WHERE reason IS NULL)
+WHERE r <= {CAP}""")
+def opening_cap(spark, sf_dir, n: int = CAP):
+    """at most ``n`` games per opening among those that pass the quality rules,
+    first by game id (the proposal's own cap is ``quality.OPENING_CAP``)."""
+    g = Q.keep_quality(synthetic_games(spark, sf_dir, with_moves=False))
+    return Q.cap_per_group(g.select("game_id", pgn.header("headers", "ECO").alias("eco")), "eco", n, ["game_id"])
 
 
 @register("opening_counts", f"""{W}
@@ -189,7 +192,9 @@ def resume_unprocessed(spark, sf_dir):
 SELECT error, count(*)::BIGINT AS n FROM (
   SELECT 'white_elo' AS error FROM gq WHERE k % 41 = 0 AND k % 43 <> 0
   UNION ALL
-  SELECT 'date' FROM gq WHERE k % 89 = 0 AND k % 97 <> 0)
+  SELECT 'date' FROM gq WHERE k % 89 = 0 AND k % 97 <> 0
+  UNION ALL
+  SELECT 'time_control' FROM gq WHERE k % 47 = 0 AND k % 37 <> 0 AND k % 31 <> 0)
 GROUP BY error""")
 def game_parse_errors(spark, sf_dir):
     """fields that do not parse, counted by code (values, never exceptions)."""
