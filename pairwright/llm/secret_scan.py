@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 16_000      # documents, about, that training reads
 WINDOWS = 1_000           # windows of each sort that it learns from
 AROUND = 15               # tokens on each side of a window's middle
-CACHED_TOKENS = 250_000   # scored tokens held in a task
+CACHED_TOKENS = 500_000   # scored tokens held in a task
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -161,33 +161,37 @@ class Tagger:
         gain = lambda w: (w[..., 1:].max(axis=-1) - w[..., OUT]).astype(np.float32)
         self.near_gain = [gain(n) for n in model.near]
         self.word_gain = gain(model.words)
-        self.plain: dict[tuple, tuple] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {}        # token to entry
+        self.shapes: dict[tuple, int] = {}     # words of letters that score alike share one
+        self.n = 0
         self.own = np.zeros((1 << 10, 3))
         self.kind = np.full(1 << 10, EDGE, dtype=np.int8)
         self.word = np.zeros(1 << 10, dtype=np.int32)
         self.gain = np.zeros(1 << 10, dtype=np.float32)
 
     def _add(self, token: str) -> None:
-        i = len(self.index)
+        core = token.rstrip(".")
+        word = self.model.known.get(token.lower(), 0)
+        shape = None
+        if core.isalpha() and (core[1:].islower() or len(core) == 1):
+            shape = len(core), core[0].isupper(), core.isascii(), _KEYWORD.search(core) is None, word
+            if shape in self.shapes:
+                self.index[token] = self.shapes[shape]
+                return
+            self.shapes[shape] = self.n
+        i = self.n
         if i == len(self.own):
             self.own, self.kind, self.word, self.gain = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.kind, self.word, self.gain))
         self.index[token] = i
-        # words of letters differ by length, capital and script alone
-        core = token.rstrip(".")
-        like = (len(core), core[0].isupper(), core.isascii()) if core.isalpha() and (core[1:].islower() or len(core) == 1) else None
-        own = self.plain.get(like)
-        if own is None:
-            own = self.model.own[own_features(token)].sum(axis=0)
-            if like and len(self.plain) < 10_000:
-                self.plain[like] = own
+        self.n += 1
+        own = self.model.own[own_features(token)].sum(axis=0)
         self.own[i], self.gain[i] = own, own[1:].max() - own[OUT]
-        self.kind[i] = token_class.__wrapped__(core if like else token)
-        self.word[i] = self.model.known.get(token.lower(), 0) if self.model.known else 0
+        self.kind[i] = token_class.__wrapped__(core if shape else token)
+        self.word[i] = word
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         tokens = TOKEN.findall(text)
