@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 _LOW33 = (1 << 33) - 1
 
 
+def _held(df: DataFrame) -> bool:
+    """Whether the caller holds the rows already (their cache is not ours to drop)."""
+    level = df.storageLevel
+    return level.useMemory or level.useDisk
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -37,7 +43,8 @@ def global_row_number(df: DataFrame, order, name: str = "rn",
     # The range partitioner samples its input in a job of its own, and an eager
     # checkpoint runs one job to count and one to write; persisting the input and
     # the sorted rows makes the (possibly expensive) upstream run only once.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
+    own = materialize and not _held(df)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df
     # without an explicit count AQE sizes the range partitions from the data
     # (adjacent ranges are merged, so the order across partitions holds)
     parted = src.repartitionByRange(partitions, *order) if partitions else src.repartitionByRange(*order)
@@ -50,7 +57,8 @@ def global_row_number(df: DataFrame, order, name: str = "rn",
         cached = ranged.persist(StorageLevel.MEMORY_AND_DISK)
         ranged = cached.checkpoint(eager=True)
         cached.unpersist()
-        src.unpersist()
+        if own:
+            src.unpersist()
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
                    .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -84,6 +92,8 @@ def materialize(df: DataFrame) -> DataFrame:
     persisted for the duration so the checkpoint's count and write jobs do not
     compute it twice.
     """
+    if _held(df):
+        return df.checkpoint(eager=True)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
     cached.unpersist()

@@ -85,6 +85,18 @@ def evaluation_moves(expert: DataFrame, student: DataFrame, key: str = "position
     return expert.select(key, "move").unionByName(student.select(key, "move")).distinct()
 
 
+def canonical_move(c) -> Column:
+    """A move's lexical canonical form, without check and mate signs at its end."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, r"[+#]+$", "")
+
+
+def attach_scores(moves: DataFrame, scores: DataFrame, key: str = "position_id", move: str = "move",
+                  score: str = "reward_score") -> DataFrame:
+    """Each candidate move with its score (an equi-join on position and move)."""
+    return moves.join(scores.select(key, move, score), [key, move])
+
+
 def annotate_moves(moves: DataFrame, expert: DataFrame, student: DataFrame,
                    key: str = "position_id") -> DataFrame:
     """Note whether a move is the expert's pick, a student suggestion, or both."""

@@ -110,7 +110,7 @@ def cap_per_group(df: DataFrame, key: str, n: int = OPENING_CAP, order=("game_id
     ``row_number() <= n`` is planned with a partial WindowGroupLimit before the
     shuffle, so a hot group sends at most ``n`` rows per map task; Spark plans it
     up to a threshold, which is raised to ``n`` here.  Rows without a key get one
-    of their own, so the input is read once.
+    of their own from ``order`` (a total order), so the input is read once.
     """
     from pyspark.sql import Window
     conf = df.sparkSession.conf
@@ -120,7 +120,7 @@ def cap_per_group(df: DataFrame, key: str, n: int = OPENING_CAP, order=("game_id
     alone = F.when(free, F.concat_ws("\u0001", *[F.col(o).cast("string") if isinstance(o, str) else o.cast("string")
                                                 for o in order]))
     w = Window.partitionBy(F.col(key), alone).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= n) | free).drop("_r")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def elo_tier(bounds=tuple(ELO_TIERS), h: str = "headers") -> Column:

@@ -48,10 +48,12 @@ def distinct_suggestions(df: DataFrame, key: str = "position_id", move: str = "m
 
 
 def analysis_record(ranked: DataFrame, ranks: DataFrame, key: str = "position_id",
-                    move: str = "move", score: str = "reward_score") -> DataFrame:
-    """P25: nested analysis per position: results sorted by rank + summary."""
+                    move: str = "move", score: str = "reward_score", extra: tuple[str, ...] = ()) -> DataFrame:
+    """P25: nested analysis per position: results sorted by rank + summary.
+
+    ``extra``: more columns of ``ranked`` that each result carries."""
     res = ranked.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", move, score))),
-                    lambda s: F.struct(s[move].alias("move"), s[score].alias("reward_score")))
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", move, score, *extra))),
+                    lambda s: F.struct(s[move].alias("move"), s[score].alias("reward_score"), *[s[c].alias(c) for c in extra]))
         .alias("results"))
     return ranks.join(res, key)

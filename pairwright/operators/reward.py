@@ -4,15 +4,13 @@ M3 is a Bradley-Terry model on hashed move counts: x = tf(chosen) - tf(rejected)
 P(chosen preferred) = sigmoid(w . x).  It is fitted by full-batch gradient
 descent written as DataFrame steps:
 
-* the pair features ``(pair_id, bucket, value)`` are partitioned by
-  ``pair_id`` once and checkpointed, so the per-pair margin and the join of
-  each pair's gradient factor back onto its features need no shuffle;
-* the weight table has at most ``2^bits`` rows -- a size fixed by a
-  parameter, not by the data -- so it is broadcast each step;
-* per-bucket gradients are partial aggregates (at most ``2^bits`` rows per
-  task before the shuffle);
-* each step's weights are checkpointed into the cluster's checkpoint folder,
-  which cuts the lineage and survives executor loss.
+* a pair is one row that holds its sparse vector, staged once;
+* the weights (at most ``2^bits`` numbers, a size fixed by a parameter that is
+  limited to 18 bits) travel to the rows as one broadcast array;
+* a step is one pass without a join on pairs: margin and gradient factor come
+  from the row itself, and the gradient is one partial aggregate of at most
+  ``2^bits`` rows, which returns to the driver as the next weights;
+* steps end when the weights no longer move.
 """
 
 from __future__ import annotations
@@ -20,53 +18,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
 from ..functions.text import tokens
+from .ordering import materialize
 
 HASH_BITS = 12
-STEPS = 25
+MAX_BITS = 18
+STEPS = 40           # at most; see TOLERANCE
 LEARNING_RATE = 0.5
 L2 = 1e-4
+TOLERANCE = 2e-3     # largest change of a weight in the last step
+HASH_SEED = 5
 
 
-def hashed_counts(df: DataFrame, key: str, text: str, sign: float, bits: int = HASH_BITS) -> DataFrame:
+def hashed_counts(df: DataFrame, key: list[str] | str, text: str, sign: float, bits: int = HASH_BITS) -> DataFrame:
     """(key, bucket, value) = signed count of tokens hashed into 2^bits buckets."""
-    b = F.pmod(F.xxhash64(F.col("tok")), F.lit(1 << bits)).cast("int")
-    return (df.select(key, F.explode(tokens(text)).alias("tok"))
-            .groupBy(key, b.alias("bucket")).agg((F.count(F.lit(1)) * F.lit(sign)).alias("value")))
+    key = [key] if isinstance(key, str) else list(key)
+    b = F.pmod(hash32(HASH_SEED, "tok"), F.lit(1 << bits)).cast("int")
+    return (df.select(*key, F.explode(tokens(text)).alias("tok"))
+            .groupBy(*key, b.alias("bucket")).agg((F.count(F.lit(1)) * F.lit(sign)).alias("value")))
 
 
 def pair_features(pairs: DataFrame, key: str = "pair_id", bits: int = HASH_BITS) -> DataFrame:
-    """x = tf(chosen) - tf(rejected) as sparse rows; zero entries dropped."""
+    """``key, x``: the sparse vector tf(chosen) - tf(rejected) of each pair, zeros dropped."""
     x = hashed_counts(pairs, key, "chosen", 1.0, bits).unionByName(
         hashed_counts(pairs, key, "rejected", -1.0, bits))
-    return x.groupBy(key, "bucket").agg(F.sum("value").alias("value")).filter(F.col("value") != 0)
+    x = x.groupBy(key, "bucket").agg(F.sum("value").alias("value")).filter(F.col("value") != 0)
+    return x.groupBy(key).agg(F.collect_list(F.struct("bucket", "value")).alias("x"))
 
 
 def fit_reward(pairs: DataFrame, key: str = "pair_id", bits: int = HASH_BITS, steps: int = STEPS,
-               lr: float = LEARNING_RATE, l2: float = L2) -> DataFrame:
-    """M3: weights (bucket, w) of the pairwise model."""
+               lr: float = LEARNING_RATE, l2: float = L2, tolerance: float = TOLERANCE) -> DataFrame:
+    """M3: weights (bucket, w) of the pairwise model, those not zero."""
+    if bits > MAX_BITS:
+        raise ValueError(f"{bits} hash bits: the weights are broadcast, so at most {MAX_BITS}")
     spark = pairs.sparkSession
-    feats = pair_features(pairs, key, bits).repartition(key).checkpoint(eager=True)
-    n = pairs.select(key).distinct().count()  # one number, for the mean gradient
-    w = spark.range(0).select(F.lit(0).cast("int").alias("bucket"), F.lit(0.0).alias("w"))
-    for _ in range(steps):
-        wb = F.broadcast(w)
-        m = feats.join(wb, "bucket", "left").groupBy(key).agg(
-            F.sum(F.col("value") * F.coalesce(F.col("w"), F.lit(0.0))).alias("m"))
-        g = m.select(key, (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("m"))) * F.lit(-1.0)).alias("g"))
-        grad = feats.join(g, key).groupBy("bucket").agg((F.sum(F.col("value") * F.col("g")) / F.lit(n)).alias("grad"))
-        w = (grad.join(w, "bucket", "full")
-             .select("bucket", (F.coalesce("w", F.lit(0.0)) * (1 - lr * l2)
-                                - F.lit(lr) * F.coalesce("grad", F.lit(0.0))).alias("w")))
-        w = w.checkpoint(eager=True)
-    return w
-
-
-def score_texts(df: DataFrame, weights: DataFrame, key: str, text: str, bits: int = HASH_BITS,
+    feats = materialize(pair_features(pairs, key, bits))
+    n = feats.count()
+    w = [0.0] * (1 << bits)
+    for _ in range(steps if n else 0):
+        held = F.broadcast(spark.createDataFrame([(w,)], "w array<double>"))
+        margin = F.aggregate("x", F.lit(0.0), lambda a, e: a + e["value"] * F.get("w", e["bucket"]))
+        rows = feats.crossJoin(held).select("x", (F.lit(-1.0) / (F.lit(1.0) + F.exp(margin))).alias("g"))
+        grad = rows.select("g", F.inline("x")).groupBy("bucket").agg(F.sum(F.col("value") * F.col("g")).alias("d"))
+        change = 0.0
+        step = {r["bucket"]: r["d"] / n for r in grad.collect()}      # at most 2^bits rows
+        for b, d in step.items():
+            move = lr * (d + l2 * w[b])
+            w[b] -= move
+            change = max(change, abs(move))
+        if change < tolerance:
+            break
+    return spark.createDataFrame([(i, x) for i, x in enumerate(w) if x], "bucket int, w double")
+
+
+def score_texts(df: DataFrame, weights: DataFrame, key: list[str] | str, text: str, bits: int = HASH_BITS,
                 name: str = "reward_score") -> DataFrame:
-    """M4: linear score w . tf(text) per row (rows without known tokens score 0)."""
+    """M4: linear score w . tf(text) per row (rows without known tokens score 0).
+
+    ``key`` identifies a row; ``weights`` has at most 2^bits rows."""
+    if bits > MAX_BITS:
+        raise ValueError(f"{bits} hash bits: the weights are broadcast, so at most {MAX_BITS}")
+    key = [key] if isinstance(key, str) else list(key)
     tf = hashed_counts(df, key, text, 1.0, bits)
-    s = tf.join(F.broadcast(weights), "bucket").groupBy(key).agg(F.sum(F.col("value") * F.col("w")).alias(name))
+    s = tf.join(F.broadcast(weights), "bucket").groupBy(*key).agg(F.sum(F.col("value") * F.col("w")).alias(name))
     return df.join(s, key, "left").fillna(0.0, [name])
 
 

@@ -6,7 +6,7 @@ the same rows come back under any partitioning and can be checked in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO32, hash32, hash_pick
@@ -77,28 +77,43 @@ def exact_split(df: DataFrame, key: str, frac: float, seed: int = 42,
 
 
 def first_n(df: DataFrame, n: int, order) -> DataFrame:
-    """L1 / L3: the first ``n`` rows in input order given by ``order``.
+    """L1 / L3: the first ``n`` rows in the order given by ``order`` (a total order).
 
-    Small ``n`` uses Spark's distributed top-k (each task keeps ``n``); large
-    ``n`` numbers rows with a distributed sort and filters.
+    The order keys alone are numbered by a distributed sort, which finds the
+    n-th key; rows up to it pass a filter.  The rows themselves are neither
+    shuffled nor merged, whatever ``n`` is.
     """
     order = [_c(o) for o in order]
     if n <= 0:
         return df.limit(0)
-    if n <= 10_000:
-        return df.orderBy(*order).limit(n)
-    return global_row_number(df, order, "_r").filter(F.col("_r") <= n).drop("_r")
+    names = [f"_k{i}" for i in range(len(order))]
+    keys = df.select(*[o.alias(k) for o, k in zip(order, names)])
+    last = global_row_number(keys, names, "_r").filter(F.col("_r") == n) \
+        .select(F.struct(*names).alias("_last"))
+    # one row, or none when there are fewer rows than n
+    own = F.struct(*[o.alias(k) for o, k in zip(order, names)])
+    return df.withColumn("_own", own).join(F.broadcast(last), F.lit(True), "left") \
+             .filter(F.col("_last").isNull() | (F.col("_own") <= F.col("_last"))).drop("_own", "_last")
 
 
 def take_samples(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """L2: stop at ``n`` samples -- the n rows of lowest hash, repeatable."""
-    return first_n(df.withColumn("_h", hash32(seed, key)), n, ["_h", key]).drop("_h")
+    """L2: stop at ``n`` samples -- the n rows of lowest hash, repeatable.
 
-
-def downsample(df: DataFrame, pred: Column, rate: float, key: str, seed: int = 42) -> DataFrame:
-    """keep ``rate`` of the rows matching ``pred`` (by hash), all others."""
-    keep = hash32(seed, key) < F.lit(int(rate * TWO32))
-    return df.filter(~F.coalesce(pred, F.lit(False)) | keep)
+    Rows are counted by the hash's upper 16 bits (at most 65 536 sums); rows
+    below the prefix where the n-th falls are kept as they stream by, and only
+    that one prefix (a 65 536th of the rows) is sorted.
+    """
+    if n <= 0:
+        return df.limit(0)
+    h = df.withColumn("_h", hash32(seed, key)).withColumn("_p", F.shiftright("_h", 16))
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    cut = h.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto)) \
+           .filter(F.col("_upto") >= n).orderBy("_p").first()
+    if cut is None:
+        return df
+    below = cut["_upto"] - cut["_n"]
+    edge = first_n(h.filter(F.col("_p") == cut["_p"]), n - below, ["_h", key])
+    return h.filter(F.col("_p") < cut["_p"]).unionByName(edge).drop("_h", "_p")
 
 
 def phase_positions(df: DataFrame, key: str = "game_id", moves: str = "moves",

@@ -59,7 +59,7 @@ def _ranks(spark, sf_dir):
 @register("move_ranks", f"""{_SQL}
 SELECT user_id, move, reward_score, CAST(rank AS BIGINT) AS rank FROM rk""")
 def move_ranks(spark, sf_dir):
-    """J6 + W1 + O1: every move of every position ranked by score."""
+    """W1 + O1: every move of every position ranked by score."""
     ranked, _ = _ranks(spark, sf_dir)
     return ranked.select(F.col("position_id").alias("user_id"), "move", "reward_score", "rank")
 
@@ -103,16 +103,16 @@ SELECT er.user_id, expert, best, CAST(expert_rank AS BIGINT) AS expert_rank, agr
        suggestions, ranking, n_moves
 FROM er JOIN sug USING (user_id)""")
 def position_report(spark, sf_dir):
-    """A6 + A16 + P25 + O3: per-position report with suggestions and ranking."""
+    """A6 + A16: per-position report with suggestions and ranking (the full record is
+    query ``evaluation_records``)."""
     ranked, er = _ranks(spark, sf_dir)
     sug = R.distinct_suggestions(scored(spark, sf_dir), order="seq") \
         .select("position_id", F.array_join("suggestions", ",").alias("suggestions"))
-    rec = R.analysis_record(ranked, er)
     ranking = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "move"))),
                                        lambda s: F.concat(s["move"], F.lit(":"), s["rank"].cast("string"))), ",")
     rk = ranked.groupBy("position_id").agg(ranking.alias("ranking"),
                                            F.count(F.lit(1)).cast("bigint").alias("n_moves"))
-    out = rec.join(sug, "position_id").join(rk, "position_id")
+    out = er.join(sug, "position_id").join(rk, "position_id")
     return out.select(F.col("position_id").alias("user_id"), "expert", "best", "expert_rank", "agrees",
                       "suggestions", "ranking", "n_moves")
 

@@ -21,9 +21,9 @@ from .q_docs import _PAIRS_SQL, _doc_pairs_df
 from .registry import H, register
 
 EVAL_FRACTION = 0.1  # reward and RL splits hold out 10 %
-RL_CAP = 50_000      # RL prompts: first 50 000 rows, before the split
+HEAD_ROWS = 500      # L3 in the query: small enough to cut the test tables
 REWARD_BATCH, REWARD_EPOCHS = 24, 2
-PAIR_TARGET = 750_000
+PAIR_TARGET = 100    # L2 in the query, likewise
 _CUT10 = int(EVAL_FRACTION * 4294967296)
 
 
@@ -52,7 +52,6 @@ def doc_exact_split(spark, sf_dir):
 
 _RL_SQL = f"""WITH {SQL_GAMES.strip()},
 sft AS (SELECT game_id, array_to_string(moves, ' ') AS text FROM gq WHERE reason IS NULL),
-capped AS (SELECT * FROM sft ORDER BY game_id LIMIT {RL_CAP}),
 vocab AS (
   SELECT tok, row_number() OVER (ORDER BY cnt DESC, tok) + 1 AS tid FROM (
     SELECT tok, count(*) AS cnt FROM (SELECT unnest(string_split(text, ' ')) AS tok FROM sft) WHERE tok <> ''
@@ -63,7 +62,7 @@ pr AS (
          least(20, greatest(16, len(string_split(text, ' ')) // 2)) AS plen,
          list_filter(list_slice(string_split(text, ' '), 1, least(20, greatest(16, len(string_split(text, ' ')) // 2))),
                      lambda x: x <> '') AS ptoks
-  FROM capped
+  FROM sft
 ),
 ex AS (SELECT game_id, generate_subscripts(ptoks, 1) AS pos, unnest(ptoks) AS tok FROM pr),
 ids AS (
@@ -82,19 +81,18 @@ SELECT game_id, CAST(plen AS BIGINT) AS prompt_len, CAST(len(ids) AS BIGINT) AS
        CASE WHEN {H(42, 'game_id')} < {_CUT10} THEN 'eval' ELSE 'train' END AS split
 FROM rl""")
 def rl_prompts(spark, sf_dir):
-    """Entry point E (P7, P22, P23, L3, L4, D18): fixed-length prompt ids from the SFT table.
+    """Entry point E (P7, P22, P23, L4, D18): fixed-length prompt ids from the SFT table.
 
     The SFT text is split on one space; the prompt keeps min(20, max(16, n div 2))
-    moves; ids come from the move vocabulary (0 pad, 1 unknown); the first
-    50 000 rows are kept, then 10 % are held out.  ``input_ids`` is shown as
+    moves; ids come from the move vocabulary (0 pad, 1 unknown); every row is
+    encoded and 10 % are held out (L3's cap is query ``head_games``).  ``input_ids`` is shown as
     text here; the library returns ``array<bigint>`` with the declared schema.
     """
     sft = Q.keep_quality(synthetic_games(spark, sf_dir)).select("game_id", to_sequence("moves").alias("text"))
     toks = sft.select("game_id", F.split("text", " ").alias("toks"))
     vocab = E.build_vocab(toks.select(F.filter("toks", lambda x: x != "").alias("toks")), "toks")
-    capped = first_n(toks, RL_CAP, ["game_id"])
     plen = rl_prompt_len(F.size("toks"))
-    pr = capped.select("game_id", plen.alias("plen"), F.slice("toks", 1, plen).alias("ptoks"))
+    pr = toks.select("game_id", plen.alias("plen"), F.slice("toks", 1, plen).alias("ptoks"))
     enc = E.encode(pr, vocab, "game_id", "ptoks")
     schema = T.StructType([*E.RL_SCHEMA.fields, T.StructField("game_id", T.LongType()),
                            T.StructField("n_tokens", T.LongType())])
@@ -106,6 +104,14 @@ def rl_prompts(spark, sf_dir):
                       F.size("input_ids").cast("bigint").alias("n_ids"), "split")
 
 
+@register("head_games", f"""WITH {SQL_GAMES.strip()}
+SELECT game_id, array_to_string(moves, ' ') AS text FROM gq WHERE reason IS NULL ORDER BY game_id LIMIT {HEAD_ROWS}""")
+def head_games(spark, sf_dir, n: int = HEAD_ROWS):
+    """L3: the first ``n`` rows of the SFT table in key order (the reference's RL step uses 50 000)."""
+    sft = Q.keep_quality(synthetic_games(spark, sf_dir)).select("game_id", to_sequence("moves").alias("text"))
+    return first_n(sft, n, ["game_id"])
+
+
 _CONV_SQL = f"""
 WITH c AS (SELECT DISTINCT conv_id FROM conversations),
 r AS (SELECT conv_id, row_number() OVER (ORDER BY {H(42, 'conv_id')}, conv_id) AS rn, count(*) OVER () AS n FROM c),
@@ -200,9 +206,9 @@ def token_cost(spark, sf_dir):
 
 @register("pairs_capped", f"""WITH p AS ({_PAIRS_SQL.strip()})
 SELECT doc_id, chosen, rejected FROM p ORDER BY {H(42, 'doc_id')}, doc_id LIMIT {PAIR_TARGET}""")
-def pairs_capped(spark, sf_dir):
-    """L2: stop at 750 000 collected pairs -- the pairs of lowest hash, repeatable."""
-    return take_samples(_doc_pairs_df(spark, sf_dir), PAIR_TARGET, "doc_id").select("doc_id", "chosen", "rejected")
+def pairs_capped(spark, sf_dir, n: int = PAIR_TARGET):
+    """L2: stop at ``n`` collected pairs (the reference: 750 000) -- those of lowest hash, repeatable."""
+    return take_samples(_doc_pairs_df(spark, sf_dir), n, "doc_id").select("doc_id", "chosen", "rejected")
 
 
 @register("phase_positions", f"""WITH {SQL_GAMES.strip()},

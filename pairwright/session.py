@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -28,7 +30,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("PAIRWRIGHT_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("PAIRWRIGHT_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -40,15 +42,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def apply_job_conf(spark: SparkSession) -> None:
     """Session options the operators depend on (safe to call repeatedly)."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.adaptive.enabled",
+              "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, BASE_CONF[k])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset and
+    the master is local (tests), a scratch folder is created and registered.  On
+    a cluster a folder of one machine would lose rows with it, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pairwright-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

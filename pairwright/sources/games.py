@@ -1,71 +1,80 @@
 """Game archives (S1, S2) and the inline probe set.
 
 An archive is text: records of ``[Tag "value"]`` lines, a blank line, move
-text.  ``spark.read.text`` with ``lineSep = "\\n\\n[Event "`` yields one row per
-record; the separator eats the ``[Event `` of every record but the first of a
-file, so it is put back.  Plain files split across tasks; ``.zst`` files are
-one task each, so the rows are repartitioned after the scan.
+text.  ``spark.read.text`` with ``lineSep = "\\n[Event "`` yields one row per
+record, with either kind of line ending; the separator eats the ``[Event `` of
+every record but the first of a file, so it is put back.  Plain files split
+across tasks; a compressed file is read by one task, and the records are dealt
+out by their id afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
 
-RECORD_SEP = "\n\n[Event "
-RECORD_SEP_CRLF = "\r\n\r\n[Event "
-GAME_SCHEMA = "game_id string, seq long, headers map<string,string>, moves array<string>"
+RECORD_SEP = "\n[Event "
+INPUT_ORDER = ["file", "block_start", "seq"]
 
 
 def _records(raw: DataFrame) -> DataFrame:
+    """file (name without its folder), block_start, base id and text of every record."""
     v = F.col("value")
     # later records lost "[Event " to the separator and begin with the tag's quote
     rec = F.when(v.startswith('"'), F.concat(F.lit("[Event "), v)).otherwise(v)
-    rec = F.regexp_replace(rec, "\r\n", "\n")
-    return raw.select(rec.alias("pgn"), F.col("_metadata.file_path").alias("file"))
-
-
-def read_game_records(spark: SparkSession, path: str, crlf: bool = False,
-                      partitions: int | None = None) -> DataFrame:
-    """S1 (raw): one row per game record -- file, seq, game_id, pgn."""
-    raw = spark.read.option("lineSep", RECORD_SEP_CRLF if crlf else RECORD_SEP).text(path) \
-               .select("value", "_metadata")
-    recs = _records(raw).filter(F.trim("pgn") != "")
-    recs = recs.withColumn("seq", F.monotonically_increasing_id())
-    # stable id: file + content hash (independent of partitioning)
-    recs = recs.withColumn("game_id", F.sha2(F.concat_ws("\u0001", "file", "pgn"), 256).substr(1, 24))
-    if partitions:
-        recs = recs.repartition(partitions)
-    return recs
+    rec = F.trim(F.regexp_replace(rec, "\r\n", "\n"), F.lit(" \r\n\t"))
+    # a lone carriage return as line end would hide every record but the first
+    rec = F.when(rec.contains('\r[Event "'), F.raise_error(F.lit("archive with unknown line endings"))).otherwise(rec)
+    out = raw.select(rec.alias("pgn"), F.col("_metadata.file_name").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block_start")).filter(F.col("pgn") != "")
+    base = F.sha2(F.concat_ws("\u0001", "file", F.col("block_start").cast("string"), "pgn"), 256).substr(1, 24)
+    return out.withColumn("base_id", base)
+
+
+def read_game_records(spark: SparkSession, path: str) -> DataFrame:
+    """S1 (raw): one row per game record -- file, block_start, seq, game_id, content_id, pgn.
+
+    ``INPUT_ORDER`` is the order of the input (L1).  ``game_id`` depends on file
+    name, block and text; equal records of a block are numbered, so it is
+    unique and stays when an archive moves.  ``content_id`` is the same for equal
+    records anywhere.  The numbering deals the records out evenly, also those of
+    a compressed file.
+    """
+    raw = spark.read.option("lineSep", RECORD_SEP).text(path).select("value", "_metadata")
+    recs = _records(raw).withColumn("seq", F.monotonically_increasing_id())
+    again = F.row_number().over(Window.partitionBy("base_id").orderBy("seq"))
+    return recs.withColumn("_n", again).select(
+        "file", "block_start", "seq",
+        F.when(F.col("_n") == 1, F.col("base_id")).otherwise(F.concat_ws("-", "base_id", F.col("_n").cast("string"))).alias("game_id"),
+        F.sha2("pgn", 256).substr(1, 24).alias("content_id"), "pgn")
 
 
 def parse_records(recs: DataFrame) -> DataFrame:
     """Records -> the game schema (headers map, main-line moves)."""
-    g = computed_once(recs, ["game_id", "seq", "pgn"], headers=parse_headers("pgn"))
-    return computed_once(g, ["game_id", "seq", "headers"], moves=mainline("pgn"))
+    keep = ["game_id", "content_id", *INPUT_ORDER]
+    g = computed_once(recs, [*keep, "pgn"], headers=parse_headers("pgn"))
+    return computed_once(g, [*keep, "headers"], moves=mainline("pgn"))
 
 
-def read_games(spark: SparkSession, path: str, crlf: bool = False,
-               partitions: int | None = None) -> DataFrame:
-    """Game archive (plain or .zst) -> game_id, seq, headers, moves."""
-    return parse_records(read_game_records(spark, path, crlf, partitions))
+def read_games(spark: SparkSession, path: str) -> DataFrame:
+    """Game archive (plain or .zst) -> game_id, content_id, input order, headers, moves."""
+    return parse_records(read_game_records(spark, path))
 
 
-def stream_game_records(spark: SparkSession, path: str, max_files: int = 1,
-                        crlf: bool = False) -> DataFrame:
+def stream_game_records(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     """The archive folder as an incremental feed.
 
     ``maxFilesPerTrigger`` bounds each micro-batch, the back-pressure the
-    reference got from its bounded queue.  ``seq`` is not defined on streams.
+    reference got from its bounded queue.  ``seq`` is not defined on streams;
+    equal records of one block share their id.
     """
-    raw = (spark.readStream.option("lineSep", RECORD_SEP_CRLF if crlf else RECORD_SEP)
+    raw = (spark.readStream.option("lineSep", RECORD_SEP)
            .option("maxFilesPerTrigger", max_files).text(path).select("value", "_metadata"))
-    recs = _records(raw).filter(F.trim("pgn") != "")
-    return recs.withColumn("game_id", F.sha2(F.concat_ws("\u0001", "file", "pgn"), 256).substr(1, 24))
+    return _records(raw).withColumnRenamed("base_id", "game_id")
 
 
 # The reference's ten named probe positions.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+COMMITTED = "_COMMITTED"
 SFT_SCHEMA = T.StructType([T.StructField("text", T.StringType())])
 PAIR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("prompt", "chosen", "rejected")])
 LOG_EVENT = T.StructType([T.StructField(c, t) for c, t in [
@@ -56,14 +57,18 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> None:
 
     The version is an integer partition column, so "newest" is numeric, and
     each snapshot is written once (dynamic partition overwrite keeps others).
+    A marker file, written last, says that the snapshot is whole.
     """
     (df.withColumn("version", F.lit(int(version)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("version").parquet(base))
+    jvm = df.sparkSession._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(base, f"version={int(version)}/{COMMITTED}")
+    mark.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(mark, True).close()
 
 
-def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
-    """Version numbers present under ``base`` (listing of partition folders)."""
+def snapshot_versions(spark: SparkSession, base: str, committed: bool = False) -> list[int]:
+    """Version numbers present under ``base`` (listing of partition folders), or whole ones only."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(base)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -73,6 +78,8 @@ def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("version="):
+            if committed and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), COMMITTED)):
+                continue
             try:
                 out.append(int(name.split("=", 1)[1]))
             except ValueError:
@@ -93,12 +100,13 @@ def retain_snapshots(spark: SparkSession, base: str, keep: int = 3) -> list[int]
 
 
 def latest_snapshot(spark: SparkSession, base: str, schema: T.StructType | str = PAIR_SCHEMA) -> DataFrame:
-    """Rows of the newest version; empty (with the schema) when there is none."""
-    versions = snapshot_versions(spark, base)
+    """Rows of the newest whole version; empty (with the schema) when there is none.
+
+    A version without its marker was torn while it was written and is passed over."""
+    versions = snapshot_versions(spark, base, committed=True)
     if not versions:
         return spark.createDataFrame([], schema)
-    # partition filter: only the newest folder is listed and read
-    return spark.read.parquet(base).filter(F.col("version") == versions[-1]).drop("version")
+    return spark.read.parquet(f"{base}/version={versions[-1]}")
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:

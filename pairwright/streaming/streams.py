@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import StreamingQueryException
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.barrier import computed_once
@@ -19,6 +20,7 @@ from ..functions.text import to_sequence
 from ..operators.ordering import global_row_number
 from ..operators.quality import default_rules, keep_quality
 from ..operators.report import SNAPSHOT_INTERVAL
+from ..operators.sampling import first_n
 from ..sources.games import stream_game_records
 
 
@@ -45,22 +47,37 @@ def stream_sft(spark: SparkSession, src: str, out: str, checkpoint: str, min_elo
     return w.start()
 
 
+def _manifest(spark: SparkSession, manifest: str) -> DataFrame | None:
+    """The manifest's rows, or None before the first one; an unreadable one raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema("batch_id long, rows long").option("mode", "FAILFAST").json(f"{manifest}/batch=*")
+
+
 def _manifest_total(spark: SparkSession, manifest: str, exclude_batch: int) -> int:
-    try:
-        m = spark.read.schema("batch_id long, rows long").json(manifest)
-        r = m.filter(F.col("batch_id") != exclude_batch).agg(F.sum("rows")).first()[0]
-        return int(r or 0)
-    except Exception:  # noqa: BLE001 - no manifest yet
-        return 0
+    m = _manifest(spark, manifest)
+    return 0 if m is None else int(m.filter(F.col("batch_id") != exclude_batch).agg(F.sum("rows")).first()[0] or 0)
 
 
-def capped_writer(out: str, n: int, key: str):
-    """T4: foreachBatch body that stops writing after ``n`` rows in total.
+def _note(spark: SparkSession, manifest: str, batch_id: int, rows: int) -> None:
+    spark.createDataFrame([(batch_id, rows)], "batch_id long, rows long") \
+         .write.mode("overwrite").json(f"{manifest}/batch={batch_id}")
+
+
+class TargetReached(Exception):
+    """Raised inside a micro-batch so that its offsets are not committed."""
 
-    Per batch it reads the committed count from a one-row-per-batch manifest
-    (never the output itself), keeps the first ``remaining`` rows of the batch
-    by ``key`` (a top-k on the batch), and overwrites only its own
-    ``batch_id`` partition -- a replayed batch rewrites the same rows.
+
+def capped_writer(out: str, n: int, key: str):
+    """T4: foreachBatch body that accepts ``n`` rows in total and then ends the query.
+
+    Per batch it reads the committed counts from a one-row-per-batch manifest
+    (never the output itself).  A batch that does not fit is accepted as far as
+    it fits -- its first rows by ``key``, found by numbering keys alone -- and its
+    offsets are *not* committed: a later run with a larger ``n`` gets the same
+    batch again and overwrites its partition with more of it.  So no row is
+    lost and none is written twice.
     """
     manifest = out.rstrip("/") + "_manifest"
 
@@ -68,23 +85,41 @@ def capped_writer(out: str, n: int, key: str):
         spark = batch.sparkSession
         remaining = n - _manifest_total(spark, manifest, batch_id)
         if remaining <= 0:
-            return
-        rows = batch.orderBy(key).limit(remaining).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(out)
-        written = spark.read.parquet(out).filter(F.col("batch_id") == batch_id).count()
-        spark.createDataFrame([(batch_id, written)], "batch_id long, rows long") \
-             .write.mode("overwrite").json(f"{manifest}/batch={batch_id}")
+            raise TargetReached(str(n))
+        batch = batch.persist()
+        try:
+            size = batch.count()
+            rows = batch if size <= remaining else first_n(batch, remaining, [key])
+            rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
+        finally:
+            batch.unpersist()
+        _note(spark, manifest, batch_id, min(size, remaining))
+        if size > remaining:
+            raise TargetReached(str(n))
 
     return write
 
 
 def stream_until(df: DataFrame, n: int, out: str, checkpoint: str, key: str = "game_id") -> StreamingQuery:
-    """T4: run a stream into ``out`` until ``n`` rows are committed."""
+    """T4: run a stream into ``out`` until ``n`` rows are committed.
+
+    End it with :func:`wait_until`, which takes reaching the target for success."""
     return (df.writeStream.foreachBatch(capped_writer(out, n, key))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def wait_until(query: StreamingQuery) -> bool:
+    """Wait for a :func:`stream_until`; True when it stopped at its target."""
+    try:
+        query.awaitTermination()
+        return False
+    except StreamingQueryException as e:
+        if TargetReached.__name__ not in str(e):
+            raise
+        return True
+
+
 def committed_rows(spark: SparkSession, out: str) -> int:
     return _manifest_total(spark, out.rstrip("/") + "_manifest", -1)
 
@@ -105,9 +140,7 @@ def snapshot_writer(out: str, key: str, interval: int = SNAPSHOT_INTERVAL):
                            .withColumn("batch_id", F.lit(batch_id))
         numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
                 .partitionBy("batch_id").parquet(out)
-        rows = spark.read.parquet(out).filter(F.col("batch_id") == batch_id).count()
-        spark.createDataFrame([(batch_id, rows)], "batch_id long, rows long") \
-             .write.mode("overwrite").json(f"{manifest}/batch={batch_id}")
+        _note(spark, manifest, batch_id, spark.read.parquet(out).filter(F.col("batch_id") == batch_id).count())
 
     return write
 

@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"reward_fit_eval", "plugin_scores", "plugin_pairs"}
+# a fitted model: held to an accuracy floor in test_models instead
+ROWS_ONLY = {"reward_fit_eval"}
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -19,7 +20,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == ROWS_ONLY
+    own = set(E.queries()) - set(E.LLM_QUERIES)
+    assert own - set(E.oracle_sql()) == ROWS_ONLY
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
@@ -32,7 +34,8 @@ def _norm(rows, cols):
 
 
 @pytest.mark.parametrize("name", ["doc_pairs", "game_quality_report", "sft_games", "expert_ranks",
-                                  "conversation_pairs", "label_pairs", "student_pairs", "rl_prompts"])
+                                  "conversation_pairs", "label_pairs", "student_pairs", "rl_prompts",
+                                  "corpus_expert", "evaluation_records", "plugin_pairs", "reward_scores", "opening_cap"])
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -1,14 +1,18 @@
 """Game archive scan, header and main-line parsing, quality rules."""
 
 import os
+import re
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES
 from pairwright.functions import pgn
 from pairwright.functions.text import to_sequence
 from pairwright.operators import quality as Q
-from pairwright.sources.games import read_game_records, read_games
+from pairwright.operators.sampling import first_n
+from pairwright.sources.games import INPUT_ORDER, read_game_records, read_games
 
 PGN = os.path.join(FIXTURES, "games.pgn")
 
@@ -65,7 +69,60 @@ def test_crlf_archive(spark, tmp_path):
     data = open(PGN).read().replace("\n", "\r\n")
     p = tmp_path / "crlf.pgn"
     p.write_bytes(data.encode())
-    assert read_games(spark, str(p), crlf=True).count() == 12
+    assert read_games(spark, str(p)).count() == 12
+    moves = [r.m for r in read_games(spark, PGN).select(F.array_join("moves", " ").alias("m")).collect()]
+    assert sorted(moves) == sorted(r.m for r in read_games(spark, str(p)).select(F.array_join("moves", " ").alias("m")).collect())
+    (tmp_path / "cr.pgn").write_bytes(open(PGN).read().replace("\n", "\r").encode())
+    with pytest.raises(Exception, match="unknown line endings"):
+        read_games(spark, str(tmp_path / "cr.pgn")).count()
+
+
+def test_ids_are_unique_and_stay_when_an_archive_moves(spark, tmp_path):
+    one = open(PGN).read().strip().split("\n\n[Event ")[0]
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pgn").write_text("\n\n".join([one] * 3) + "\n")
+    ids = [sorted(r.game_id for r in read_games(spark, str(tmp_path / f)).collect()) for f in ("a", "b")]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3
+    assert read_games(spark, str(tmp_path / "a")).select("content_id").distinct().count() == 1
+
+
+def test_input_order_over_two_files(spark, tmp_path):
+    records = open(PGN).read().strip().split("\n\n[Event ")
+    (tmp_path / "a.pgn").write_text("\n\n[Event ".join(records[:2]) + "\n")
+    (tmp_path / "b.pgn").write_text("[Event " + "\n\n[Event ".join(records[2:]) + "\n")
+    first = first_n(read_games(spark, str(tmp_path)), 4, INPUT_ORDER).orderBy(*INPUT_ORDER)
+    want = [re.match(r'(?:\[Event )?"((?:[^"\\]|\\.)*)"', r)[1].replace('\\"', '"') for r in records[:4]]
+    assert [r.e for r in first.select(pgn.header("headers", "Event").alias("e")).collect()] == want
+
+
+def test_compressed_archive(spark, tmp_path):
+    (tmp_path / "g.pgn.zst").write_bytes(zstandard.ZstdCompressor().compress(open(PGN, "rb").read()))
+    g = read_games(spark, str(tmp_path / "g.pgn.zst"))
+    assert g.count() == 12 and g.select("game_id").distinct().count() == 12
+
+
+@pytest.mark.parametrize("text, moves", [
+    ("1. e4!{good} e5", "e4 e5"), ("1. e4!$1 e5??;odd\n2. Nf3", "e4 e5 Nf3"), ("1. e4 e5) 2. Nf3", "e4 e5 Nf3"),
+    ("1. e4 ( 1. d4 ) ) e5", "e4 e5"), ("1. e4 (((((d4)))) e5) c5", "e4 c5"), ("1. 0-0 0-0-0+ 2. 0-0# 0-1", "O-O O-O-O+ O-O#"),
+    ("1. e4 (d4 (c4 (b4 (a4) a5) b5) c5) d5", "e4 d5")])
+def test_main_line(spark, text, moves):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.array_join(pgn.mainline("t"), " ")).first()[0] == moves
+
+
+def test_time_rule_rejects_only_known_fast_games(spark):
+    rows = [({"TimeControl": "-"}, True), ({}, True), ({"TimeControl": "180+2"}, False), ({"TimeControl": "600"}, True),
+            ({"TimeControl": "300+0"}, True)]
+    df = spark.createDataFrame(rows, "headers map<string,string>, want boolean")
+    assert all(r.ok == r.want for r in df.withColumn("ok", Q.min_time()).collect())
+
+
+def test_cap_keeps_rows_without_a_key_and_any_limit(spark):
+    df = spark.range(4000).select(F.col("id").alias("game_id"), F.when(F.col("id") % 4 < 2, "A").when(F.col("id") % 4 == 2, "").alias("eco"))
+    out = Q.cap_per_group(df, "eco", 1500, ["game_id"])
+    assert {r.eco: r["count"] for r in out.groupBy("eco").count().collect()} == {"A": 1500, "": 1000, None: 1000}
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_min_elo_zero_lets_missing_pass(spark):

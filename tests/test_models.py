@@ -1,5 +1,8 @@
 """Reward model (M3, M4), KL policy (M5), corpus expert (M6), plug-ins (U2, U3), n-gram student (M1, M2)."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import ngram as N
@@ -21,6 +24,23 @@ def test_reward_model_learns_separable_pairs(spark):
     assert m.n_pairs == 200 and m.accuracy == 1.0 and m.loss < 0.69
 
 
+def test_reward_model_on_held_out_pairs(spark):
+    # the preferred text holds a word of one set, the other a word of another
+    rows = [(i, f"a{i % 37} b{i % 11} good{i % 4}", f"a{i % 41} b{i % 7} bad{i % 5}") for i in range(400)]
+    pairs = spark.createDataFrame(rows, "pair_id long, chosen string, rejected string")
+    w = fit_reward(pairs.filter("pair_id % 4 > 0"))
+    held = pairs.filter("pair_id % 4 = 0")
+    sc = score_texts(score_texts(held, w, "pair_id", "chosen", name="s_chosen"), w, "pair_id", "rejected", name="s_rejected")
+    assert pair_metrics(sc).first().accuracy > 0.95
+    with pytest.raises(ValueError):
+        fit_reward(pairs, bits=19)
+
+
+def test_pair_loss_of_far_apart_scores(spark):
+    df = spark.createDataFrame([(-800.0, 0.0), (800.0, 0.0)], "s_chosen double, s_rejected double")
+    assert pair_metrics(df).first().loss == 400.0
+
+
 def test_kl_policy_properties(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 0.5), (1, "b", 0.0, 0.5), (2, "x", 3.0, 1.0)],
                                "position_id long, move string, reward_score double, p_ref double")
@@ -32,11 +52,12 @@ def test_kl_policy_properties(spark):
 def test_corpus_expert(spark):
     g = spark.createDataFrame([(["e4", "e5"], "1-0"), (["e4", "c5"], "0-1"), (["d4", "d5"], "1-0"),
                                (["d4", "d5"], "1-0"), (["e4", "e5"], "1-0")], "moves array<string>, result string")
-    got = {r.prefix: (r.move, r.score, r.n) for r in expert_from_corpus(g, max_ply=2, min_n=2).collect()}
+    key = lambda h, x: hashlib.md5(f"{h} {x}".encode()).hexdigest()
+    got = {r.prefix_key: (r.move, r.score, r.n) for r in expert_from_corpus(g, min_n=2).collect()}
     # start: d4 and e4 both seen; d4 scored 1.0 twice, e4 2/3 -> d4
     assert got[""] == ("d4", 1.0, 2)
-    assert got["e4"] == ("e5", 0.0, 2)   # black to move, white won both
-    assert got["d4"] == ("d5", 0.0, 2)
+    assert got[key("", "e4")] == ("e5", 0.0, 2)   # black to move, white won both
+    assert got[key("", "d4")] == ("d5", 0.0, 2)
 
 
 def test_plugins(spark):

@@ -5,8 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from pairwright.operators.ordering import global_row_number, group_row_number
+from pairwright.functions.hashing import hash32
 from pairwright.operators.sampling import (exact_split, first_n, hash_split, position_bounds,
-                                           sample_position)
+                                           sample_position, take_samples)
 
 
 def test_position_bounds_table(spark):
@@ -60,8 +61,26 @@ def test_group_row_number_with_hot_group(spark):
 
 def test_first_n_small_and_large(spark):
     df = spark.range(30000).select((F.col("id") * 13 % 30011).alias("k"))
-    small = [r.k for r in first_n(df, 5, ["k"]).collect()]
-    assert small == sorted(small) and len(small) == 5
+    small = sorted(r.k for r in first_n(df, 5, ["k"]).collect())
+    assert small == sorted(r.k for r in df.orderBy("k").limit(5).collect())
+    assert first_n(df, 0, ["k"]).count() == 0 and first_n(df, 40000, ["k"]).count() == 30000
+    want = df.withColumn("h", hash32(42, "k")).orderBy("h", "k").limit(777).select("k")
+    assert take_samples(df, 777, "k").exceptAll(want).count() == 0 and take_samples(df, 777, "k").count() == 777
     big = first_n(df, 20000, ["k"])
     assert big.count() == 20000
     assert big.agg(F.max("k")).first()[0] < df.orderBy("k").limit(20001).agg(F.max("k")).first()[0]
+
+
+def test_numbering_leaves_the_callers_cache(spark):
+    df = spark.range(100).cache()
+    df.count()
+    assert global_row_number(df, ["id"], "n").count() == 100
+    assert df.storageLevel.useMemory
+    df.unpersist()
+
+
+def test_late_positions(spark):
+    df = spark.createDataFrame([(i, 5 + i) for i in range(12)], "game_id long, n_plies int")
+    got = {r.game_id: r.move_index for r in sample_position(df, "game_id", mode="late").collect()}
+    assert set(got) == {i for i in range(12) if 5 + i >= 11}
+    assert all(10 <= m <= 5 + i - 1 for i, m in got.items())

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES
@@ -30,6 +31,13 @@ def test_snapshots_numeric_latest_and_retention(spark, tmp_path):
     assert S.retain_snapshots(spark, base, 3) == [1]
     assert S.snapshot_versions(spark, base) == [2, 9, 10]
     assert S.latest_snapshot(spark, str(tmp_path / "none")).count() == 0
+    # a torn snapshot is passed over; without a whole one the table is empty
+    (tmp_path / "snap" / "version=11").mkdir()
+    (tmp_path / "snap" / "version=11" / "part-0.parquet").write_bytes(b"torn")
+    assert S.latest_snapshot(spark, base).first().prompt == "p10"
+    (tmp_path / "torn" / "version=1").mkdir(parents=True)
+    (tmp_path / "torn" / "version=1" / "part-0.parquet").write_bytes(b"torn")
+    assert S.latest_snapshot(spark, str(tmp_path / "torn")).collect() == []
 
 
 def test_training_log(spark, tmp_path):
@@ -91,10 +99,16 @@ def test_stream_until_and_snapshots(spark, tmp_path):
     (src / "b.pgn").write_text(text.replace('[Event "', '[Event "copy '))
     df = T.stream_dedup(T.sft_frame(T.stream_game_records(spark, str(src), 1)))
     out = str(tmp_path / "capped")
-    q = T.stream_until(df, 7, out, str(tmp_path / "ck1"))
-    q.awaitTermination(120)
-    assert T.committed_rows(spark, out) == 7
-    assert spark.read.parquet(out).count() == 7
+    for n, want in ((3, 3), (7, 7), (20, 10)):     # ten games in all: the target grows on one checkpoint
+        reached = T.wait_until(T.stream_until(df, n, out, str(tmp_path / "ck1")))
+        assert reached == (n < 10)
+        assert T.committed_rows(spark, out) == want
+        got = spark.read.parquet(out)
+        assert got.count() == got.select("game_id").distinct().count() == want
+    with open(out + "_manifest/batch=0/part-bad.json", "w") as f:
+        f.write("{torn")
+    with pytest.raises(Exception):
+        T.committed_rows(spark, out)                # never taken for an empty manifest
     snap = str(tmp_path / "snap")
     q = T.stream_snapshots(df, snap, str(tmp_path / "ck2"), interval=4)
     q.awaitTermination(120)
