@@ -25,13 +25,6 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(normalise_space(text), " "), "")
 
 
-def kgrams(text, k: int) -> Column:
-    """Every run of ``k`` consecutive tokens as one space-joined string, in order
-    (overlapping, via a zero-width match at each token start)."""
-    pat = r"(?<=^| )(?=([^ ]+" + r"(?: [^ ]+)" * (k - 1) + r"))"
-    return F.regexp_extract_all(normalise_space(text), F.lit(pat), 1)
-
-
 def to_sequence(moves) -> Column:
     """Moves joined by one space; empty array gives ''."""
     return F.array_join(_c(moves), " ")

@@ -5,14 +5,15 @@ repetition penalty, temperature, top-k and top-p.  Here the model is the
 table ``(ctx_len, ctx, next, count, ctx_total, prob)`` of next-move counts
 given the last 0..n tokens, and every decoding step is a relational step:
 
-* contexts are built inside each sequence with ``transform`` and exploded once
-  (the full sequence is never copied onto exploded rows);
-* counts use partial (map-side) aggregation, so a hot context is combined
-  before the shuffle;
+* a context and its next token are one string, the k-gram, built inside each
+  sequence and exploded once, so an exploded row is one short string;
+* counts use partial (map-side) aggregation by k-gram; the empty context, which
+  every token would share, is never exploded: its counts are the 1-gram counts;
+* a context's total is a window sum over its counted rows (at most the
+  vocabulary), so nothing is written or joined back; the empty context's total
+  is one number;
 * per-context top-k uses ``row_number() <= k``, which Spark plans with a
-  partial ``WindowGroupLimit`` before the shuffle;
-* a context's total is a second partial aggregate joined back (one row per
-  context on the small side; AQE skew-join splits hot contexts).
+  partial ``WindowGroupLimit`` before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from ..functions.text import kgrams
-from .ordering import group_row_number, materialize
+from .ordering import group_row_number
 
 # Decoding settings of the reference's student (fixed values):
 # 8 continuations per prompt, top_k 40, top_p 0.9, temperature 0.8,
@@ -32,58 +32,51 @@ TOP_K = 40
 TOP_P = 0.9
 TEMPERATURE = 0.8
 REPETITION_PENALTY = 1.1
+TOTAL_GROUPS = 1024   # groups over which the empty context's rows are spread
 
 
-def context_struct(arr: Column, i: Column, c: int) -> Column:
-    """Text of the ``c`` tokens before 0-based position ``i`` ('' for c=0)."""
-    if c == 0:
-        return F.lit("")
-    return F.array_join(F.slice(arr, i - F.lit(c - 1), F.lit(c)), " ")
+# Rows of needed contexts that may be broadcast to filter k-grams before they are counted.
+BROADCAST_CONTEXTS = 1_000_000
 
 
-def ngram_rows(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
-               keep: tuple[str, ...] = (), min_ctx: int = 0, text: str | None = None) -> DataFrame:
-    """One row per (token, context length): ``ctx_len, ctx, next``.
-
-    Built from whole sequences: the context of length c before token i is the
-    c-gram starting at i - c; c-grams are built from (c-1)-grams with one
-    ``zip_with`` each, then ``arrays_zip(c-grams, tokens shifted by c)`` lists
-    every (context, next) pair; all lengths are concatenated and exploded once.
-    With ``text`` the c-grams come from the raw text (one regex pass each).
-    """
-    arr = F.col(moves)
+def _grams(arr: Column, size: int) -> Column:
+    """Every run of ``size`` tokens, joined by spaces."""
     n = F.size(arr)
-    pair = "array<struct<ctx:string,next:string>>"
-    parts = []
-    grams = arr  # grams[i] = the c tokens starting at i (c = 1 first)
-    for c in range(0, max_ctx + 1):
-        if c >= 2:
-            if text is not None:
-                grams = kgrams(F.col(text), c)
-            else:
-                k = F.greatest(n - F.lit(c - 1), F.lit(0))
-                grams = F.zip_with(F.slice(grams, 1, k), F.slice(arr, c, k),
-                                   lambda a, b: F.concat(a, F.lit(" "), b))
-        if c < min_ctx:
-            continue
-        m = F.greatest(n - F.lit(c), F.lit(0))
-        ctx = F.array_repeat(F.lit(""), n) if c == 0 else F.slice(grams, 1, m)
-        nxt = F.slice(arr, c + 1, m) if c else arr
-        parts.append(F.when(m > 0, F.arrays_zip(ctx, nxt).cast(pair))
-                     .otherwise(F.array().cast(pair)))
-    out = df.select(*keep, F.explode(F.concat(*parts)).alias("p"))
-    spaces = F.length("p.ctx") - F.length(F.replace(F.col("p.ctx"), F.lit(" "), F.lit("")))
-    ctx_len = F.when(F.col("p.ctx") == "", F.lit(0)).otherwise(spaces + 1)
-    return out.select(*keep, ctx_len.cast("int").alias("ctx_len"), F.col("p.ctx").alias("ctx"),
-                      F.col("p.next").alias("next"))
+    out = arr
+    for c in range(2, size + 1):
+        k = F.greatest(n - F.lit(c - 1), F.lit(0))
+        out = F.zip_with(F.slice(out, 1, k), F.slice(arr, c, k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+def _split_gram(counts: DataFrame) -> DataFrame:
+    """``gram, count`` to ``ctx_len, ctx, next, count`` (tokens hold no space)."""
+    nxt = F.substring_index("gram", " ", -1)
+    ctx = F.substring(F.col("gram"), F.lit(1), F.greatest(F.length("gram") - F.length(nxt) - 1, F.lit(0)))
+    spaces = F.length("gram") - F.length(F.replace(F.col("gram"), F.lit(" "), F.lit("")))
+    return counts.select(spaces.cast("int").alias("ctx_len"), ctx.alias("ctx"), nxt.alias("next"), "count")
 
 
 def ngram_counts(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
-                 min_ctx: int = 0) -> DataFrame:
-    """(ctx_len, ctx, next, count), combined map-side before the shuffle."""
-    return (ngram_rows(df, moves, max_ctx, min_ctx=min_ctx)
-            .groupBy("ctx_len", "ctx", "next")
-            .agg(F.count(F.lit(1)).alias("count")))
+                 min_ctx: int = 0, contexts: DataFrame | None = None) -> DataFrame:
+    """(ctx_len, ctx, next, count), combined map-side before the shuffle.
+
+    ``contexts`` (ctx_len, ctx) keeps the rows of those contexts alone.  Few
+    contexts are broadcast and filter k-grams as they are exploded; more than
+    ``BROADCAST_CONTEXTS`` meet the counted k-grams instead, so raw rows are never
+    shuffled for the filter.
+    """
+    sizes = range(min_ctx + 1, max_ctx + 2)
+    parts = F.concat(*[_grams(F.col(moves), k) for k in sizes])
+    rows = df.select(F.explode(parts).alias("gram"))
+    if contexts is None:
+        return _split_gram(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count")))
+    wanted = contexts.select("ctx_len", "ctx").distinct()
+    if wanted.count() > BROADCAST_CONTEXTS:
+        return _split_gram(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))) \
+            .join(wanted, ["ctx_len", "ctx"], "left_semi")
+    keep = _split_gram(rows.withColumn("count", F.lit(1))).join(F.broadcast(wanted), ["ctx_len", "ctx"], "left_semi")
+    return keep.groupBy("ctx_len", "ctx", "next").agg(F.count(F.lit(1)).alias("count"))
 
 
 def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
@@ -91,22 +84,22 @@ def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
     """M1: counts and probability of the next token given the last 0..max_ctx.
 
     ``contexts`` (ctx_len, ctx) restricts the table to the contexts a set of
-    prompts can back off to.  The semi join runs before the aggregation and
-    keeps every row of those contexts, so their counts and shares are exact,
-    while the shuffle carries only what the prompts can use.
+    prompts can back off to; their counts and shares stay exact.
     """
-    rows = ngram_rows(df, moves, max_ctx, min_ctx=min_ctx)
-    if contexts is not None:
-        rows = rows.join(contexts.select("ctx_len", "ctx").distinct(), ["ctx_len", "ctx"], "left_semi")
-    counts = rows.groupBy("ctx_len", "ctx", "next").agg(F.count(F.lit(1)).alias("count"))
-    # the counts feed both the context totals and the join back; written once
-    # so the explode and the big aggregation are not run a second time
-    counts = materialize(counts)
+    counts = ngram_counts(df, moves, max_ctx, min_ctx, contexts)
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
-    totals = counts.groupBy("ctx_len", "ctx").agg(F.sum("count").alias("ctx_total"))
-    return (counts.join(totals, ["ctx_len", "ctx"])
-            .withColumn("prob", F.col("count") / F.col("ctx_total")))
+    # the empty context holds the vocabulary: its rows are spread by token and its
+    # total, the sum over those groups, is one number
+    spread = F.when(F.col("ctx_len") == 0, F.pmod(F.xxhash64("next"), F.lit(TOTAL_GROUPS))).otherwise(F.lit(-1))
+    own = Window.partitionBy("ctx_len", "ctx", "_g")
+    out = counts.withColumn("_g", spread).withColumn("ctx_total", F.sum("count").over(own)).drop("_g")
+    if min_ctx == 0:
+        zero = df.agg(F.sum(F.size(moves)).alias("_all")) if min_count == 1 else \
+            counts.filter("ctx_len = 0").agg(F.sum("count").alias("_all"))
+        out = out.crossJoin(F.broadcast(zero)).withColumn(   # one row
+            "ctx_total", F.when(F.col("ctx_len") == 0, F.col("_all")).otherwise(F.col("ctx_total"))).drop("_all")
+    return out.withColumn("prob", F.col("count") / F.col("ctx_total"))
 
 
 def top_k(model: DataFrame, k: int = TOP_K, keys=("ctx_len", "ctx"),
@@ -167,14 +160,17 @@ def sample_n(df: DataFrame, n: int = N_SAMPLES, seed: int = 42, keys=("position_
     """
     key = keys[0]
     w_order = Window.partitionBy(*keys).orderBy(F.col(prob).desc(), F.col(item))
+    # each interval begins where the one before ends, and the last takes the rest:
+    # sums of doubles leave neither gaps nor overlaps
     cum = df.withColumn("_hi", F.sum(prob).over(w_order.rowsBetween(Window.unboundedPreceding, 0))) \
-            .withColumn("_lo", F.col("_hi") - F.col(prob)) \
-            .withColumn("_tot", F.sum(prob).over(Window.partitionBy(*keys)))
+            .withColumn("_lo", F.coalesce(F.lag("_hi").over(w_order), F.lit(0.0))) \
+            .withColumn("_tot", F.max("_hi").over(Window.partitionBy(*keys))) \
+            .withColumn("_last", F.lead("_hi").over(w_order).isNull())
     draws = (df.select(*keys).distinct()
              .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))))
     draws = draws.withColumn("_u", unit_hash(seed, key, "draw"))
     j = draws.join(cum, list(keys))
-    hit = (F.col("_u") * F.col("_tot") >= F.col("_lo")) & (F.col("_u") * F.col("_tot") < F.col("_hi"))
+    hit = (F.col("_u") * F.col("_tot") >= F.col("_lo")) & ((F.col("_u") * F.col("_tot") < F.col("_hi")) | F.col("_last"))
     return j.filter(hit).select(*keys, "draw", item)
 
 

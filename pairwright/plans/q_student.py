@@ -28,6 +28,7 @@ def _parts(spark, sf_dir):
     # the prompt as tokens, recovered from the sampled slice of the sequence
     prompts = p.select(F.col("doc_id").alias("position_id"), "lang", "prompt", "expert",
                        F.split("prompt", " ").alias("moves"))
+    prompts = materialize(prompts)   # every step below reads these short rows again
     # only contexts some prompt can back off to are counted (exactly)
     needed = N.backoff_contexts(prompts, max_ctx=MAX_CTX)
     model = N.fit_ngrams(seqs.filter(F.col("split") == "train"), max_ctx=MAX_CTX, contexts=needed)
@@ -90,17 +91,19 @@ dist AS (SELECT doc_id, nxt, prob / sum(prob) OVER (PARTITION BY doc_id) AS prob
 cum AS (
   SELECT doc_id, nxt, prob,
          sum(prob) OVER (PARTITION BY doc_id ORDER BY prob DESC, nxt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
-         sum(prob) OVER (PARTITION BY doc_id) AS total
+         lead(nxt) OVER (PARTITION BY doc_id ORDER BY prob DESC, nxt) IS NULL AS last
   FROM dist
 ),
+cuml AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY prob DESC, nxt), 0) AS lo,
+                max(hi) OVER (PARTITION BY doc_id) AS total FROM cum),
 draws AS (
   SELECT doc_id, d AS draw,
          ('0x' || substr(md5('{B.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(d AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
   FROM (SELECT DISTINCT doc_id FROM dist), generate_series(1, {N.N_SAMPLES}) g(d)
 ),
 samples AS (
-  SELECT d.doc_id, d.draw, c.nxt FROM draws d JOIN cum c ON c.doc_id = d.doc_id
-  WHERE d.u * c.total >= c.hi - c.prob AND d.u * c.total < c.hi
+  SELECT d.doc_id, d.draw, c.nxt FROM draws d JOIN cuml c ON c.doc_id = d.doc_id
+  WHERE d.u * c.total >= c.lo AND (d.u * c.total < c.hi OR c.last)
 )"""
 
 _PAIRS = f"""{_BASE},
