@@ -69,7 +69,7 @@ def exact_split(df: DataFrame, key: str, frac: float, seed: int = 42,
     """
     h = df.withColumn("_h", hash32(seed, key))
     ranked = global_row_number(h, ["_h", key], "_r")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))   # of the rows as they were written
     out = ranked.crossJoin(F.broadcast(n))  # one-row table, size bound = 1
     return out.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * F.lit(frac)),
                                           F.lit(names[1])).otherwise(F.lit(names[0]))) \

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ngram
+from ..operators.ordering import materialize
 from ..operators.pairs import build_pairs
 from . import bindings as B
 from .registry import BOUNDS, H, SEQS, register
@@ -44,6 +45,7 @@ def _doc_pairs_df(spark, sf_dir):
     best = ngram.argmax_next(bigram, name="move").select(F.col("ctx").alias("last"), "move")
     pos = B.doc_positions(seqs.filter(F.col("split") == "eval")) \
            .withColumn("position_id", F.col("doc_id"))
+    pos = materialize(pos.select("position_id", "doc_id", "source", "lang", "move_index", "prompt", "last", "expert"))
     legal = B.legal_tokens(seqs).withColumnRenamed("san", "move")
     student = (pos.select("position_id", "lang", "last").join(best, "last")
                .join(legal, ["lang", "move"], "left_semi").select("position_id", "move"))

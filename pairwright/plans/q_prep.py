@@ -133,7 +133,7 @@ def _conversation_pairs(spark, sf_dir):
     conv = B.table(spark, sf_dir, "conversations")
     ids = conv.select("conv_id").distinct().withColumn("_h", hash32(42, "conv_id"))
     ranked = global_row_number(ids, ["_h", "conv_id"], "rn")
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked.crossJoin(F.broadcast(n))  # one-row table
     partner = ranked.select("conv_id", ((F.col("rn") % F.col("n")) + 1).alias("prn")) \
         .join(ranked.select(F.col("rn").alias("prn"), F.col("conv_id").alias("pconv")), "prn")
