@@ -9,7 +9,7 @@ from ``checkpointLocation`` neither loses nor repeats rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import StreamingQueryException
 from pyspark.sql.streaming import StreamingQuery
@@ -52,7 +52,7 @@ def _manifest(spark: SparkSession, manifest: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(manifest)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
-    return spark.read.schema("batch_id long, rows long").option("mode", "FAILFAST").json(f"{manifest}/batch=*")
+    return spark.read.schema("batch_id long, rows long, at timestamp").option("mode", "FAILFAST").json(f"{manifest}/batch=*")
 
 
 def _manifest_total(spark: SparkSession, manifest: str, exclude_batch: int) -> int:
@@ -61,7 +61,7 @@ def _manifest_total(spark: SparkSession, manifest: str, exclude_batch: int) -> i
 
 
 def _note(spark: SparkSession, manifest: str, batch_id: int, rows: int) -> None:
-    spark.createDataFrame([(batch_id, rows)], "batch_id long, rows long") \
+    spark.createDataFrame([(batch_id, rows)], "batch_id long, rows long").withColumn("at", F.current_timestamp()) \
          .write.mode("overwrite").json(f"{manifest}/batch={batch_id}")
 
 
@@ -152,8 +152,19 @@ def stream_snapshots(df: DataFrame, out: str, checkpoint: str, key: str = "game_
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def batch_progress(spark: SparkSession, out: str) -> DataFrame:
+    """Rows of every micro-batch that a capped or snapshot sink has written, from its
+    manifest -- however long the run and however often it was restarted."""
+    m = _manifest(spark, out.rstrip("/") + "_manifest")
+    if m is None:
+        return spark.createDataFrame([], "batch_id long, rows long, at timestamp, total long")
+    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)   # one row a batch
+    return m.withColumn("total", F.sum("rows").over(upto))
+
+
 def stream_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The query's recent progress as a table (one row per micro-batch)."""
+    """The query's recent progress as a table, as far back as Spark keeps it
+    (``spark.sql.streaming.numRecentProgressUpdates``); :func:`batch_progress` has all."""
     rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p.get("inputRowsPerSecond") or 0.0),
              float(p.get("processedRowsPerSecond") or 0.0), p["timestamp"]) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rows_per_sec double, "

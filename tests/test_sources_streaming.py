@@ -105,6 +105,8 @@ def test_stream_until_and_snapshots(spark, tmp_path):
         assert T.committed_rows(spark, out) == want
         got = spark.read.parquet(out)
         assert got.count() == got.select("game_id").distinct().count() == want
+    progress = T.batch_progress(spark, out).orderBy("batch_id").collect()
+    assert [p.total for p in progress][-1] == 10 and sum(p.rows for p in progress) == 10
     with open(out + "_manifest/batch=0/part-bad.json", "w") as f:
         f.write("{torn")
     with pytest.raises(Exception):
