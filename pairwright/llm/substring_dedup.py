@@ -42,6 +42,7 @@ from .wordnum import Words, text_chunks, window_hashes
 
 WINDOW = 20
 PHRASE = 8
+SHARD_TEXTS = 512        # texts at most that an automaton is compiled for (and 2 MB of them)
 START_BITS = 26          # words of a document that can be numbered: 67 million
 _SPAN = WINDOW - PHRASE + 1
 
@@ -131,6 +132,13 @@ def _packed_text(text: Column) -> Column:
     return udf(text)
 
 
+def _shards(batches):
+    """Slices of the batches: a task holds one shard's texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SHARD_TEXTS):
+            yield batch.slice(at, SHARD_TEXTS)
+
+
 def _sets(column: pa.Array) -> list:
     return [None if x is None else set(x) for x in column.to_pylist()]
 
@@ -141,7 +149,7 @@ def windows(texts: DataFrame) -> DataFrame:
     ``texts``: ``number, z, phrases``.
     """
     def run(batches):
-        for batch in batches:
+        for batch in _shards(batches):
             number, recurring = batch.column("number").to_numpy(), _sets(batch.column("phrases"))
             for chunk in text_chunks(_texts(batch.column("z"))):
                 ok, h, doc = _located(chunk, recurring)
@@ -156,7 +164,7 @@ def _removal(texts: DataFrame, id_col: str, id_type: str, with_text: bool) -> Da
     """``id_col, n_words, n_removed, kept_sha256`` and the kept text, if asked for."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _shards(batches):
             raw = _texts(batch.column("z"))
             recurring, firsts = _sets(batch.column("phrases")), batch.column("firsts")
             copies = batch.column("copy").to_pylist()
