@@ -34,12 +34,12 @@ BROADCAST_HOSTS = 100_000    # rows of winning paths (a few hundred bytes each)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_SPACES = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 # Kinds of elements.
 RAW = frozenset("script style noscript template iframe svg textarea title object canvas xmp noembed noframes".split())
+_END = {tag: re.compile(rf"</{tag}[^>]*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body article main section div td blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
@@ -74,11 +74,14 @@ class Block:
     linked: int = 0
 
     def text(self) -> str:
-        return _SPACES.sub(" ", unescape("".join(self.parts))).strip()
+        text = "".join(self.parts)
+        return " ".join((unescape(text) if "&" in text else text).split())
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(source)} if source.strip(" /\n\t") else {}
+    if len(source) < 2:
+        return {}
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(source)}
 
 
 def _looks_left_out(tag: str, attrs: dict[str, str]) -> bool:
@@ -113,9 +116,12 @@ class Page:
 
         def flush() -> None:
             nonlocal block
-            if block.parts and (text := block.text()):
-                self._found.append((block.at, text, min(block.linked, len(text))))
-            block = Block(stack[-1])
+            if block.parts:
+                if text := block.text():
+                    self._found.append((block.at, text, min(block.linked, len(text))))
+                block = Block(stack[-1])
+            else:
+                block.at = stack[-1]
 
         def pop(to: int) -> None:
             nonlocal links, skipped
@@ -138,10 +144,11 @@ class Page:
             if not m:
                 break
             at = m.end()
-            tag = (m[2] or "").lower()
+            slash, tag, rest = m.groups()
             if not tag:
                 continue
-            if m[1]:
+            tag = tag.lower()
+            if slash:
                 where = next((k for k in range(len(stack) - 1, 0, -1) if self.elements[stack[k]].tag == tag), 0)
                 if tag in BLOCKS:
                     flush()
@@ -151,7 +158,7 @@ class Page:
                     block.at = stack[-1]
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
+                close = _END[tag].search(html, at)
                 at = close.end() if close else end
                 block.parts.append(" ")
                 continue
@@ -167,14 +174,14 @@ class Page:
             if tag in BLOCKS:
                 flush()
                 self._close_before(tag, stack, pop)
-            attrs = _attributes(m[3])
+            attrs = _attributes(rest)
             up = self.elements[stack[-1]]
             path = up.path
             if container := tag in CONTAINERS:
                 names = sorted({_DIGITS.sub("#", c) for c in attrs.get("class", "").lower().split()})
                 path = f"{path}>{'.'.join([tag, *names])}"
             self.elements.append(Element(tag, path, container, _looks_left_out(tag, attrs), stack[-1]))
-            if not m[3].endswith("/"):
+            if not rest.endswith("/"):
                 stack.append(len(self.elements) - 1)
                 links += tag == "a"
                 skipped += self.elements[-1].dropped and tag not in BLOCKS
