@@ -74,18 +74,17 @@ class Model:
         """For each width and place in the filter, what each embedding row adds."""
         return [[(self.embedding @ w[j]).astype(np.float32) for j in range(len(w))] for w in self.filters]
 
-    def pooled(self, rows: np.ndarray, begin: np.ndarray, tables) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Maximum of every filter over each text, before the bias; the summed filter outputs."""
-        outputs = []
+    def pooled(self, rows: np.ndarray, begin: np.ndarray, tables) -> np.ndarray:
+        """Maximum of every filter over each text, before the bias."""
+        best = []
+        n = len(rows) - max(WIDTHS) + 1
         for width, table in zip(WIDTHS, tables):
-            n = len(rows) - max(WIDTHS) + 1
             out = np.zeros((max(n, 0), FILTERS), dtype=np.float32)
             for j in range(width):
                 for k in range(HASHES):
                     out += table[j][rows[j: j + n, k]]
-            outputs.append(out)
-        best = [np.maximum.reduceat(o, begin[:-1], axis=0) for o in outputs]
-        return np.concatenate(best, axis=1), outputs
+            best.append(np.maximum.reduceat(out, begin[:-1], axis=0))
+        return np.concatenate(best, axis=1)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.bias, 0) @ self.weights + self.intercept
@@ -95,7 +94,7 @@ class Model:
             return np.zeros(len(counts))
         padded, begin = _padded(rows, counts)
         # the last window of a text reaches into its own padding only
-        z = self.logits(self.pooled(padded, begin, tables or self.tables())[0])
+        z = self.logits(self.pooled(padded, begin, tables or self.tables()))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
@@ -125,12 +124,15 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
             half = slice(b * BATCH // 2, (b + 1) * BATCH // 2)
             pick = np.concatenate([o[half] for o in orders])
             model = Model(params[0], params[1:-3], params[-3], params[-2], float(params[-1][0]))
-            grads = _gradient(model, [rows[i] for i in pick], labels[pick])
+            touched, grads = _gradient(model, [rows[i] for i in pick], labels[pick])
             step += 1
             lr = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
-            for p, g, m, v in zip(params, grads, first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
+            for i, (p, g, m, v) in enumerate(zip(params, grads, first, second)):
+                m *= 0.9
+                v *= 0.999
+                at = touched if i == 0 else slice(None)       # of the embedding, the rows in the batch's maxima
+                m[at] += 0.1 * g
+                v[at] += 0.001 * g * g
                 p -= lr * m / (np.sqrt(v) + 1e-7)
             params[0][PAD] = 0
     return Model(params[0], params[1:-3], params[-3], params[-2], float(params[-1][0]))
@@ -142,43 +144,46 @@ def _known_words(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     A rare word would only be learnt by heart; rows without a known word stay zero."""
     keys = [(r.astype(np.int64) * np.array([1, BUCKETS, BUCKETS ** 2])).sum(axis=1) for r in rows]
     word, texts = np.unique(np.concatenate([np.unique(k) for k in keys]), return_counts=True)
-    often = word[texts >= MIN_TEXTS]
-    out = [np.where(np.isin(k, often)[:, None], r, np.int32(PAD)) for k, r in zip(keys, rows)]
-    used = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int32)
+    often = texts >= MIN_TEXTS
+    out = [np.where(often[np.searchsorted(word, k)][:, None], r, np.int32(PAD)) for k, r in zip(keys, rows)]
+    used = np.unique(np.concatenate(out))
     return out, used[used != PAD]
 
 
-def _gradient(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+def _gradient(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Embedding rows that take part, and the gradient of (those rows, filters, bias, weights, intercept)."""
     counts = np.array([len(r) for r in rows])
     padded, begin = _padded(np.concatenate(rows), counts)
-    pooled, outputs = model.pooled(padded, begin, model.tables())
+    vectors = model.embedding[padded[:, 0]]
+    for k in range(1, HASHES):
+        vectors = vectors + model.embedding[padded[:, k]]
+    n = len(padded) - max(WIDTHS) + 1
+    outputs = [sum(vectors[j: j + n] @ w[j] for j in range(len(w))) for w in model.filters]
+    pooled = np.concatenate([np.maximum.reduceat(o, begin[:-1], axis=0) for o in outputs], axis=1)
     active = pooled + model.bias > 0
     hidden = np.where(active, pooled + model.bias, 0)
     z = hidden @ model.weights + model.intercept
     miss = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)).astype(np.float32)
     d_hidden = np.where(active, miss[:, None] * model.weights, 0).astype(np.float32)
-    d_embedding = np.zeros_like(model.embedding) + 2e-6 * model.embedding
-    d_filters = []
-    texts = np.repeat(np.arange(len(rows)), np.diff(begin))[: len(outputs[0])]
+    d_filters, places, pushes = [], [], []
+    texts = np.repeat(np.arange(len(rows)), np.diff(begin))[:n]
     for i, (width, out) in enumerate(zip(WIDTHS, outputs)):
         part = slice(i * FILTERS, (i + 1) * FILTERS)
         # the place of each maximum (of several, the first)
+        where, f = np.nonzero(out >= pooled[texts, part])
         at = np.empty((len(rows), FILTERS), dtype=np.int64)
-        for f in range(FILTERS):
-            hit = np.flatnonzero(out[:, f] >= pooled[texts, part.start + f])
-            text, where = np.unique(texts[hit], return_index=True)
-            at[text, f] = hit[where]
-        d_filter = np.zeros_like(model.filters[i])
+        at[texts[where[::-1]], f[::-1]] = where[::-1]
+        d_filters.append(np.stack([np.einsum("bf,bfd->df", d_hidden[:, part], vectors[at + j]) for j in range(width)]))
         for j in range(width):
-            places = padded[at + j]                                        # (texts, FILTERS, HASHES)
-            vectors = model.embedding[places].sum(axis=2)                  # (texts, FILTERS, DIM)
-            d_filter[j] = np.einsum("bf,bfd->df", d_hidden[:, part], vectors)
             push = d_hidden[:, part, None] * model.filters[i][j].T[None]   # (texts, FILTERS, DIM)
             for k in range(HASHES):
-                np.add.at(d_embedding, places[:, :, k].ravel(), push.reshape(-1, DIM))
-        d_filters.append(d_filter)
-    return [d_embedding, *d_filters, d_hidden.sum(axis=0), (hidden * miss[:, None]).sum(axis=0).astype(np.float32),
-            np.array([miss.sum()], np.float32)]
+                places.append(padded[(at + j).ravel(), k])
+                pushes.append(push.reshape(-1, DIM))
+    touched, slot = np.unique(np.concatenate(places), return_inverse=True)
+    d_rows = 2e-6 * model.embedding[touched]
+    np.add.at(d_rows, slot, np.concatenate(pushes))
+    return touched, [d_rows, *d_filters, d_hidden.sum(axis=0), (hidden * miss[:, None]).sum(axis=0).astype(np.float32),
+                     np.array([miss.sum()], np.float32)]
 
 
 def _best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
