@@ -4,7 +4,7 @@
    smallest hash is kept (a repeated window always keeps a repeated phrase).
    Phrase hashes are counted over the corpus; those kept at two places or more
    go back to the texts they stand in.
-2. *Automata.* Each task takes shards of a few megabytes of texts, compiles
+2. *Automata.* Each task takes shards of up to a megabyte of texts, compiles
    their recurring phrases (sequences of word numbers) into an Aho-Corasick
    automaton and streams the shard through it, which locates every occurrence.
    A window can only recur if its kept phrase does; only such windows go on.
@@ -42,7 +42,7 @@ from .wordnum import Words, text_chunks, window_hashes
 
 WINDOW = 20
 PHRASE = 8
-SHARD_TEXTS = 512        # texts at most that an automaton is compiled for (and 2 MB of them)
+SHARD_TEXTS = 512        # texts at most that an automaton is compiled for (and 1 MB of them)
 START_BITS = 26          # words of a document that can be numbered: 67 million
 _SPAN = WINDOW - PHRASE + 1
 

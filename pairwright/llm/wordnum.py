@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D),
 or of another given set of bytes.
-Texts are cut into chunks of a few megabytes, so memory does not follow the
+Texts are cut into chunks of about a megabyte, so memory does not follow the
 batch, and every step is vectorised over the chunk's bytes.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 NOT_SPACE = np.ones(256, dtype=bool)          # True: part of a word
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
