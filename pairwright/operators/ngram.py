@@ -75,8 +75,22 @@ def ngram_counts(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
     if wanted.count() > BROADCAST_CONTEXTS:
         return _split_gram(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))) \
             .join(wanted, ["ctx_len", "ctx"], "left_semi")
-    keep = _split_gram(rows.withColumn("count", F.lit(1))).join(F.broadcast(wanted), ["ctx_len", "ctx"], "left_semi")
-    return keep.groupBy("ctx_len", "ctx", "next").agg(F.count(F.lit(1)).alias("count"))
+    # pairs of context and token meet the few contexts as they are exploded; a context's
+    # text says its length, so the text alone is the key
+    arr, pair = F.col(moves), "array<struct<ctx:string,next:string>>"
+    parts = [F.array().cast(pair)]
+    for c in range(max(min_ctx, 1), max_ctx + 1):
+        m = F.greatest(F.size(arr) - F.lit(c), F.lit(0))
+        parts.append(F.arrays_zip(F.slice(_grams(arr, c), 1, m), F.slice(arr, c + 1, m)).cast(pair))
+    met = df.select(F.inline(F.concat(*parts))).join(F.broadcast(wanted.select("ctx")), "ctx", "left_semi") \
+            .groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("count"))
+    spaces = F.length("ctx") - F.length(F.replace(F.col("ctx"), F.lit(" "), F.lit("")))
+    out = met.select((spaces + 1).cast("int").alias("ctx_len"), "ctx", "next", "count")
+    if min_ctx == 0:
+        single = df.select(F.explode(arr).alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("count"))
+        out = out.union(single.select(F.lit(0).alias("ctx_len"), F.lit("").alias("ctx"), "next", "count")
+                        .join(F.broadcast(wanted), ["ctx_len", "ctx"], "left_semi"))
+    return out
 
 
 def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
