@@ -8,6 +8,11 @@ won on its host: the one with most votes that the page has, else its own best
 container.  Inside the container, blocks under menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are left out.
 
+The article is widened from that container to the ancestor that holds all
+containers of its path and the running text beside them: headings, intros and
+sibling sections that no such part holds, at any level of the page (within its
+``main``, if that holds them all).  Parts that are mostly links are not text.
+
 Blocks are the texts between block elements; character references are decoded,
 white space (line breaks too) becomes one space.  Markup errors (unclosed or
 stray tags, cut references) never raise.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -46,6 +52,7 @@ BLOCKS = CONTAINERS | frozenset(
     "html head p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr th pre figure figcaption "
     "header footer nav aside form fieldset address details summary hr hgroup menu dialog center".split())
 LEFT_OUT = frozenset("nav aside footer form menu dialog button select option label input head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 LEFT_OUT_NAMES = frozenset(
@@ -205,7 +212,7 @@ class Page:
         heading = False
         while at != within and at >= 0:
             e = self.elements[at]
-            heading |= e.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading |= e.tag in HEADINGS
             # a part with most of the text is a layout's name, not a menu's; headings stay in an article's header
             if e.dropped and e.chars < limit and not (e.tag == "header" and heading and within):
                 return True
@@ -246,24 +253,93 @@ class Page:
         return max(((s, i) for s, i in scores if s >= 0.9 * top or s == top), key=lambda x: x[1])
 
     def text(self, paths: list[str]) -> str:
-        """Blocks of the first of ``paths`` that holds text here, else of the best container."""
+        """Blocks of the article: those of the first of ``paths`` that holds text here (else of the
+        best container), and what stands beside it."""
         within = None
         for path in paths:
-            held = [(e.chars, -i) for i, e in enumerate(self.elements) if e.container and e.path == path and e.chars]
+            held = [(not self._named(i), e.chars, -i) for i, e in enumerate(self.elements)
+                    if e.container and e.path == path and e.chars]
             if held:
-                within = -max(held)[1]
+                within = -max(held)[2]
                 break
         if within is None:
             within = self.best()[1]
         limit = self._limit()
+        above = self._above(within)
+        beside: dict[tuple[int, int], list[int]] = {}
         out = []
-        for at, text in self.blocks:
-            up = at
-            while up != within and up >= 0:
+        for k, (at, _) in enumerate(self.blocks):
+            up, child = at, -1 - k
+            while up not in above and up >= 0:
+                up, child = self.elements[up].parent, up
+            if up == within:
+                if not self._dropped(at, within, limit):
+                    out.append(k)
+            elif up >= 0 and not self._dropped_beside(at, up, within):
+                beside.setdefault((up, child), []).append(k)
+        for blocks in beside.values():
+            if self._runs(blocks, self.elements[within].path):
+                out += blocks
+        return "\n\n".join(self.blocks[k][1] for k in sorted(out))
+
+    def _up(self, at: int):
+        while at >= 0:
+            yield at
+            at = self.elements[at].parent
+
+    def _named(self, at: int) -> bool:
+        """Whether an element is, or lies in, a part that is left out by its name."""
+        return any(self.elements[i].dropped for i in self._up(at))
+
+    @cached_property
+    def _around_dropped(self) -> set[int]:
+        """Elements that hold a part that is left out."""
+        out: set[int] = set()
+        for e in self.elements:
+            up = e.parent if e.dropped else -1
+            while up >= 0 and up not in out:
+                out.add(up)
                 up = self.elements[up].parent
-            if up == within and not self._dropped(at, within, limit):
-                out.append(text)
-        return "\n\n".join(out)
+        return out
+
+    def _above(self, within: int) -> set[int]:
+        """``within`` and the elements around it, up to a ``main`` that holds all containers of its path."""
+        path = self.elements[within].path
+        alike = [i for i, e in enumerate(self.elements) if e.container and e.chars and e.path == path]
+        out = set()
+        for i in self._up(within):
+            out.add(i)
+            if self.elements[i].tag == "main" and all(i in self._up(k) for k in alike):
+                break
+        return out
+
+    def _dropped_beside(self, at: int, above: int, within: int) -> bool:
+        """Whether a block beside the article belongs to a part that is left out, whatever its size."""
+        own = self.elements[within]
+        heading = False
+        for i in self._up(at):
+            if i == above:
+                return False
+            e = self.elements[i]
+            heading |= e.tag in HEADINGS
+            # the title in an article's header counts, a site's header with its menus does not
+            title = e.tag == "header" and heading and above and i not in self._around_dropped
+            if e.dropped and not title and not (own.dropped and e.path == own.path):
+                return True
+        return False
+
+    def _runs(self, blocks: list[int], path: str) -> bool:
+        """Whether a part beside the article is text of it: a container alike, headings, or not mostly links."""
+        chars = linked = 0
+        for k in blocks:
+            at, text, links = self._found[k]
+            around = [self.elements[i] for i in self._up(at)]
+            if any(e.container and e.path == path for e in around):
+                return True
+            if not any(e.tag in HEADINGS for e in around):
+                chars += len(text)
+                linked += links
+        return not chars or 2 * linked < chars
 
 
 def host_of(url: Column) -> Column:

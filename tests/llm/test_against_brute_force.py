@@ -329,3 +329,23 @@ def test_html(spark):
         assert out[i].text == f"Head & line\n\nFirst bold line.\n\nSecond one <x>\n\nThird, {body.strip()} .".replace(" .", " .")
         assert out[i].n_chars == len(out[i].text)
     assert out[99].text == "Head & line\n\nFirst bold line.\n\nSecond one <x>\n\nThird, short."
+
+
+def test_html_keeps_the_whole_article(spark):
+    long = "quite some running text of the article " * 20
+    menu, foot = "<nav><a href=/>Menu</a></nav>", "<div class=comments><p>" + "A reader. " * 30 + "</div><footer>End</footer>"
+    bodies = {
+        "div-only": f"<div class=post><h1>T</h1><div class=intro>Intro.</div><div class=entry><p>{long}</p></div></div>",
+        "nested": f"<div class=post><header><h1>T</h1></header><div class=intro>Intro.</div><div class=a><div class=b><p>{long}</p></div></div></div>",
+        "sections": f"<div class=post><h1>T</h1><section class=part-1><p>Intro.</p></section><section class=part-2><p>{long}</p></section></div>",
+        "articles": f"<div class=list><article><h1>T</h1><p>Intro.</p></article><article><p>{long}</p></article></div>",
+        "body": f"<h1>T</h1><p>Intro.</p><div><a href=/x>Links</a> <a href=/y>only</a></div><div class=entry><p>{long}</p></div>",
+    }
+    rows = [(n, f"https://{name}.example/{n}", f"<body>{menu}{body}{foot}</body>") for name, body in bodies.items() for n in range(3)]
+    # a host's page that has the winning path, and more text beside it
+    rows.append((9, "https://div-only.example/9", f"<body>{menu}<div class=post><h1>T</h1><div class=entry><p>Intro.</p></div>"
+                                                  f"<div class=more><p>{long}</p></div></div>{foot}</body>"))
+    out = html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 16
+    for r in out:
+        assert r.text == f"T\n\nIntro.\n\n{long.strip()}", r.url
