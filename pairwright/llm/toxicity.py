@@ -4,11 +4,13 @@ Words (runs of letters, digits and non-ASCII characters, A-Z in lower case) get
 the sum of ``HASHES`` hashed embeddings, so two words share all their rows only
 by a rare accident.  Filters of several widths slide over the whole text, each
 keeps its maximum, and a logistic layer gives the score.  Thresholds are
-calibrated by language on a part of the sample that training does not see: the
+calibrated by language on all labelled rows that training does not see: the
 score itself depends on the text alone.
 
 Training reads at most ``PER_CLASS`` labelled rows of each class (those with
-the smallest hash of their id).  Scoring is an Arrow function over every whole
+the smallest hash of their id), less one in ``CALIBRATION``.  All other labelled
+rows are scored in Spark and counted by language, label and bin of the score;
+only these counts reach the driver.  Scoring is an Arrow function over every whole
 text; the model of a few megabytes travels with it.
 
 Null or empty text, and any text without a word: scored like a text of no
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .shared import stage
 from .wordnum import ALNUM, text_chunks
 
 PER_CLASS = 2500         # labelled rows of each class that training may read
@@ -39,7 +42,9 @@ EPOCHS = 5
 MIN_TEXTS = 4            # of the sample, that hold a word that is learnt
 LEAST_STEPS = 300        # of training, for small samples
 BATCH = 50
-CALIBRATION = 5          # one row in so many sets thresholds instead of weights
+CALIBRATION = 5          # one row in so many of those read sets thresholds, as all rows not read do
+BINS = 50                # of scores, to a unit of the log-odds
+BROADCAST_LABELS = 400_000   # labelled rows (16 bytes each) that may be broadcast
 SHRINK = 100             # examples of its own that outweigh the threshold of all languages
 PAD = HASHES * BUCKETS   # a row of zeros
 
@@ -60,6 +65,11 @@ def _padded(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin
 
 
+def _across(begin: np.ndarray) -> np.ndarray:
+    """Windows that begin in one text's padding and may reach into the next text: they belong to neither."""
+    return np.concatenate([begin[1:-1] - k for k in range(1, max(WIDTHS))])
+
+
 @dataclass
 class Model:
     embedding: np.ndarray                 # (PAD + 1, DIM)
@@ -78,24 +88,32 @@ class Model:
         """Maximum of every filter over each text, before the bias."""
         best = []
         n = len(rows) - max(WIDTHS) + 1
+        across = _across(begin)
         for width, table in zip(WIDTHS, tables):
             out = np.zeros((max(n, 0), FILTERS), dtype=np.float32)
             for j in range(width):
                 for k in range(HASHES):
                     out += table[j][rows[j: j + n, k]]
+            out[across] = -np.inf
             best.append(np.maximum.reduceat(out, begin[:-1], axis=0))
         return np.concatenate(best, axis=1)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.bias, 0) @ self.weights + self.intercept
 
+    def log_odds(self, rows: np.ndarray, counts: np.ndarray, tables=None) -> np.ndarray:
+        padded, begin = _padded(rows, counts)
+        z = self.logits(self.pooled(padded, begin, tables or self.tables()))
+        return np.clip(z.astype(np.float64), -40, 40)
+
     def score(self, rows: np.ndarray, counts: np.ndarray, tables=None) -> np.ndarray:
         if not self.trained or not len(counts):
             return np.zeros(len(counts))
-        padded, begin = _padded(rows, counts)
-        # the last window of a text reaches into its own padding only
-        z = self.logits(self.pooled(padded, begin, tables or self.tables()))
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
+        return _sigmoid(self.log_odds(rows, counts, tables))
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-z))
 
 
 def _features(column: pa.Array):
@@ -159,6 +177,8 @@ def _gradient(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> tuple
         vectors = vectors + model.embedding[padded[:, k]]
     n = len(padded) - max(WIDTHS) + 1
     outputs = [sum(vectors[j: j + n] @ w[j] for j in range(len(w))) for w in model.filters]
+    for o in outputs:
+        o[_across(begin)] = -np.inf
     pooled = np.concatenate([np.maximum.reduceat(o, begin[:-1], axis=0) for o in outputs], axis=1)
     active = pooled + model.bias > 0
     hidden = np.where(active, pooled + model.bias, 0)
@@ -186,27 +206,30 @@ def _gradient(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> tuple
                      np.array([miss.sum()], np.float32)]
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """The score between two examples that gives the best F1 (ties: the widest gap)."""
-    order = np.argsort(scores)
-    s, y, w = scores[order], labels[order], weights[order]
-    positives = (w * y).sum()
-    caught = positives - np.concatenate([[0], np.cumsum(w * y)])[:-1]
-    alarms = (w * (1 - y)).sum() - np.concatenate([[0], np.cumsum(w * (1 - y))])[:-1]
-    f1 = 2 * caught / np.maximum(caught + alarms + positives, 1e-9)
-    low = np.concatenate([[0.0], s[:-1]])
+def _best_threshold(z: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> float:
+    """The score between two bins that gives the best F1 (ties: the widest gap).
+
+    ``z``: log-odds of the middle of each bin in use, rising; weights of both labels in it."""
+    low = np.concatenate([[-40.0], z[:-1]])
+    missed = np.cumsum(positive) - positive
+    alarms = negative.sum() - (np.cumsum(negative) - negative)
+    caught = positive.sum() - missed
+    f1 = 2 * caught / np.maximum(caught + alarms + positive.sum(), 1e-9)
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    best = best[np.argmax(s[best] - low[best])]
-    return float((low[best] + s[best]) / 2)
+    best = best[np.argmax(_sigmoid(z[best]) - _sigmoid(low[best]))]
+    edges = _sigmoid(low[best] + 0.5 / BINS), _sigmoid(z[best] - 0.5 / BINS)
+    return float(np.clip((_sigmoid(low[best]) + _sigmoid(z[best])) / 2, min(edges), max(edges)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", lang_col: str | None = "lang", allowed: Column | None = None,
-        per_class: int = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` rows of each class among the ``allowed`` labels.
+        per_class: int = PER_CLASS, broadcast_labels: int = BROADCAST_LABELS) -> Model:
+    """Train on at most ``per_class`` rows of each class among the ``allowed`` labels, calibrate on all others.
 
     The sample's rows are found on the narrow label table and met with the
-    documents by a broadcast of at most ``2 * per_class`` ids.
+    documents by a broadcast of at most ``2 * per_class`` ids.  More than
+    ``broadcast_labels`` other labels meet the documents' scores in a shuffle of
+    narrow rows instead.
     """
     wanted = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if allowed is not None:
@@ -238,34 +261,67 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = got.sort_values(["_h", "_y", "rows"], kind="stable").drop_duplicates(["_h", "_y"]).reset_index(drop=True)
     rows = [np.frombuffer(r, dtype="<i4").reshape(-1, HASHES) for r in got["rows"]]
     y = got["_y"].to_numpy(dtype=np.float32)
-    # one in CALIBRATION of each class is kept for the thresholds
+    # one in CALIBRATION of each class never trains, so that small tables calibrate too
     rank = got.groupby("_y").cumcount().to_numpy()
     held = rank % CALIBRATION == CALIBRATION - 1
     held &= np.array([(y[held] == c).sum() >= 5 for c in (0, 1)]).all()
     model = _fit([r for r, h in zip(rows, held) if not h], y[~held])
     if held.any():
-        _calibrate(model, [r for r, h in zip(rows, held) if h], y[held], got["_lang"].to_numpy()[held], counts)
+        learnt = docs.sparkSession.createDataFrame([(x,) for x in got["_id"][~held].tolist()], f"_id {kind}")
+        others = wanted.join(F.broadcast(learnt), "_id", "left_anti").select("_id", "_y")
+        texts = docs.select(F.col(id_col).alias("_id"), lang.alias("_lang"), F.col(text_col).alias("_text"))
+        if sum(counts.values()) <= broadcast_labels:
+            met = texts.join(F.broadcast(others), "_id").select("_lang", "_y", _bin("_text", model).alias("bin"))
+        else:
+            met = texts.filter("_id is not null").select("_id", "_lang", _bin("_text", model).alias("bin")).join(others, "_id")
+        _calibrate(model, stage(met.groupBy("_lang", "_y", "bin").count(), "toxicity-bins"), counts)
     return model
 
 
-def _calibrate(model: Model, rows, y, langs, counts) -> None:
+def _bin(text: str, model: Model) -> Column:
+    """The bin of each text's log-odds."""
+    tables = model.tables()
+
+    @F.arrow_udf("int")
+    def udf(column: pa.Array) -> pa.Array:
+        parts = [np.floor(model.log_odds(rows, counts, tables) * BINS) for rows, counts in _features(column)]
+        return pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32), pa.int32())
+
+    return udf(F.col(text))
+
+
+def _calibrate(model: Model, bins: DataFrame, counts: dict[int, int]) -> None:
     """Shift the score towards 0.5 as the best threshold over all languages, then set one
-    for each language with 20 examples of each class (others: 0.5), drawn to 0.5 where they are few."""
-    rows, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    for each language with 20 examples of each class (others: 0.5), drawn to 0.5 where they are few.
+
+    ``bins``: rows ``_lang, _y, bin, count`` of all labelled rows outside the sample."""
+    rows = [(r["bin"], r["_y"], r["n"]) for r in bins.groupBy("bin", "_y").agg(F.sum("count").alias("n")).collect()]
+    seen = {y: sum(n for _, own, n in rows if own == y) for y in (0, 1)}
     # batches hold both classes alike, the labels do not: the odds as they are
-    model.intercept += float(np.log(counts[1] / counts[0]))
-    score = model.score(rows, sizes)
-    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    n = min((y == 1).sum(), (y == 0).sum())
-    best = np.clip(_best_threshold(score, y, weight), 1e-6, 1 - 1e-6)
-    model.intercept -= float(np.log(best / (1 - best)) * n / (n + SHRINK))
-    score = model.score(rows, sizes)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = langs == lang
-        n = min((y[own] == 1).sum(), (y[own] == 0).sum())
-        if n >= 20:
-            best = _best_threshold(score[own], y[own], weight[own])
+    shift = float(np.log(counts[1] / counts[0]))
+    if min(seen.values()) >= 5:
+        weight = {y: counts[y] / seen[y] for y in (0, 1)}
+        n = min(seen.values())
+        best = np.clip(_best_threshold(*_totals(rows, shift, weight)), 1e-6, 1 - 1e-6)
+        shift -= float(np.log(best / (1 - best)) * n / (n + SHRINK))
+        label = [F.sum(F.when(F.col("_y") == y, F.col("count")).otherwise(0)) for y in (0, 1)]
+        often = bins.filter("_lang is not null").groupBy("_lang").agg(F.least(*label).alias("n")).filter("n >= 20")
+        own: dict[str, list] = {}
+        fewest = {}
+        for r in bins.join(often, "_lang").collect():
+            own.setdefault(r["_lang"], []).append((r["bin"], r["_y"], r["count"]))
+            fewest[r["_lang"]] = r["n"]
+        for lang in sorted(own):
+            best, n = _best_threshold(*_totals(own[lang], shift, weight)), fewest[lang]
             model.thresholds[lang] = float((n * best + SHRINK * 0.5) / (n + SHRINK))
+    model.intercept += shift
+
+
+def _totals(rows: list[tuple[int, int, int]], shift: float, weight: dict[int, float]):
+    """Log-odds of the bins in use, and the weight of both labels in each."""
+    used, slot = np.unique([r[0] for r in rows], return_inverse=True)
+    sums = {y: np.bincount(slot, [n * weight[y] * (own == y) for _, own, n in rows], len(used)) for y in (0, 1)}
+    return (used + 0.5) / BINS + shift, sums[1], sums[0]
 
 
 def _untrained() -> Model:

@@ -273,6 +273,53 @@ def test_toxicity_learns(spark):
     assert swapped.exceptAll(docs.select(toxicity.score("text", model).alias("s"))).count() == 0
 
 
+def test_toxicity_thresholds_cover_all_labels(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 4 == 0
+        lang = "qq" if rng.random() < 0.08 else "en"
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 30))]
+        # a bad word is an ordinary one of half the language qq
+        words += [rng.choice(["grumph", "snarl"])] * (toxic or lang == "qq" and rng.random() < 0.5) + ["vexed"] * toxic
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, own, per_class=60)
+    assert set(model.thresholds) == {"en", "qq"}
+    got = docs.select("doc_id", "lang", toxicity.score("text", model).alias("s"),
+                      toxicity.threshold("lang", model).alias("t")).join(own, "doc_id").collect()
+    for lang in ("en", "qq"):
+        s, y = (np.array([r[c] for r in got if r.lang == lang]) for c in ("s", "toxic"))
+        f1 = lambda cut: 2 * (y * (s >= cut)).sum() / (y.sum() + (s >= cut).sum())
+        assert f1(model.thresholds[lang]) >= max(map(f1, s)) - 0.05
+    shuffled = toxicity.fit(docs, own, per_class=60, broadcast_labels=0)
+    assert (shuffled.thresholds, shuffled.intercept) == (model.thresholds, model.intercept)
+
+
+def test_score_depends_on_the_text_alone():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=(toxicity.PAD + 1, toxicity.DIM)).astype(np.float32),
+                           [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+                           np.zeros(24, np.float32), rng.normal(size=24).astype(np.float32), 0.0)
+    model.embedding[toxicity.PAD] = 0
+    counts = np.array([3, 0, 1, 7, 2])
+    rows = rng.integers(0, toxicity.PAD, (counts.sum(), toxicity.HASHES)).astype(np.int32)
+    alone = [model.log_odds(r, np.array([len(r)]))[0] for r in np.split(rows, np.cumsum(counts)[:-1])]
+    assert np.allclose(model.log_odds(rows, counts), alone, atol=1e-3)
+
+
+def test_best_threshold_of_bins():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        bins = np.unique(rng.integers(-200, 200, 30))
+        pos, neg = rng.integers(0, 9, len(bins)).astype(float), rng.integers(0, 9, len(bins)).astype(float)
+        cut = toxicity._best_threshold((bins + 0.5) / toxicity.BINS, pos, neg)
+        f1 = lambda edge: 2 * pos[bins >= edge].sum() / (pos[bins >= edge].sum() + neg[bins >= edge].sum() + pos.sum())
+        assert np.isclose(f1(np.log(cut / (1 - cut)) * toxicity.BINS - 1e-6), max(map(f1, bins)))
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i: i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
