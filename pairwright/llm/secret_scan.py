@@ -5,9 +5,9 @@ tokens of every whole text as begin, inside or outside of a secret, from the
 token's shape, the words around it and features of the file, and is decoded by
 Viterbi; its spans that meet no base span are added as kind ``crf``.
 
-The CRF learns from base spans as labels, on token windows around them and
-around tokens that merely look odd, out of a sample of about ``SAMPLE_DOCS``
-documents with at most ``WINDOWS`` windows of each sort.  What it adds are
+The CRF learns from base spans as labels, on token windows around them (out of
+all documents) and around tokens that merely look odd (out of about
+``SAMPLE_DOCS`` different texts), with at most ``WINDOWS`` windows of each sort.  What it adds are
 tokens that look and stand like known secrets but escape the patterns.
 
 Decoding is exact without visiting every token in Python: a token whose best
@@ -16,7 +16,7 @@ transition can give back is outside on the best path, so only the stretches
 between such tokens run through Viterbi.  (``Crf.slack`` is what transitions can
 give back.)
 
-Null or empty text: no spans.  Without a base span in the sample there is no
+Null or empty text: no spans.  Without a base span in any text there is no
 CRF.  Repeated rows get equal results; an empty table gives no rows.
 """
 
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 16_000      # documents, about, that training reads
+from .shared import stage
+
+SAMPLE_DOCS = 16_000      # different texts, about, that windows without a secret come from
 WINDOWS = 1_000           # windows of each sort that it learns from
 AROUND = 15               # tokens on each side of a window's middle
 CACHED_TOKENS = 500_000   # scored tokens held in a task
+SEEN = 100_000            # hashes of texts that a task remembers, to pass over copies
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -44,6 +47,9 @@ ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex")
 _WORDS_BEFORE = ("passw", "secret", "token", "api")      # every assign match holds one, in either case
 
+# Holds for every text with a base span (Java and Python alike).
+MAY_HOLD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -256,9 +262,11 @@ def scan(text: str | None, tagger: Tagger | None) -> list[tuple[str, int, int]]:
 
 # --- training ---------------------------------------------------------------
 
-def _windows(text: str):
+def _windows(text: str, sorts: tuple[int, ...] = (0, 1)):
     """Token windows of a text: ``(sort, middle, tokens, states, file bins)``; sort 1 holds a secret."""
     spans = base_spans(text)
+    if not spans and 0 not in sorts:
+        return
     at = [m.span() for m in TOKEN.finditer(text)]
     if not at:
         return
@@ -276,33 +284,64 @@ def _windows(text: str):
     odd = [i for i in np.flatnonzero((classes == ODD) | (classes == NUMBER) | (classes == KEYWORD)).tolist() if states[i] == OUT]
     middles[0] = odd[:: max(1, len(odd) // 4)] + [len(tokens) // 2] * (states[len(tokens) // 2] == OUT)
     bins = file_features(classes)
-    for sort, places in middles.items():
-        for i in places:
+    for sort in sorts:
+        for i in middles[sort]:
             lo, hi = max(0, i - AROUND), min(len(tokens), i + AROUND + 1)
             yield sort, i, tokens[lo:hi], states[lo:hi], bins
 
 
 def sample_windows(docs: DataFrame, text_col: str, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS) -> list:
-    """At most ``windows`` windows of each sort, of about ``sample_docs`` documents chosen by hash."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    picked = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")) \
-                 .filter(F.col("text").isNotNull() & (F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20)))
+    """At most ``windows`` windows of each sort: with a secret, of all documents; without, of about
+    ``sample_docs`` different texts chosen by hash.  Copies of a text count once.
+
+    Windows are chosen by their narrow keys (text hash, place); the texts chosen are read again."""
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).filter("text is not null")
+    share = min(1.0, sample_docs / max(1, texts.agg(F.approx_count_distinct("h")).first()[0]))
+    sampled = F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20)
+    looked = texts.withColumn("sampled", sampled).filter(F.col("sampled") | F.col("text").rlike(MAY_HOLD))
+
+    def keys(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            found = []
+            for text, h, both in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if h in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(h)
+                found += [(w[0], h, w[1]) for w in _windows(text.as_py(), (0, 1) if both else (1,))]
+            columns = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32()))],
+                                             ["sort", "h", "i"])
+
+    found = stage(looked.mapInArrow(keys, "sort int, h long, i int").distinct(), "secret-windows")
+    order = [F.xxhash64("h", "i"), F.col("h"), F.col("i")]
+    parts = [found.filter(F.col("sort") == s).orderBy(*order).limit(windows) for s in (0, 1)]
+    chosen: dict[int, set] = {}
+    for r in parts[0].union(parts[1]).collect():
+        chosen.setdefault(r["h"], set()).add((r["sort"], r["i"]))
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             rows = [[] for _ in range(6)]
             for text, h in zip(batch.column(0), batch.column(1).to_pylist()):
+                if h in seen:
+                    continue
+                seen.add(h)
                 for sort, i, tokens, states, bins in _windows(text.as_py()):
-                    for c, v in zip(rows, (sort, h, i, tokens, states, bins)):
-                        c.append(v)
+                    if (sort, i) in chosen[h]:
+                        for c, v in zip(rows, (sort, h, i, tokens, states, bins)):
+                            c.append(v)
             types = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)],
                                              ["sort", "h", "i", "tokens", "states", "bins"])
 
-    out = picked.mapInArrow(run, "sort int, h long, i int, tokens array<string>, states array<int>, bins array<int>")
-    order = [F.xxhash64("h", "i"), F.col("h"), F.col("i")]
-    parts = [out.filter(F.col("sort") == s).orderBy(*order).limit(windows) for s in (0, 1)]
-    return sorted(parts[0].union(parts[1]).distinct().collect(), key=lambda r: (r["sort"], r["h"], r["i"]))
+    out = texts.join(F.broadcast(wanted), "h", "left_semi").select("text", "h") \
+               .mapInArrow(run, "sort int, h long, i int, tokens array<string>, states array<int>, bins array<int>")
+    return sorted(out.distinct().collect(), key=lambda r: (r["sort"], r["h"], r["i"]))
 
 
 def fit(rows: list, rounds: int = 90, decay: float = 5e-4) -> Crf | None:

@@ -170,6 +170,20 @@ def test_crf_finds_what_the_patterns_miss_and_spares_prose(spark):
     assert all(s[0] != "crf" for r in docs.collect() for s in secret_scan.scan(r.text, tagger))
 
 
+def test_training_windows_of_skewed_and_rare_secrets(spark):
+    texts = secrets_corpus(400, 3)
+    many = " and ".join(t for t in texts[:60:3])         # twenty secrets, in most rows
+    docs = spark.createDataFrame(list(enumerate(texts + [many] * 1500)), "doc_id long, text string")
+    rows = secret_scan.sample_windows(docs, "text", windows=50)
+    assert [sum(r["sort"] == s for r in rows) for s in (0, 1)] == [50, 50]
+    prose = [f"the sea and the long hand {i}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(prose + texts[:9])), "doc_id long, text string")
+    rows = secret_scan.sample_windows(docs, "text", sample_docs=30)
+    want = {w[1:2] + (tuple(w[2]),) for t in texts[:9] for w in secret_scan._windows(t) if w[0] == 1}
+    assert len(want) == 3 and {(r["i"], tuple(r["tokens"])) for r in rows if r["sort"] == 1} == want
+    assert 0 < sum(r["sort"] == 0 for r in rows) < 200
+
+
 def test_viterbi_equals_decoding_every_token(spark):
     model = secret_scan.train(spark.createDataFrame(list(enumerate(secrets_corpus(200, 2))), "doc_id long, text string"))
     tagger = secret_scan.Tagger(model)
