@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, embedding_dedup, html_main, packing, secret_scan, sharding, simhash, substring_dedup,
-               token_counts, toxicity)
+from . import (decontamination, embedding_dedup, html_main, maxent, packing, secret_scan, sharding, simhash,
+               substring_dedup, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(id_col: str = "doc_id"):
-    """The fifth of the documents whose labels are never learnt (null ids: no)."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+def held_out(id_col: str = "doc_id", fifth: int = 0):
+    """The fifth of the documents that is never learnt from (null ids: no)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == fifth, F.lit(False))
 
 
 def outside_held_out(id_col: str = "doc_id"):
@@ -145,3 +145,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 3 bits)."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return out.select("doc_id", "fingerprint", "component_id")
+
+
+@register("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, by counts alone and by the trained model."""
+    docs, held = table(spark, sf_dir, "documents"), held_out(fifth=1)
+    model, counts = maxent.fit(docs, allowed=~held)
+    out = maxent.score(docs, model, counts)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
+                      F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
