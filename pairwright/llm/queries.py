@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, embedding_dedup, html_main, maxent, packing, secret_scan, sharding, simhash,
-               substring_dedup, token_counts, toxicity)
+from . import (decontamination, embedding_dedup, filter_audit, html_main, maxent, packing, secret_scan, sharding,
+               simhash, source_audit, substring_dedup, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +155,58 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = maxent.score(docs, model, counts)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
                       F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@register("op12_filter_audit", rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_SPLIT} AS w FROM documents),
+least_id AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+lab AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+   regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > m, false)] AS fails
+  FROM d JOIN least_id USING (t) LEFT JOIN lab USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM l a, l b, l c, l e, l g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+walk AS (
+  SELECT part, o, l.i AS step, o[l.i] AS filter, n, good, toxic, fails[o[l.i]] AS fails_it,
+    len(list_filter(o[1:l.i - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM cells, orders, l),
+sums AS (
+  SELECT part, o, step, filter, sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN alone AND fails_it THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN NOT gone AND fails_it THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND fails_it THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM walk GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step, kept, removed, redundant,
+  unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM sums
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in all 120 orders."""
+    return filter_audit.interactions(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op13_source_audit", rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM n JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY ALL),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM whole JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term)
+        WHERE a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that each uses more than its language."""
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
