@@ -17,7 +17,7 @@ from ..operators.pairs import dedup_pairs, extract_moves
 from ..operators.sampling import sample_position
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as S
-from ..sources.games import read_games, stream_game_records
+from ..sources.games import read_games, stream_game_records, write_archive
 from ..streaming import streams as T
 from . import bindings as B
 from .games import SQL_GAMES, render_games, synthetic_games
@@ -40,9 +40,16 @@ def _records(spark, sf_dir) -> DataFrame:
 
 
 def _archive(spark, sf_dir) -> str:
-    """The rendered games as an archive of several files."""
+    """The rendered games as an archive of several files, plain ones and Zstandard ones of several
+    frames; the records begin with one of three tags."""
     path = _folder(spark, "archive")
-    _records(spark, sf_dir).repartition(STREAM_FILES).select("pgn").write.text(path)
+    k, line = F.col("game_id"), r"(\[[^\n]*)\n"
+    swapped = F.when(k % 3 == 1, F.regexp_replace("pgn", f"^{line}{line}", "$2\n$1\n")) \
+               .when(k % 3 == 2, F.regexp_replace("pgn", f"^{line}{line}{line}", "$3\n$1\n$2\n")).otherwise(F.col("pgn"))
+    recs = _records(spark, sf_dir).select("game_id", swapped.alias("pgn"))
+    half = STREAM_FILES // 2
+    recs.filter(k % 2 == 0).repartition(half).select("pgn").write.text(path)
+    write_archive(recs.filter(k % 2 == 1).repartition(half), path, frame_records=500)
     return path
 
 

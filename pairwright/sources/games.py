@@ -1,56 +1,80 @@
 """Game archives (S1, S2) and the inline probe set.
 
-An archive is text: records of ``[Tag "value"]`` lines, a blank line, move
-text.  ``spark.read.text`` with ``lineSep = "\\n[Event "`` yields one row per
-record, with either kind of line ending; the separator eats the ``[Event `` of
-every record but the first of a file, so it is put back.  Plain files split
-across tasks; a compressed file is read by one task, and the records are dealt
-out by their id afterwards.
+An archive is text: records of ``[Tag "value"]`` lines, a blank line, move text,
+in plain or compressed files.  Spark lists the files; :mod:`.archive` cuts them
+into segments (bytes of plain files, frames of Zstandard files) and finds the
+records by their structure, one task a segment.  Nothing is shuffled but the
+segments' places -- and the records themselves where there are fewer segments
+than cores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
+from ..operators.ordering import materialize
+from .archive import SEGMENT_BYTES, index_task, read_task, write_task
 
-RECORD_SEP = "\n[Event "
 INPUT_ORDER = ["file", "block_start", "seq"]
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _records(raw: DataFrame) -> DataFrame:
-    """file (name without its folder), block_start, base id and text of every record."""
-    v = F.col("value")
-    # later records lost "[Event " to the separator and begin with the tag's quote
-    rec = F.when(v.startswith('"'), F.concat(F.lit("[Event "), v)).otherwise(v)
-    rec = F.trim(F.regexp_replace(rec, "\r\n", "\n"), F.lit(" \r\n\t"))
-    # a lone carriage return as line end would hide every record but the first
-    rec = F.when(rec.contains('\r[Event "'), F.raise_error(F.lit("archive with unknown line endings"))).otherwise(rec)
-    out = raw.select(rec.alias("pgn"), F.col("_metadata.file_name").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block_start")).filter(F.col("pgn") != "")
-    base = F.sha2(F.concat_ws("\u0001", "file", F.col("block_start").cast("string"), "pgn"), 256).substr(1, 24)
-    return out.withColumn("base_id", base)
+def _segments(files: DataFrame, segment_bytes: int) -> DataFrame:
+    return files.select("path").mapInArrow(index_task(segment_bytes), "path string, begin long, end long")
+
 
+def _records(segments: DataFrame, root: str) -> DataFrame:
+    """file (name from the archive's folder on), block_start, seq, game_id and text of every record.
 
-def read_game_records(spark: SparkSession, path: str) -> DataFrame:
+    ``seq`` is the record's place in the text: of a plain file as a whole, of a
+    compressed one behind ``block_start``, the place of its frame.  Both stay when an
+    archive moves or is cut otherwise, and no two records share them.
+    """
+    raw = segments.mapInArrow(read_task, "path string, begin long, end long, place long, record string")
+    under = F.instr("path", root)
+    name = F.when(under > 0, F.ltrim(F.substr("path", under + len(root)), F.lit("/"))).otherwise(F.lit(""))
+    name = F.when(name != "", name).otherwise(F.substring_index("path", "/", -1))
+    packed = F.substring_index("path", ".", -1).isin("zst", "gz", "bz2", "lz4")
+    rec = F.col("record")
+    # a lone carriage return as line end would hide every record but the first
+    rec = F.when(rec.rlike(r'\r\[\w+[ \t]+"'), F.raise_error(F.lit("archive with unknown line endings"))).otherwise(rec)
+    rec = F.trim(F.regexp_replace(rec, "\r\n", "\n"), F.lit(" \n\t\ufeff"))
+    two = rec.rlike(r'(?m)^\[\w+[ \t]+"[^\n]*\n(?:[ \t]*\n)+\[\w+[ \t]+"')
+    rec = F.when(two, F.raise_error(F.lit("record with two blocks of tags"))).otherwise(rec)
+    out = raw.select(name.alias("file"), F.when(packed, F.col("begin")).otherwise(F.lit(0)).alias("block_start"),
+                     F.when(packed, F.col("place")).otherwise(F.col("begin") + F.col("place")).alias("seq"), rec.alias("pgn"))
+    out = computed_once(out, ["file", "block_start", "seq"], pgn=F.col("pgn")).filter(F.col("pgn") != "")
+    key = F.concat_ws("\u0001", "file", F.col("block_start").cast("string"), F.col("seq").cast("string"), "pgn")
+    return out.withColumn("game_id", F.sha2(key, 256).substr(1, 24))
+
+
+def read_game_records(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """S1 (raw): one row per game record -- file, block_start, seq, game_id, content_id, pgn.
 
-    ``INPUT_ORDER`` is the order of the input (L1).  ``game_id`` depends on file
-    name, block and text; equal records of a block are numbered, so it is
-    unique and stays when an archive moves.  ``content_id`` is the same for equal
-    records anywhere.  The numbering deals the records out evenly, also those of
-    a compressed file.
+    ``INPUT_ORDER`` is the order of the input (L1).  ``game_id`` depends on the
+    record's file, place and text; ``content_id`` is the same for equal records
+    anywhere.  A record with two blocks of tags raises, as does an archive whose
+    lines end in carriage returns alone.
     """
-    raw = spark.read.option("lineSep", RECORD_SEP).text(path).select("value", "_metadata")
-    recs = _records(raw).withColumn("seq", F.monotonically_increasing_id())
-    again = F.row_number().over(Window.partitionBy("base_id").orderBy("seq"))
-    return recs.withColumn("_n", again).select(
-        "file", "block_start", "seq",
-        F.when(F.col("_n") == 1, F.col("base_id")).otherwise(F.concat_ws("-", "base_id", F.col("_n").cast("string"))).alias("game_id"),
-        F.sha2("pgn", 256).substr(1, 24).alias("content_id"), "pgn")
+    files = spark.read.format("binaryFile").load(path)
+    segments = materialize(_segments(files, segment_bytes))      # narrow: the index is read once
+    n = segments.count()
+    recs = _records(segments.repartitionByRange(max(n, 1), "path", "begin"), path)
+    cores = spark.sparkContext.defaultParallelism
+    if n < cores:
+        recs = recs.repartition(cores)
+    return recs.select(*INPUT_ORDER, "game_id", F.sha2("pgn", 256).substr(1, 24).alias("content_id"), "pgn")
+
+
+def write_archive(records: DataFrame, path: str, frame_records: int = 10_000) -> DataFrame:
+    """Records (column ``pgn``) to Zstandard files under ``path``, one a task, with a frame every
+    ``frame_records``, so that they can be read in parallel again.  Returns file, records, frames."""
+    rows = records.select("pgn").mapInArrow(write_task(path, frame_records), "file string, records long, frames long")
+    return materialize(rows)
 
 
 def parse_records(recs: DataFrame) -> DataFrame:
@@ -65,16 +89,14 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(read_game_records(spark, path))
 
 
-def stream_game_records(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """The archive folder as an incremental feed.
+def stream_game_records(spark: SparkSession, path: str, max_files: int = 1, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The archive folder as an incremental feed, same records and ids as in batch.
 
     ``maxFilesPerTrigger`` bounds each micro-batch, the back-pressure the
-    reference got from its bounded queue.  ``seq`` is not defined on streams;
-    equal records of one block share their id.
+    reference got from its bounded queue; a file's segments are dealt out.
     """
-    raw = (spark.readStream.option("lineSep", RECORD_SEP)
-           .option("maxFilesPerTrigger", max_files).text(path).select("value", "_metadata"))
-    return _records(raw).withColumnRenamed("base_id", "game_id")
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).load(path)
+    return _records(_segments(files, segment_bytes).repartition("path", "begin"), path)
 
 
 # The reference's ten named probe positions.
