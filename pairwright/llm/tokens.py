@@ -19,7 +19,7 @@ import numpy as np
 # The vocabulary's splitting pattern, less its lookahead, and its white space.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_RUN = re.compile(f"[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])")
+_RUN = re.compile(f"[{_SPACE}]{{2,}}")     # of one character nothing is cut off; found in one pass
 _CLOSERS = b"\"')]"
 _STOPS = tuple(x.encode() for x in ".!?…。！？")
 
@@ -60,7 +60,9 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         parts, at = [], 0
         for run in _RUN.finditer(text):
-            for end in (run.start(), run.end()):
+            if run.end() == len(text):
+                break
+            for end in (run.start(), run.end() - 1):
                 if end > at:
                     parts.append(self.bpe.encode_to_numpy(text[at:end], disallowed_special=()))
                     at = end
