@@ -12,10 +12,14 @@ partitions, so a group holding a third of the rows is still split.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -98,3 +102,11 @@ def materialize(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared checkpoint folder and read from there:
+    later steps read only the columns they use, with their filters pushed into the scan."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

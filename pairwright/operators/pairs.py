@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_token, strip_prompt
+from .bloom import anti_join
 
 # Fixed value: the reference's SAN-like pattern for moves found in free text.
 SAN_PATTERN = r"[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[KQRBN])?[+#]?|O-O-O|O-O"
@@ -76,8 +77,11 @@ def dedup_pairs(df: DataFrame) -> DataFrame:
 
 
 def unprocessed(games: DataFrame, done: DataFrame, key: str = "game_id") -> DataFrame:
-    """J7 (D12): games not yet processed (anti join on the key)."""
-    return games.join(done.select(key), key, "left_anti")
+    """J7 (D12): games not yet processed.
+
+    A Bloom filter over the finished keys keeps the games that are surely new where
+    they are; the others meet the keys in an exact anti join."""
+    return anti_join(games, done, [key])
 
 
 def evaluation_moves(expert: DataFrame, student: DataFrame, key: str = "position_id") -> DataFrame:
