@@ -12,7 +12,7 @@ from ..operators.pairs import unprocessed
 from ..operators.report import match_summary
 from ..operators.sampling import first_n
 from .bindings import table
-from .games import SQL_GAMES, synthetic_games
+from .games import SQL_GAMES, parse_games, render_games, synthetic_games
 from .registry import H, register
 
 W = f"WITH {SQL_GAMES.strip()}"
@@ -181,11 +181,11 @@ def match_summary_q(spark, sf_dir):
 SELECT game_id, CAST(n_plies AS BIGINT) AS n_plies FROM gq WHERE k % 3 <> 0""")
 def resume_unprocessed(spark, sf_dir):
     """J7 (D12): games of a run resumed after the k % 3 = 0 third was done."""
-    g = synthetic_games(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders")
     # the processed-id list of the interrupted run: a separate table of keys
-    done = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id")) \
-        .filter(F.col("game_id") % 3 == 0)
-    return unprocessed(g, done).select("game_id", _b("n_plies"))
+    done = orders.select("o_orderkey").filter(F.col("o_orderkey") % 3 == 0)
+    todo = unprocessed(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), done, "o_orderkey")
+    return parse_games(render_games(todo)).select("game_id", _b("n_plies"))     # finished games are not parsed again
 
 
 @register("game_parse_errors", f"""{W}

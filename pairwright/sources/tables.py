@@ -112,8 +112,8 @@ def latest_snapshot(spark: SparkSession, base: str, schema: T.StructType | str =
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per file -> one row per logged event."""
     raw = spark.read.schema(LOG_SCHEMA).option("multiLine", True).json(path)
-    return raw.select("best_global_step", "best_metric", F.explode("log_history").alias("e")) \
-              .select("best_global_step", "best_metric", "e.*")
+    return raw.select("best_global_step", "best_metric", "best_model_checkpoint", F.explode("log_history").alias("e")) \
+              .select("best_global_step", "best_metric", "best_model_checkpoint", "e.*")
 
 
 def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:

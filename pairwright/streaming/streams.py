@@ -9,10 +9,13 @@ from ``checkpointLocation`` neither loses nor repeats rows.
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import StreamingQueryException
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.barrier import computed_once
 from ..functions.pgn import mainline, parse_headers
@@ -47,10 +50,14 @@ def stream_sft(spark: SparkSession, src: str, out: str, checkpoint: str, min_elo
     return w.start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _manifest(spark: SparkSession, manifest: str) -> DataFrame | None:
     """The manifest's rows, or None before the first one; an unreadable one raises."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(manifest)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not _exists(spark, manifest):
         return None
     return spark.read.schema("batch_id long, rows long, at timestamp").option("mode", "FAILFAST").json(f"{manifest}/batch=*")
 
@@ -124,6 +131,43 @@ def committed_rows(spark: SparkSession, out: str) -> int:
     return _manifest_total(spark, out.rstrip("/") + "_manifest", -1)
 
 
+def distinct_writer(out: str, key: str):
+    """foreachBatch body that appends the rows whose key no earlier batch has.
+
+    The keys seen are those of the committed table itself, so nothing is kept in
+    operator state, however long the stream.  A batch asks for its own keys alone
+    (a semi join of the key column with the batch's few keys) and drops those it
+    finds.  A batch that is run again overwrites its own partition.
+    """
+    manifest = out.rstrip("/") + "_manifest"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates([key]).persist()
+        try:
+            new = batch
+            if _exists(spark, out):
+                schema = batch.withColumn("batch_id", F.lit(batch_id)).schema
+                before = spark.read.schema(schema).parquet(out).filter(F.col("batch_id") != batch_id).select(F.col(key).alias("_seen"))
+                own = batch.select(F.col(key).alias("_own"))
+                seen = before.join(own, before["_seen"].eqNullSafe(own["_own"]), "left_semi").distinct()
+                new = batch.join(seen, batch[key].eqNullSafe(seen["_seen"]), "left_anti")
+            new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
+        finally:
+            batch.unpersist()
+        own = f"{out}/batch_id={batch_id}"
+        _note(spark, manifest, batch_id, spark.read.parquet(own).count() if _exists(spark, own) else 0)
+
+    return write
+
+
+def stream_distinct(df: DataFrame, out: str, checkpoint: str, key: str = "game_id") -> StreamingQuery:
+    """T7 (D12): a stream's rows by key, each key once, into the table ``out``; no event time needed."""
+    return (df.writeStream.foreachBatch(distinct_writer(out, key))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def snapshot_writer(out: str, key: str, interval: int = SNAPSHOT_INTERVAL):
     """T5: foreachBatch body numbering rows across batches, snapshot = ceil(n / interval).
 
@@ -152,6 +196,66 @@ def stream_snapshots(df: DataFrame, out: str, checkpoint: str, key: str = "game_
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def snapshot_sizes(spark: SparkSession, out: str, interval: int = SNAPSHOT_INTERVAL) -> DataFrame:
+    """Rows of every snapshot that a snapshot sink has committed, and whether it is partial
+    (the last one of a run that ended or was interrupted between two)."""
+    return spark.read.parquet(out).groupBy("snapshot").agg(F.count(F.lit(1)).alias("rows")) \
+                .withColumn("partial", F.col("rows") < interval)
+
+
+class ProgressSink(StreamingQueryListener):
+    """A listener that appends every progress event of the session's queries to a JSON table.
+
+    ``recentProgress`` forgets; this does not.  Events are written in groups of
+    ``every`` or after ``seconds``, and when a query ends, so a crash loses at most one
+    group.  Use ``spark.streams.addListener(sink)``; :meth:`progress` reads the table.
+    """
+
+    SCHEMA = ("query string, run string, name string, batch_id long, input_rows long, input_rows_per_sec double, "
+              "processed_rows_per_sec double, timestamp string")
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 50, seconds: float = 30.0):
+        self.spark, self.path, self.every, self.seconds = spark, path, every, seconds
+        self.waiting: list[tuple] = []
+        self.written = time.monotonic()
+        self.ended: set[str] = set()
+        self.lock = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.lock:
+            self.waiting.append((str(p.id), str(p.runId), p.name, int(p.batchId), int(p.numInputRows),
+                                 float(p.inputRowsPerSecond or 0.0), float(p.processedRowsPerSecond or 0.0), p.timestamp))
+            if len(self.waiting) >= self.every or time.monotonic() - self.written >= self.seconds:
+                self._write()
+
+    def onQueryTerminated(self, event) -> None:
+        with self.lock:
+            self._write()
+            self.ended.add(str(event.runId))
+            self.lock.notify_all()
+
+    def _write(self) -> None:
+        if self.waiting:
+            self.spark.createDataFrame(self.waiting, self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+            self.waiting = []
+        self.written = time.monotonic()
+
+    def wait(self, query: StreamingQuery, timeout: float = 60.0) -> bool:
+        """Wait until the events of a query that has ended are written."""
+        with self.lock:
+            return self.lock.wait_for(lambda: str(query.runId) in self.ended, timeout)
+
+    def progress(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).json(self.path)
+
+
 def batch_progress(spark: SparkSession, out: str) -> DataFrame:
     """Rows of every micro-batch that a capped or snapshot sink has written, from its
     manifest -- however long the run and however often it was restarted."""
@@ -184,7 +288,8 @@ def windowed_progress(df: DataFrame, ts: str = "ts", window: str = "30 seconds",
 def stream_dedup(df: DataFrame, key: str = "game_id", event_time: str | None = None,
                  watermark: str = "1 hour") -> DataFrame:
     """T7 (D12): drop repeated keys.  With an event time the state is bounded
-    by the watermark; without one Spark keeps every key seen (as a resume list)."""
+    by the watermark; without one Spark keeps every key seen in operator state --
+    :func:`stream_distinct` keeps none."""
     if event_time:
         df = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
         return df.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
