@@ -14,7 +14,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_LONG = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)     # of no fixed width
 HASHES = 4
 BITS_PER_KEY = 16        # about 0.2 % of other keys pass
 MAX_WORDS = 1 << 20      # 8 MB
@@ -46,16 +48,20 @@ def may_hold(bits: Column, words: int, key: list[Column]) -> Column:
     return reduce(and_, [F.getbit(F.get(bits, w.cast("int")), b) == 1 for w, b in _bits(key, words)])
 
 
-def anti_join(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+def anti_join(rows: DataFrame, gone: DataFrame, columns: list[str], broadcast_keys: int = 0) -> DataFrame:
     """``rows`` whose key is not in ``gone``: exact, and null-safe.
 
     Rows that a Bloom filter over ``gone`` tells apart stay where they are; only
     the others, the keys that are gone and a few more, are shuffled to meet them.
+    Up to ``broadcast_keys`` keys of fixed width are broadcast instead, and no row moves.
     """
     gone = gone.select(*columns).distinct()
     n = gone.count()
     if n == 0:
         return rows
+    if n <= broadcast_keys and not any(isinstance(f.dataType, _LONG) for f in gone.schema.fields):
+        few = F.broadcast(gone.select(*[F.col(c).alias(f"_gone_{c}") for c in columns]))
+        return rows.join(few, reduce(and_, [rows[c].eqNullSafe(few[f"_gone_{c}"]) for c in columns]), "left_anti")
     bits, words = bloom_filter(gone, columns, n)
     bits = F.broadcast(bits)                 # one row, at most MAX_WORDS words
     maybe = may_hold(F.col("_bits"), words, [rows[c] for c in columns])

@@ -17,6 +17,10 @@ def test_anti_join_is_exact(spark, monkeypatch):
         out = bloom.anti_join(rows, gone, ["k", "t"])
         assert out.columns == rows.columns and sorted(r.id for r in out.collect()) == sorted(want)
     assert bloom.anti_join(rows, gone.limit(0), ["k", "t"]).count() == 20000
+    keyed = rows.select(F.xxhash64("k").alias("k"), F.col("t").cast("int").alias("t"), "id")
+    few = bloom.anti_join(keyed, keyed.filter("id % 7 = 0"), ["k", "t"], broadcast_keys=1 << 20)
+    assert sorted(r.id for r in few.collect()) == sorted(want)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
     assert bloom.anti_join(rows.limit(0), gone, ["k", "t"]).count() == 0
 
 
