@@ -48,8 +48,9 @@ SLOT_ROWS = 1 << 14       # hashed rows that add to the slots' logits
 FEATURES = 3
 ROUNDS = 2
 BATCH = 8192              # tokens of one training step
-BLOCK = 16384             # tokens scored at once
+BLOCK = 8192              # tokens scored at once
 RATE = 0.15
+LIMIT = 8.0               # no weight goes beyond: sums of logits stay within what exp() holds
 CALM = 1.0                # squared gradient that every row begins with: rows seldom met move little
 FREQUENT = 400_000        # words whose counts travel with the model
 MAX_BYTES = 64            # of such a word
@@ -95,13 +96,20 @@ def _spelled(words: Words) -> pa.DictionaryArray:
                                                                  pa.py_buffer(data)]).dictionary_encode()
 
 
+def _first(codes: np.ndarray, size: int) -> np.ndarray:
+    """Where each code stands first."""
+    out = np.empty(size, dtype=np.int64)
+    out[codes[::-1]] = np.arange(len(codes))[::-1]
+    return out
+
+
 def _features(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Feature hashes (tokens, FEATURES); before a text's first token stand constants."""
+    """Feature hashes (FEATURES, tokens); before a text's first token stand constants."""
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
     last, second = (np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), hashes[:-k]])[:len(hashes)], np.uint64(k))
                     for k in (1, 2))
     return np.stack([mix(last + np.uint64(11)), mix(last * np.uint64(3) + mix(second + np.uint64(5))),
-                     mix(second + np.uint64(77))], axis=1)
+                     mix(second + np.uint64(77))])
 
 
 @dataclass
@@ -116,7 +124,8 @@ class Model:
     rest_types: np.ndarray
     train_tokens: int
     types: int
-    frequent: pa.Array         # most frequent words and their counts
+    frequent: pa.Array         # most frequent words, by rising hash, with their hashes and counts
+    frequent_hashes: np.ndarray
     frequent_counts: np.ndarray
     cut: int                   # words in fewer bins of counts, or over MAX_BYTES, are not among them
 
@@ -126,29 +135,39 @@ class Model:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.slot[at], 0)
 
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word among the frequent ones, found by hash and confirmed by spelling; -1: not there."""
+        if not len(self.frequent):
+            return np.full(len(words), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.frequent_hashes, hashes), len(self.frequent) - 1)
+        spelled = pc.equal(words, self.frequent.take(pa.array(at))).to_numpy(zero_copy_only=False)
+        return np.where(spelled, at, -1)
+
     def places(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of each feature for the class and, with the class, for the slot."""
-        own = classes[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((features % np.uint64(CLASS_ROWS)).astype(np.int64),
-                (mix(features + own) % np.uint64(SLOT_ROWS)).astype(np.int64))
+        own = classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((features & np.uint64(CLASS_ROWS - 1)).astype(np.int64),
+                (mix(features + own) & np.uint64(SLOT_ROWS - 1)).astype(np.int64))
 
     def logits(self, for_class: np.ndarray, for_slot: np.ndarray, classes: np.ndarray):
-        a, b = self.class_bias + self.class_rows[for_class[:, 0]], self.slot_bias[classes] + self.slot_rows[for_slot[:, 0]]
+        a = np.take(self.class_rows, for_class[0], axis=0, mode="clip")
+        b = np.take(self.slot_rows, for_slot[0], axis=0, mode="clip")
         for k in range(1, FEATURES):
-            a += self.class_rows[for_class[:, k]]
-            b += self.slot_rows[for_slot[:, k]]
-        return a - a.max(axis=1, keepdims=True), b - b.max(axis=1, keepdims=True)
+            a += np.take(self.class_rows, for_class[k], axis=0, mode="clip")
+            b += np.take(self.slot_rows, for_slot[k], axis=0, mode="clip")
+        return a + self.class_bias, b + np.take(self.slot_bias, classes, axis=0, mode="clip")
 
     def log10(self, features: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """log10 P(class, slot | history) of every token, in blocks."""
         out = np.empty(len(classes))
+        ones = np.ones(CLASSES, np.float32), np.ones(SLOTS, np.float32)
         for lo in range(0, len(classes), BLOCK):
             part = slice(lo, lo + BLOCK)
-            a, b = self.logits(*self.places(features[part], classes[part]), classes[part])
+            a, b = self.logits(*self.places(features[:, part], classes[part]), classes[part])
             i = np.arange(len(a))
-            out[part] = (a[i, classes[part]] - np.log(np.exp(a).sum(axis=1)) + b[i, slots[part]]
-                         - np.log(np.exp(b).sum(axis=1))) / _LN10
-        return out
+            out[part] = a[i, classes[part]] + b[i, slots[part]]
+            out[part] -= np.log((np.exp(a, out=a) @ ones[0]) * (np.exp(b, out=b) @ ones[1]))
+        return out / _LN10
 
 
 class _Steps:
@@ -169,12 +188,13 @@ class _Steps:
             miss = np.exp(logits)
             miss /= miss.sum(axis=1, keepdims=True)
             miss[i, want] -= 1
-            at, n = rows[k].T.ravel(), len(self.tables[k])
+            at, n = rows[k].ravel(), len(self.tables[k])
             miss = np.ascontiguousarray(miss.T, dtype=np.float64)
             # sums by row, one outcome at a time
             gradient = np.stack([np.bincount(at, np.tile(x, FEATURES), n) for x in miss]).astype(np.float32)
             self.squares[k] += (gradient * gradient).mean(axis=0)
             self.tables[k] -= RATE * (gradient / np.sqrt(self.squares[k])).T
+            np.clip(self.tables[k], -LIMIT, LIMIT, out=self.tables[k])
             self.met[k] += np.bincount(at, minlength=n)
 
     def gains(self):
@@ -197,7 +217,7 @@ def _train_task(model: Model):
                 features, slots = _features(hashes, words.counts()), model.slots(hashes)
                 for lo in range(0, len(hashes), BATCH):
                     part = slice(lo, lo + BATCH)
-                    steps.step(features[part], classes[part], slots[part])
+                    steps.step(features[:, part], classes[part], slots[part])
         rows = list(steps.gains())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
@@ -228,8 +248,7 @@ def _count_task(batches):
         for words in _token_chunks(batch.column(0)):
             spelled = _spelled(words)
             codes = spelled.indices.to_numpy()
-            first = np.empty(len(spelled.dictionary), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            first = _first(codes, len(spelled.dictionary))
             yield pa.RecordBatch.from_arrays(
                 [spelled.dictionary.cast(pa.binary()), pa.array(_classes(words)[first], pa.int32()),
                  pa.array(words.hashes(lower=True)[first].view(np.int64), pa.int64()),
@@ -275,11 +294,16 @@ def _start(counts: DataFrame) -> Model:
         if room < 0:
             break
         cut = r["bin"]
-    often = short.filter(_bin() >= cut).select("token", "c").toArrow()
+    often = short.filter(_bin() >= cut).select("token", "hash", "c").toArrow()
+    often_hashes = often.column(1).to_numpy().view(np.uint64)
+    rising = np.argsort(often_hashes)
+    if len(np.unique(often_hashes)) < len(rising):      # two of one hash: all words meet their counts in the join
+        cut, rising = 1 << 30, rising[:0]
     return Model(class_bias, slot_bias, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32),
                  hashes[order], np.array([r["r"] for r in top], dtype=np.int64)[order], rest.astype(float),
                  rest_types.astype(float), int(totals.sum()), int(types.sum()),
-                 often.column(0).combine_chunks().cast(pa.large_binary()), often.column(1).to_numpy(), cut)
+                 often.column(0).combine_chunks().cast(pa.large_binary()).take(pa.array(rising)), often_hashes[rising],
+                 often.column(2).to_numpy()[rising], cut)
 
 
 def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -297,6 +321,8 @@ def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
             if at >= CLASS_ROWS:
                 table, at = model.slot_rows, at - CLASS_ROWS
             table[at: at + ROW_BLOCK] += np.frombuffer(row["gain"], dtype=np.float32).reshape(ROW_BLOCK, -1)
+        for table in (model.class_rows, model.slot_rows):
+            np.clip(table, -LIMIT, LIMIT, out=table)
     return model, counts
 
 
@@ -310,7 +336,7 @@ def _score_task(model: Model):
             for words in _token_chunks(batch.column(1)):
                 counts, spelled = words.counts(), _spelled(words)
                 codes, hashes, classes = spelled.indices.to_numpy(), words.hashes(lower=True), _classes(words)
-                seen = pc.index_in(spelled.dictionary, value_set=model.frequent).fill_null(-1).to_numpy()
+                seen = model.find(spelled.dictionary, hashes[_first(codes, len(spelled.dictionary))])
                 slots, begin = model.slots(hashes), np.cumsum(counts) - counts
                 if len(model.frequent_counts):
                     c = np.where(seen >= 0, model.frequent_counts[seen], 0)[codes].astype(np.float64)
