@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.barrier import computed_once
+from ..operators.bloom import anti_join
 from .shared import stage
 
 GRAM = 5
@@ -165,8 +166,12 @@ def is_contaminated(n_hit: Column | str = "n_hit", n_words: Column | str = "n_wo
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones; the columns stay as they are."""
+    """``docs`` without the contaminated ones; the columns stay as they are.
+
+    The contaminated ones are found first, as narrow keys; no document is shuffled
+    while there are at most ``BROADCAST_ROWS`` of them, and beyond that only those that a Bloom filter marks."""
     bad = contamination(docs, items, id_col, text_col).filter(is_contaminated()) \
-        .select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) &
-                     (F.xxhash64(docs[text_col]) == bad["_bad_key"]), "left_anti")
+        .select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_bad_id"),
+                        F.xxhash64(docs[text_col]).alias("_bad_key"))
+    return anti_join(keyed, stage(bad, "decontam-bad"), ["_bad_id", "_bad_key"], BROADCAST_ROWS).select("_doc.*")

@@ -16,17 +16,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: several branches read the same rows, and a lost executor
     costs a re-read, not a recomputation.
     """
-    return _stage(df, name)[0]
+    return stage_at(df, name)[0]
 
 
-def _stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`stage`, with the folder, to be deleted once nothing reads it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -46,7 +47,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pair = F.xxhash64("a", "b").cast("decimal(38,0)")
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) \
              .filter("a <> b").distinct()
-    e, path = _stage(e, "edges")
+    e, path = stage_at(e, "edges")
     mark = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -56,9 +57,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b") \
                      .union(low.select("a", F.col("m").alias("b"))).distinct()
-        e, new = _stage(small, "edges")
+        e, new = stage_at(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(pair)).first()
-        _delete(spark, path)
+        delete(spark, path)
         path = new
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")) \

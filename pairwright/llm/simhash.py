@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..operators.bloom import anti_join
 from .shared import components, stage
 
 BUCKET = 4096          # distinct fingerprints verified together in one task
+BROADCAST_ROWS = 1_000_000   # rows to drop, 8 bytes each, that may be broadcast
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -195,14 +197,20 @@ def component_of(fps: DataFrame, id_col: str, max_bits: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shingle: int = 3, max_bits: int = 3) -> DataFrame:
+                shingle: int = 3, max_bits: int = 3, keep_blank: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (nulls last; of repeated
-    rows, one)."""
+    rows, one).  With ``keep_blank`` all rows without a word stay: they share a fingerprint, not a text.
+
+    What goes is found on narrow rows; the documents themselves are not shuffled
+    while at most ``BROADCAST_ROWS`` rows go, and beyond that only those that a Bloom filter marks."""
+    blank = ~F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-                             fingerprint(docs[text_col], shingle).alias("fp"),
+                             fingerprint(docs[text_col], shingle).alias("fp"), blank.alias("blank"),
                              F.monotonically_increasing_id().alias("row")), "simhash-docs")
-    narrow = rows.select(F.col("doc")[id_col].alias("id"), "row", "fp")
+    narrow = rows.select(F.col("doc")[id_col].alias("id"), "row", "fp", "blank")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    kept = narrow.join(component_of(narrow, "id", max_bits), "fp") \
-                 .groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    member = stage(narrow.join(component_of(narrow, "id", max_bits), "fp").select("id", "row", "blank", "component"), "simhash-member")
+    kept = member.groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias("row"))
+    gone = member.filter(~F.col("blank")) if keep_blank else member
+    gone = stage(gone.select("row").join(kept, "row", "left_anti"), "simhash-gone")
+    return anti_join(rows, gone, ["row"], BROADCAST_ROWS).select("doc.*")
