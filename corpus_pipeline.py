@@ -2,7 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 read again as the next one's ``docs``.  All but the last keep the columns of
-``documents``.  Null texts pass the filters; an empty table stays empty.
+``documents``.  Documents without a word (null, empty and blank texts) pass all
+filters: there is nothing in them to reject, and they share no text.  Rows with a
+null id are kept and dropped like others; of repeated rows one stays.  An empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -12,19 +15,20 @@ from pyspark.sql import functions as F
 
 from pairwright.llm import decontamination, packing, secret_scan, simhash, toxicity
 from pairwright.llm.queries import outside_held_out
-from pairwright.llm.shared import stage
+from pairwright.llm.shared import delete, stage_at
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold of their language."""
+    """Documents that score below the toxicity threshold of their language, and those without a word."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, allowed=outside_held_out())
-    return docs.filter(toxicity.score(docs["text"], model) < toxicity.threshold(docs["lang"], model))
+    blank = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return docs.filter(blank | (toxicity.score(docs["text"], model) < toxicity.threshold(docs["lang"], model)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (3-word shingles, 3 bits)."""
-    return simhash.one_of_each(docs, shingle=3, max_bits=3)
+    """One document of each SimHash component (3-word shingles, 3 bits), and those without a word."""
+    return simhash.one_of_each(docs, shingle=3, max_bits=3, keep_blank=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stage_at(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            delete(spark, before)      # the stage after it is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
