@@ -203,10 +203,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     What goes is found on narrow rows; the documents themselves are not shuffled
     while at most ``BROADCAST_ROWS`` rows go, and beyond that only those that a Bloom filter marks."""
-    blank = ~F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-                             fingerprint(docs[text_col], shingle).alias("fp"), blank.alias("blank"),
-                             F.monotonically_increasing_id().alias("row")), "simhash-docs")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), fingerprint(docs[text_col], shingle).alias("fp"))
+    # only a text without a word and a rare other one has fingerprint zero
+    blank = (F.col("fp") == 0) & ~F.coalesce(F.col("doc")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = stage(rows.select("doc", "fp", blank.alias("blank"), F.monotonically_increasing_id().alias("row")), "simhash-docs")
     narrow = rows.select(F.col("doc")[id_col].alias("id"), "row", "fp", "blank")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     member = stage(narrow.join(component_of(narrow, "id", max_bits), "fp").select("id", "row", "blank", "component"), "simhash-member")
