@@ -18,16 +18,26 @@ from pairwright.llm.queries import outside_held_out
 from pairwright.llm.shared import delete, stage_at
 
 
+BATCH_ROWS = 2000     # texts that are in memory at once on their way to and from Python
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold of their language, and those without a word."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, allowed=outside_held_out())
+    # texts are looked at again only where the score rejects them
     blank = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return docs.filter(blank | (toxicity.score(docs["text"], model) < toxicity.threshold(docs["lang"], model)))
+    return docs.filter((toxicity.score(docs["text"], model) < toxicity.threshold(docs["lang"], model)) | blank)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (3-word shingles, 3 bits), and those without a word."""
+    _small_batches(spark)
     return simhash.one_of_each(docs, shingle=3, max_bits=3, keep_blank=True)
 
 
@@ -38,12 +48,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in the text replaced by a mark."""
+    _small_batches(spark)
     clean = docs.withColumn("text", secret_scan.redacted(docs["text"], secret_scan.train(docs)))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, in windows of 1024 tokens."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 
