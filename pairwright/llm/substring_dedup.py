@@ -2,24 +2,27 @@
 
 1. *Phrases.* Of the thirteen 8-word phrases in a window the one with the
    smallest hash is kept (a repeated window always keeps a repeated phrase).
-   Phrase hashes are counted over the corpus; those kept at two places or more
-   go back to the texts they stand in.
-2. *Automata.* Each task takes shards of up to a megabyte of texts, compiles
-   their recurring phrases (sequences of word numbers) into an Aho-Corasick
-   automaton and streams the shard through it, which locates every occurrence.
-   A window can only recur if its kept phrase does; only such windows go on.
-3. *First occurrences.* The smallest (document, start) of each window is a
+   Hashes are counted over the corpus; those kept at two places or more come
+   back with their words.
+2. *Confirmation.* Words, not hashes, are counted: a phrase recurs if its eight
+   words are kept at two places or more.
+3. *Automata.* Texts are dealt into shards of about a megabyte.  A shard's
+   dictionary holds the confirmed phrases of all its texts; it is compiled into
+   one Aho-Corasick automaton over word numbers, and every text of the shard is
+   streamed through it.  What it locates decides: a window goes on only if its
+   kept phrase is located there, word for word.
+4. *First occurrences.* The smallest (document, start) of each window is a
    partial minimum of one packed number.  It goes back to its document alone.
-4. *Removal.* The same automata run once more; a located window that is not a
+5. *Removal.* The texts are streamed once more; a located window that is not a
    first occurrence is removed, together with all words it covers.
 
 Equal texts are one class: the smallest id of each takes part above, the others
 repeat all their windows.  Text crosses the network compressed, once for each
-run of the automata, keyed by id and text so that no group of copies meets.
+run of the automata, dealt by id and text so that no group of copies meets.  All
+dictionaries together grow with the corpus, and a text is streamed by one shard.
 
-A shard's automaton holds only its own phrases, so all automata together grow
-with the corpus and each document is streamed by one of them only.  Windows are
-told apart by 64-bit hashes.
+Phrases are compared by their words, windows by 96 bits of two hashes, texts by
+128 bits of two hashes.  A text of more than 67 million words raises.
 
 Documents come in the order of their ids, nulls last, then by text hash.  Rows
 that repeat both id and text are one document and get the same result.  Null
@@ -36,15 +39,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bloom import bloom_filter, may_hold
 from ..operators.ordering import global_row_number
-from .shared import stage
-from .wordnum import Words, text_chunks, window_hashes
+from .shared import delete, stage, stage_at
+from .wordnum import Words, mix, text_chunks, window_hashes
 
 WINDOW = 20
 PHRASE = 8
-SHARD_TEXTS = 512        # texts at most that an automaton is compiled for (and 1 MB of them)
+SHARD_BYTES = 1 << 20    # text of a shard, about
+SLICE_TEXTS = 512        # texts at most that are unpacked at once
 START_BITS = 26          # words of a document that can be numbered: 67 million
 _SPAN = WINDOW - PHRASE + 1
+_OTHER = np.uint64(0xA0761D6478BD642F)
+_PHRASES, _CLASSES, _TEXTS = 0, 1, 2      # rows of a shard, in this order
 
 
 def _kept_phrases(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +68,20 @@ def _documents(chunk: Words) -> np.ndarray:
     return np.repeat(np.arange(chunk.hi - chunk.lo), chunk.counts())
 
 
-def phrases(docs: DataFrame) -> DataFrame:
-    """``phrase, k, n``: the kept phrases of every text ``(k, text)`` and how often each is kept."""
+def _spelled(chunk: Words, places: np.ndarray) -> list[bytes]:
+    """The words of the phrases at ``places``, with one space between two."""
+    raw = chunk.data.tobytes()
+    odd = np.zeros(len(chunk.starts) + 1, dtype=np.int64)     # gaps so far that are not one space
+    gap = np.ones(len(chunk.starts), dtype=bool)
+    gap[:-1] = (chunk.starts[1:] - chunk.ends[:-1] != 1) | (chunk.data[chunk.ends[:-1]] != 0x20) if len(gap) > 1 else True
+    np.cumsum(gap, out=odd[1:])
+    plain = odd[places + PHRASE - 1] == odd[places]
+    bounds = zip(chunk.starts[places].tolist(), chunk.ends[places + PHRASE - 1].tolist(), plain.tolist())
+    return [raw[a:b] if one else b" ".join(raw[a:b].split()) for a, b, one in bounds]
+
+
+def phrases(docs: DataFrame, spelled: bool = False) -> DataFrame:
+    """``phrase, k, n`` (and ``words``): the kept phrases of every text ``(k, text)``, how often each is kept."""
 
     def run(batches):
         for batch in batches:
@@ -73,44 +92,91 @@ def phrases(docs: DataFrame) -> DataFrame:
                 at = np.unique(low[whole])
                 if not len(at):
                     continue
+                if spelled:           # a row for each place: equal hashes may be other words
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(values[at].view(np.int64)), pa.array(keys[chunk.lo + doc[at]]),
+                         pa.array(np.ones(len(at), np.int64)), pa.array(_spelled(chunk, at), pa.binary())], names)
+                    continue
                 order = np.lexsort((values[at], doc[at]))
                 value, owner = values[at][order], doc[at][order]
                 new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value[new].view(np.int64)), pa.array(keys[chunk.lo + owner[new]]),
-                     pa.array(np.diff(np.append(new, len(value))), pa.int64())], ["phrase", "k", "n"])
-
-    return docs.mapInArrow(run, "phrase long, k long, n long")
-
-
-def _located(chunk: Words, recurring: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a shard whose kept phrase recurs: whether, hash, and document of each word.
-
-    ``recurring``: for each text the hashes of its recurring phrases.
-    """
-    import ahocorasick
-
-    words, doc = chunk.hashes(), _documents(chunk)
-    values, low, whole = _kept_phrases(words, doc)
-    numbers = (words & np.uint64(0xFFFFFFFF)).tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    places = np.unique(low[whole])
-    bounds = np.searchsorted(places, chunk.first)
-    seen: set[int] = set()
-    for d in range(chunk.hi - chunk.lo):
-        own = recurring[chunk.lo + d]
-        if own is None or not len(own) or bounds[d] == bounds[d + 1]:
-            continue
-        at = places[bounds[d]: bounds[d + 1]]
-        for p, value in zip(at.tolist(), values[at].view(np.int64).tolist()):
-            if value in own and value not in seen:
-                seen.add(value)
-                automaton.add_word(tuple(numbers[p: p + PHRASE]))
-    found = np.zeros(len(values), dtype=bool)
-    if seen:
-        automaton.make_automaton()
-        found[[end - PHRASE + 1 for end, _ in automaton.iter(tuple(numbers))]] = True
-    return whole & found[low], window_hashes(words, WINDOW), doc
+                     pa.array(np.diff(np.append(new, len(value))), pa.int64())], names)
+
+    names = ["phrase", "k", "n"] + ["words"] * spelled
+    return docs.mapInArrow(run, "phrase long, k long, n long" + ", words binary" * spelled)
+
+
+class _Shard:
+    """A shard's dictionary as an automaton, and what is known of its texts."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}       # word -> number; 0 is any word of no phrase
+        self.entries: list[tuple] = []
+        self.classes: dict[tuple, tuple] = {}     # (k, k2, i) -> number, starts of first windows, whether a copy
+        self.automaton = None
+
+    def add(self, words: pa.Array) -> None:
+        numbers = self.numbers
+        for entry in words.to_pylist():
+            self.entries.append(tuple([numbers.setdefault(w, len(numbers) + 1) for w in entry.split(b" ")]))
+
+    def know(self, rows: pa.RecordBatch) -> None:
+        what = [rows.column(c).to_pylist() for c in ("k", "k2", "i", "number", "firsts", "copy")]
+        for k, k2, i, number, firsts, copy in zip(*what):
+            self.classes[k, k2, i] = (number, firsts, copy)
+
+    def locate(self, words: list[bytes]) -> np.ndarray:
+        """Whether a phrase of the dictionary begins at each of the words."""
+        import ahocorasick
+
+        found = np.zeros(len(words), dtype=bool)
+        if self.automaton is None and self.entries:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+            for entry in self.entries:
+                self.automaton.add_word(entry)
+            self.automaton.make_automaton()
+            self.entries = []
+        if self.automaton is not None and words:
+            number = self.numbers.get
+            found[[end - PHRASE + 1 for end, _ in self.automaton.iter(tuple([number(w, 0) for w in words]))]] = True
+        return found
+
+
+def _streamed(batches):
+    """``(shard, slice of its texts)``: a shard's rows are its phrases, then its classes, then its texts."""
+    number, shard = None, None
+    for batch in batches:
+        numbers, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+        cuts = (np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if lo == hi:
+                continue
+            if number is None or numbers[lo] != number:
+                number, shard = numbers[lo], _Shard()
+            part = batch.slice(lo, hi - lo)
+            if kinds[lo] == _PHRASES:
+                shard.add(part.column("body"))
+            elif kinds[lo] == _CLASSES:
+                shard.know(part)
+            else:
+                for at in range(0, part.num_rows, SLICE_TEXTS):
+                    yield shard, part.slice(at, SLICE_TEXTS)
+
+
+def _keys(rows: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*[rows.column(c).to_pylist() for c in ("k", "k2", "i")]))
+
+
+def _windows(chunk: Words, shard: _Shard, bodies: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a chunk whose kept phrase the automaton locates: whether, word hashes, and document of each word."""
+    hashes, doc = chunk.hashes(), _documents(chunk)
+    _, low, whole = _kept_phrases(hashes, doc)
+    if not len(low):
+        return whole, hashes, doc
+    words = [w for body in bodies[chunk.lo: chunk.hi] for w in body]
+    return whole & shard.locate(words)[low], hashes, doc
 
 
 def _texts(column: pa.Array) -> pa.Array:
@@ -132,59 +198,58 @@ def _packed_text(text: Column) -> Column:
     return udf(text)
 
 
-def _shards(batches):
-    """Slices of the batches: a task holds one shard's texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SHARD_TEXTS):
-            yield batch.slice(at, SHARD_TEXTS)
-
-
-def _sets(column: pa.Array) -> list:
-    return [None if x is None else set(x) for x in column.to_pylist()]
-
-
-def windows(texts: DataFrame) -> DataFrame:
-    """``h, at`` (document number and start, packed) of every window that may recur.
+def windows(rows: DataFrame) -> DataFrame:
+    """``h, h2, at`` (document number and start, packed) of every window that may recur.
 
-    ``texts``: ``number, z, phrases``.
+    ``rows``: shards, their classes being those that windows are looked for in.
     """
     def run(batches):
-        for batch in _shards(batches):
-            number, recurring = batch.column("number").to_numpy(), _sets(batch.column("phrases"))
-            for chunk in text_chunks(_texts(batch.column("z"))):
-                ok, h, doc = _located(chunk, recurring)
+        for shard, part in _streamed(batches):
+            known = [shard.classes.get(key) for key in _keys(part)]
+            mine = [j for j, c in enumerate(known) if c is not None]
+            if not mine:
+                continue
+            number = np.array([known[j][0] for j in mine], dtype=np.int64)
+            raw = _texts(part.column("body").take(pa.array(mine)))
+            bodies = [x.split() for x in raw.to_pylist()]
+            if max(map(len, bodies)) >> START_BITS:
+                raise ValueError(f"a text of {max(map(len, bodies))} words is over {1 << START_BITS}")
+            for chunk in text_chunks(raw):
+                ok, words, doc = _windows(chunk, shard, bodies)
                 i = np.flatnonzero(ok)
+                if not len(i):
+                    continue
+                h = window_hashes(words, WINDOW)[i]
+                other = (window_hashes(mix(words ^ _OTHER), WINDOW)[i] >> np.uint64(32)).astype(np.uint32)
                 at = (number[chunk.lo + doc[i]] << START_BITS) | (i - chunk.first[doc[i]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(at, pa.int64())], ["h", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(other.view(np.int32)),
+                                                  pa.array(at, pa.int64())], ["h", "h2", "at"])
 
-    return texts.mapInArrow(run, "h long, at long")
+    return rows.mapInArrow(run, "h long, h2 int, at long")
 
 
-def _removal(texts: DataFrame, id_col: str, id_type: str, with_text: bool) -> DataFrame:
+def _removal(rows: DataFrame, id_col: str, id_type: str, with_text: bool) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` and the kept text, if asked for."""
 
     def run(batches):
-        for batch in _shards(batches):
-            raw = _texts(batch.column("z"))
-            recurring, firsts = _sets(batch.column("phrases")), batch.column("firsts")
-            copies = batch.column("copy").to_pylist()
-            bodies = raw.to_pylist()
+        for shard, part in _streamed(batches):
+            raw = _texts(part.column("body"))
+            known = [shard.classes.get(key, (None, None, False)) for key in _keys(part)]
+            bodies = [x.split() for x in raw.to_pylist()]
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for chunk in text_chunks(raw):
-                ok, _, doc = _located(chunk, recurring)
+                ok, _, doc = _windows(chunk, shard, bodies)
                 for d in range(chunk.hi - chunk.lo):
-                    r = chunk.lo + d
-                    words = bodies[r].split()
+                    words, (_, firsts, copy) = bodies[chunk.lo + d], known[chunk.lo + d]
                     first = int(chunk.first[d])
                     n = len(words)
                     gone = np.zeros(n, dtype=bool)
-                    if n >= WINDOW and copies[r]:
+                    if n >= WINDOW and copy:
                         gone[:] = True
-                    elif n >= WINDOW and recurring[r]:
+                    elif n >= WINDOW:
                         hit = ok[first: first + n - WINDOW + 1].copy()
-                        own = firsts[r].values
-                        if own is not None:
-                            hit[own.to_numpy(zero_copy_only=False)] = False
+                        if firsts:
+                            hit[firsts] = False
                         step = np.zeros(n + 1, dtype=np.int64)
                         at = np.flatnonzero(hit)
                         step[at] += 1
@@ -197,7 +262,7 @@ def _removal(texts: DataFrame, id_col: str, id_type: str, with_text: bool) -> Da
                     digests.append(hashlib.sha256(body).hexdigest())
                     if with_text:
                         kept_texts.append(body.decode("utf-8"))
-            made = [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            made = [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                     pa.array(digests, pa.string())]
             if with_text:
                 made.append(pa.array(kept_texts, pa.string()))
@@ -205,40 +270,63 @@ def _removal(texts: DataFrame, id_col: str, id_type: str, with_text: bool) -> Da
 
     names = [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     schema = f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.select("id", "z", "phrases", "firsts", "copy").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _dealt(dictionary: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of all shards, each shard's together and in order."""
+    columns = ["shard", "kind", "id", "k", "k2", "i", "number", "body", "firsts", "copy"]
+    parts = [dictionary.withColumn("kind", F.lit(_PHRASES)), classes.withColumn("kind", F.lit(_CLASSES)),
+             texts.withColumn("kind", F.lit(_TEXTS))]
+    types = dict(field for part in parts for field in part.dtypes)
+    parts = [part.select(*[F.col(c) if c in part.columns else F.lit(None).cast(types[c]).alias(c) for c in columns])
+             for part in parts]
+    return parts[0].union(parts[1]).union(parts[2]).repartition("shard").sortWithinPartitions("shard", "kind")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     with_text: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_words, n_removed, kept_sha256`` (and ``kept_text``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"),
+                       F.xxhash64(F.lit("other"), text).alias("k2"), text.alias("text"))
     # classes of equal texts, their first documents numbered in order
-    owned = rows.groupBy("id", "k").agg(F.count(F.lit(1)).alias("_n")).select("id", "k")
-    owned = stage(owned, "repeats-documents")
-    first = owned.groupBy("k").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f")) \
-                 .select("k", F.col("f.none").alias("none"), F.col("f.id").alias("low"))
-    first = stage(global_row_number(first, ["none", "low", "k"], "number"), "repeats-classes")
-    # recurring phrases, and the classes they stand in
-    found = phrases(rows.select("k", "text"))
-    recurring = stage(found.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase"), "repeats-phrases")
-    lists = found.select("phrase", "k").join(recurring, "phrase", "left_semi") \
-                 .groupBy("k").agg(F.collect_set("phrase").alias("phrases"))
-    lists = stage(first.join(lists, "k").select("k", "low", "number", "phrases"), "repeats-lists")
+    owned = stage(rows.groupBy("id", "k", "k2").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")),
+                  "repeats-documents")
+    shards = max(1, -(-(owned.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+
+    def placed(df: DataFrame, id_name: str) -> DataFrame:
+        return df.withColumn("i", F.xxhash64(id_name)).withColumn(
+            "shard", F.pmod(F.xxhash64("k", "k2", "i"), F.lit(shards)))
+
+    first = owned.groupBy("k", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f")) \
+                 .select("k", "k2", F.col("f.none").alias("none"), F.col("f.id").alias("low"))
+    first = stage(placed(global_row_number(first, ["none", "low", "k", "k2"], "number"), "low"), "repeats-classes")
+    # recurring phrases, the words of those that may be, and each shard's dictionary of the confirmed ones
+    hashed = phrases(rows.select("k", "text")).groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
+    hashed, hashed_at = stage_at(hashed, "repeats-phrases")
+    bits, size = bloom_filter(hashed, ["phrase"], hashed.count())
+    spelled = phrases(rows.select("k", "text"), spelled=True)
+    maybe = spelled.join(F.broadcast(bits), may_hold(F.col("_bits"), size, [spelled["phrase"]]), "left_semi")
+    local = maybe.join(first.select("k", "shard"), "k").groupBy("shard", "words").agg(F.sum("n").alias("n"))
+    local, local_at = stage_at(local, "repeats-spelled")
+    confirmed = local.groupBy("words").agg(F.sum("n").alias("n")).filter("n > 1").select("words")
+    dictionary = stage(local.join(confirmed, "words", "left_semi").select("shard", F.col("words").alias("body")),
+                       "repeats-dictionary")
+    delete(docs.sparkSession, hashed_at)
+    delete(docs.sparkSession, local_at)
     # first occurrences of the windows that may recur
-    body = rows.select("id", "k", _packed_text(F.col("text")).alias("z"))
-    same = (body["k"] == lists["k"]) & body["id"].eqNullSafe(lists["low"])
-    met = body.join(lists.hint("shuffle_hash"), same).select("number", "z", "phrases")
+    texts = placed(rows.select("id", "k", "k2", _packed_text(F.col("text")).alias("body")), "id")
+    none = F.lit(None).cast("array<int>").alias("firsts")
+    at_first = first.select("shard", "k", "k2", "i", "number", none, F.lit(False).alias("copy"))
     mask = (1 << START_BITS) - 1
-    firsts = windows(met).groupBy("h").agg(F.min("at").alias("at")) \
+    firsts = windows(_dealt(dictionary, at_first, texts)).groupBy("h", "h2").agg(F.min("at").alias("at")) \
         .select(F.shiftright("at", START_BITS).alias("number"), F.col("at").bitwiseAND(F.lit(mask)).cast("int").alias("start")) \
         .groupBy("number").agg(F.collect_list("start").alias("firsts"))
-    known = lists.join(firsts, "number", "left").select("k", F.col("low").alias("own"), "phrases", "firsts", F.lit(False).alias("copy"))
-    copies = owned.join(first, "k").filter(~F.col("id").eqNullSafe(F.col("low"))).select(
-        "k", F.col("id").alias("own"), F.lit(None).cast("array<bigint>").alias("phrases"),
-        F.lit(None).cast("array<int>").alias("firsts"), F.lit(True).alias("copy"))
+    known = first.select("shard", "k", "k2", "i", "number").join(firsts, "number") \
+                 .select("shard", "k", "k2", "i", "number", "firsts", F.lit(False).alias("copy"))
+    copies = placed(owned, "id").join(first.select("k", "k2", "low"), ["k", "k2"]) \
+        .filter(~F.col("id").eqNullSafe(F.col("low"))) \
+        .select("shard", "k", "k2", "i", F.lit(None).cast("int").alias("number"), none, F.lit(True).alias("copy"))
     known = stage(known.union(copies), "repeats-known")
-    same = (body["k"] == known["k"]) & body["id"].eqNullSafe(known["own"])
-    all_rows = body.join(known.hint("shuffle_hash"), same, "left").select(
-        "id", "z", "phrases", "firsts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return _removal(all_rows, id_col, docs.schema[id_col].dataType.simpleString(), with_text)
+    return _removal(_dealt(dictionary, known, texts), id_col, docs.schema[id_col].dataType.simpleString(), with_text)
