@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,27 +55,50 @@ _OTHER = np.uint64(0xA0761D6478BD642F)
 _PHRASES, _CLASSES, _TEXTS = 0, 1, 2      # rows of a shard, in this order
 
 
+def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """Minimum or maximum (``pick``) of every run of ``size`` values."""
+    width = 1
+    while width * 2 <= size:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    rest = size - width
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
 def _kept_phrases(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase hashes, the place of each window's kept one, and which windows lie in one document."""
+    """Phrase hashes, each window's smallest one, and which windows lie in one document."""
     phrases = window_hashes(words, PHRASE)
     n = len(words) - WINDOW + 1
     if n <= 0:
-        return phrases, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    low = np.lib.stride_tricks.sliding_window_view(phrases, _SPAN).argmin(axis=1) + np.arange(n)
-    return phrases, low, doc[:n] == doc[WINDOW - 1:]
+        return phrases, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    return phrases, _sliding(phrases, _SPAN, np.minimum), doc[:n] == doc[WINDOW - 1:]
+
+
+def _kept_places(phrases: np.ndarray, low: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Places of the phrases that some window keeps: equal to the largest minimum around them."""
+    if not len(low):
+        return np.zeros(0, dtype=np.int64)
+    edge = np.zeros(_SPAN - 1, dtype=np.uint64)
+    around = _sliding(np.concatenate([edge, np.where(whole, low, np.uint64(0)), edge]), _SPAN, np.maximum)
+    return np.flatnonzero(around == phrases)
 
 
 def _documents(chunk: Words) -> np.ndarray:
     return np.repeat(np.arange(chunk.hi - chunk.lo), chunk.counts())
 
 
-def _spelled(chunk: Words, places: np.ndarray) -> list[bytes]:
-    """The words of the phrases at ``places``, with one space between two."""
-    raw = chunk.data.tobytes()
-    odd = np.zeros(len(chunk.starts) + 1, dtype=np.int64)     # gaps so far that are not one space
+def _odd_gaps(chunk: Words) -> np.ndarray:
+    """How many of the first n words are followed by anything but one space and a word (len words + 1)."""
+    odd = np.zeros(len(chunk.starts) + 1, dtype=np.int64)
     gap = np.ones(len(chunk.starts), dtype=bool)
     gap[:-1] = (chunk.starts[1:] - chunk.ends[:-1] != 1) | (chunk.data[chunk.ends[:-1]] != 0x20) if len(gap) > 1 else True
     np.cumsum(gap, out=odd[1:])
+    return odd
+
+
+def _spelled(chunk: Words, places: np.ndarray) -> list[bytes]:
+    """The words of the phrases at ``places``, with one space between two."""
+    raw, odd = chunk.data.tobytes(), _odd_gaps(chunk)
     plain = odd[places + PHRASE - 1] == odd[places]
     bounds = zip(chunk.starts[places].tolist(), chunk.ends[places + PHRASE - 1].tolist(), plain.tolist())
     return [raw[a:b] if one else b" ".join(raw[a:b].split()) for a, b, one in bounds]
@@ -89,7 +113,7 @@ def phrases(docs: DataFrame, spelled: bool = False) -> DataFrame:
             for chunk in text_chunks(batch.column(1)):
                 doc = _documents(chunk)
                 values, low, whole = _kept_phrases(chunk.hashes(), doc)
-                at = np.unique(low[whole])
+                at = _kept_places(values, low, whole)
                 if not len(at):
                     continue
                 if spelled:           # a row for each place: equal hashes may be other words
@@ -112,38 +136,46 @@ class _Shard:
     """A shard's dictionary as an automaton, and what is known of its texts."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}       # word -> number; 0 is any word of no phrase
-        self.entries: list[tuple] = []
+        self.entries: dict[tuple, tuple] = {}     # numbers of eight words -> the phrases that have them
         self.classes: dict[tuple, tuple] = {}     # (k, k2, i) -> number, starts of first windows, whether a copy
         self.automaton = None
 
     def add(self, words: pa.Array) -> None:
-        numbers = self.numbers
-        for entry in words.to_pylist():
-            self.entries.append(tuple([numbers.setdefault(w, len(numbers) + 1) for w in entry.split(b" ")]))
+        spelled = words.to_pylist()
+        for chunk in text_chunks(words):
+            numbers = _numbers(chunk.hashes()).reshape(-1, PHRASE).tolist()
+            for key, entry in zip(map(tuple, numbers), spelled[chunk.lo: chunk.hi]):
+                self.entries[key] = self.entries.get(key, ()) + (entry,)
 
     def know(self, rows: pa.RecordBatch) -> None:
         what = [rows.column(c).to_pylist() for c in ("k", "k2", "i", "number", "firsts", "copy")]
         for k, k2, i, number, firsts, copy in zip(*what):
             self.classes[k, k2, i] = (number, firsts, copy)
 
-    def locate(self, words: list[bytes]) -> np.ndarray:
-        """Whether a phrase of the dictionary begins at each of the words."""
+    def locate(self, chunk: Words, hashes: np.ndarray) -> np.ndarray:
+        """Whether a phrase of the dictionary stands at each word: found by word numbers, confirmed by the words."""
         import ahocorasick
 
-        found = np.zeros(len(words), dtype=bool)
+        found = np.zeros(len(hashes), dtype=bool)
         if self.automaton is None and self.entries:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for entry in self.entries:
-                self.automaton.add_word(entry)
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, entries in self.entries.items():
+                self.automaton.add_word(key, entries)
             self.automaton.make_automaton()
-            self.entries = []
-        if self.automaton is not None and words:
-            number = self.numbers.get
-            found[[end - PHRASE + 1 for end, _ in self.automaton.iter(tuple([number(w, 0) for w in words]))]] = True
+            self.entries = {}
+        if self.automaton is not None and len(hashes):
+            hits = list(self.automaton.iter(tuple(_numbers(hashes).tolist())))
+            if hits:
+                places = np.array([end for end, _ in hits]) - PHRASE + 1
+                found[places] = [words in entries for words, (_, entries) in zip(_spelled(chunk, places), hits)]
         return found
 
 
+def _numbers(hashes: np.ndarray) -> np.ndarray:
+    """Words as letters of an automaton: 32 bits of their hashes."""
+    return hashes & np.uint64(0xFFFFFFFF)
+
+
 def _streamed(batches):
     """``(shard, slice of its texts)``: a shard's rows are its phrases, then its classes, then its texts."""
     number, shard = None, None
@@ -169,31 +201,31 @@ def _keys(rows: pa.RecordBatch) -> list[tuple]:
     return list(zip(*[rows.column(c).to_pylist() for c in ("k", "k2", "i")]))
 
 
-def _windows(chunk: Words, shard: _Shard, bodies: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(chunk: Words, shard: _Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a chunk whose kept phrase the automaton locates: whether, word hashes, and document of each word."""
     hashes, doc = chunk.hashes(), _documents(chunk)
-    _, low, whole = _kept_phrases(hashes, doc)
+    values, low, whole = _kept_phrases(hashes, doc)
     if not len(low):
         return whole, hashes, doc
-    words = [w for body in bodies[chunk.lo: chunk.hi] for w in body]
-    return whole & shard.locate(words)[low], hashes, doc
+    found = shard.locate(chunk, hashes)[: len(values)]
+    if not found.any():
+        return found[: len(low)], hashes, doc
+    located = np.where(found, values, np.uint64(0xFFFFFFFFFFFFFFFF))
+    return whole & (_sliding(located, _SPAN, np.minimum) == low), hashes, doc
 
 
 def _texts(column: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd")
-    return pa.array([codec.decompress(x[4:], int.from_bytes(x[:4], "little")).to_pybytes() if x else b""
-                     for x in column.to_pylist()], pa.binary())
+    whole = zstandard.ZstdDecompressor().decompress
+    return pa.array([whole(x) if x else b"" for x in column.to_pylist()], pa.binary())
 
 
 def _packed_text(text: Column) -> Column:
-    """The text's bytes, compressed, behind their number."""
+    """The text's bytes, compressed (none: null)."""
 
     @F.arrow_udf("binary")
     def udf(column: pa.Array) -> pa.Array:
-        codec = pa.Codec("zstd", compression_level=1)
-        raw = [x.as_py() for x in column.cast(pa.binary())]
-        return pa.array([len(x).to_bytes(4, "little") + codec.compress(x).to_pybytes() if x else None for x in raw],
-                        pa.binary())
+        packed = zstandard.ZstdCompressor(level=1).compress
+        return pa.array([packed(x) if x else None for x in column.cast(pa.binary()).to_pylist()], pa.binary())
 
     return udf(text)
 
@@ -211,11 +243,11 @@ def windows(rows: DataFrame) -> DataFrame:
                 continue
             number = np.array([known[j][0] for j in mine], dtype=np.int64)
             raw = _texts(part.column("body").take(pa.array(mine)))
-            bodies = [x.split() for x in raw.to_pylist()]
-            if max(map(len, bodies)) >> START_BITS:
-                raise ValueError(f"a text of {max(map(len, bodies))} words is over {1 << START_BITS}")
             for chunk in text_chunks(raw):
-                ok, words, doc = _windows(chunk, shard, bodies)
+                most = int(chunk.counts().max())
+                if most >> START_BITS:
+                    raise ValueError(f"a text of {most} words is over {1 << START_BITS}")
+                ok, words, doc = _windows(chunk, shard)
                 i = np.flatnonzero(ok)
                 if not len(i):
                     continue
@@ -235,18 +267,19 @@ def _removal(rows: DataFrame, id_col: str, id_type: str, with_text: bool) -> Dat
         for shard, part in _streamed(batches):
             raw = _texts(part.column("body"))
             known = [shard.classes.get(key, (None, None, False)) for key in _keys(part)]
-            bodies = [x.split() for x in raw.to_pylist()]
+            bodies = raw.to_pylist()
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for chunk in text_chunks(raw):
-                ok, _, doc = _windows(chunk, shard, bodies)
+                ok, _, _ = _windows(chunk, shard)
+                so_far = np.concatenate([[0], np.cumsum(ok)])
+                odd = _odd_gaps(chunk)
                 for d in range(chunk.hi - chunk.lo):
-                    words, (_, firsts, copy) = bodies[chunk.lo + d], known[chunk.lo + d]
-                    first = int(chunk.first[d])
-                    n = len(words)
-                    gone = np.zeros(n, dtype=bool)
+                    text, (_, firsts, copy) = bodies[chunk.lo + d], known[chunk.lo + d]
+                    first, n = int(chunk.first[d]), int(chunk.first[d + 1] - chunk.first[d])
+                    gone = None
                     if n >= WINDOW and copy:
-                        gone[:] = True
-                    elif n >= WINDOW:
+                        gone = np.ones(n, dtype=bool)
+                    elif n >= WINDOW and so_far[first + n - WINDOW + 1] > so_far[first]:
                         hit = ok[first: first + n - WINDOW + 1].copy()
                         if firsts:
                             hit[firsts] = False
@@ -255,10 +288,16 @@ def _removal(rows: DataFrame, id_col: str, id_type: str, with_text: bool) -> Dat
                         step[at] += 1
                         step[at + WINDOW] -= 1
                         gone = np.cumsum(step)[:n] > 0
-                    left = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
-                    body = b" ".join(left)
+                    left = n
+                    if gone is not None and gone.any():
+                        words = [w for w, g in zip(text.split(), gone.tolist()) if not g]
+                        left, body = len(words), b" ".join(words)
+                    elif n and odd[first + n - 1] == odd[first] and chunk.ends[first + n - 1] - chunk.starts[first] == len(text):
+                        body = text                 # one space between two words, and nothing else
+                    else:
+                        body = b" ".join(text.split())
                     n_words.append(n)
-                    n_removed.append(n - len(left))
+                    n_removed.append(n - left)
                     digests.append(hashlib.sha256(body).hexdigest())
                     if with_text:
                         kept_texts.append(body.decode("utf-8"))
@@ -308,10 +347,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits, size = bloom_filter(hashed, ["phrase"], hashed.count())
     spelled = phrases(rows.select("k", "text"), spelled=True)
     maybe = spelled.join(F.broadcast(bits), may_hold(F.col("_bits"), size, [spelled["phrase"]]), "left_semi")
-    local = maybe.join(first.select("k", "shard"), "k").groupBy("shard", "words").agg(F.sum("n").alias("n"))
+    local = maybe.join(first.select("k", "shard").hint("shuffle_hash"), "k").groupBy("shard", "words").agg(F.sum("n").alias("n"))
     local, local_at = stage_at(local, "repeats-spelled")
     confirmed = local.groupBy("words").agg(F.sum("n").alias("n")).filter("n > 1").select("words")
-    dictionary = stage(local.join(confirmed, "words", "left_semi").select("shard", F.col("words").alias("body")),
+    dictionary = stage(local.join(confirmed.hint("shuffle_hash"), "words", "left_semi").select("shard", F.col("words").alias("body")),
                        "repeats-dictionary")
     delete(docs.sparkSession, hashed_at)
     delete(docs.sparkSession, local_at)

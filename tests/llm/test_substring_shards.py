@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from pairwright.llm import substring_dedup as sd
 from pairwright.llm.wordnum import text_chunks
@@ -19,8 +20,7 @@ class Task:
 
 
 def pack(text):
-    raw = text.encode()
-    return len(raw).to_bytes(4, "little") + pa.Codec("zstd").compress(raw).to_pybytes()
+    return zstandard.ZstdCompressor().compress(text.encode())
 
 
 def shard_rows(phrases, texts, shard=0):
@@ -47,9 +47,27 @@ def windows(*batches):
 def kept_phrase(text):
     """The kept phrase of the text's first window, and the starts of the windows that keep it."""
     chunk = next(text_chunks(pa.array([text])))
-    _, low, _ = sd._kept_phrases(chunk.hashes(), sd._documents(chunk))
-    words = text.split()
-    return " ".join(words[low[0]: low[0] + sd.PHRASE]), np.flatnonzero(low == low[0]).tolist()
+    values, low, whole = sd._kept_phrases(chunk.hashes(), sd._documents(chunk))
+    words, at = text.split(), values.tolist().index(low[0])
+    assert at in sd._kept_places(values, low, whole)
+    return " ".join(words[at: at + sd.PHRASE]), np.flatnonzero(low == low[0]).tolist()
+
+
+def test_kept_places_are_those_of_the_window_minima():
+    texts = pa.array([TEXT, "few words", "", TEXT.replace("w1", "v"), "x " * 50])
+    chunk = next(text_chunks(texts))
+    values, low, whole = sd._kept_phrases(chunk.hashes(), sd._documents(chunk))
+    want = {p for w in np.flatnonzero(whole) for p in range(w, w + 13) if values[p] == min(values[w: w + 13])}
+    assert set(sd._kept_places(values, low, whole).tolist()) == want
+    assert all(low[w] == min(values[w: w + 13]) for w in range(len(low)))
+
+
+def test_words_decide_where_numbers_are_equal(monkeypatch):
+    """With one number for all words the automaton hits everywhere; the words of a hit are compared."""
+    monkeypatch.setattr(sd, "_numbers", lambda hashes: hashes & np.uint64(0))
+    phrase, starts = kept_phrase(TEXT)
+    assert windows(shard_rows([phrase, "a b c d e f g h"], [TEXT])) == [(0, s) for s in starts]
+    assert windows(shard_rows(["a b c d e f g h"], [TEXT])) == []
 
 
 def test_located_by_the_dictionary_alone():
