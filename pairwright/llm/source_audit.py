@@ -139,8 +139,9 @@ class _Sums:
             self.keys, self.counts, self.size = [keys], [counts], len(keys)
 
     def batches(self, last: bool):
-        if self.size > HELD or last:
-            self.merge()
+        if self.size <= HELD and not last:
+            return                     # not merged yet
+        self.merge()
         if self.keys and (last or self.size > HELD // 2):
             key = self.keys[0]
             langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))

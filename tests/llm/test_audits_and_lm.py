@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,22 @@ def test_source_audit_against_loops(spark, far, monkeypatch):
     assert source_audit.divergence(docs.limit(0), **kind).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 12, 40, 1000])
+def test_source_audit_sums_of_many_chunks(held, monkeypatch):
+    monkeypatch.setattr(source_audit, "HELD", held)        # passed, by half and whole, between two chunks
+    monkeypatch.setattr(source_audit, "CHUNK", 60)
+    rng = random.Random(9)
+    terms = sorted(f"t{chr(97 + i)}".encode() for i in range(20))
+    texts = [" ".join(rng.choice(terms).decode() for _ in range(10)) for _ in range(80)]
+    sources = [rng.choice(["s1", "s2"]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 80), pa.array(sources), pa.array(texts)], ["lang", "source", "text"])
+    got = Counter()
+    for out in source_audit._recount_task({"en": Transducer.build(terms).to_bytes()})([batch, batch]):
+        for _, source, ordinal, n in zip(*(c.to_pylist() for c in out.columns)):
+            got[source, terms[ordinal].decode()] += n
+    assert got == Counter({k: 2 * n for k, n in Counter((s, t) for s, x in zip(sources, texts) for t in x.split()).items()})
+
+
 def test_source_audit_hard_cases(spark):
     docs = frame(spark, TEXTS)
     got = source_audit.divergence(docs, min_docs=2).collect()
