@@ -5,24 +5,29 @@ repetition penalty, temperature, top-k and top-p.  Here the model is the
 table ``(ctx_len, ctx, next, count, ctx_total, prob)`` of next-move counts
 given the last 0..n tokens, and every decoding step is a relational step:
 
-* a context and its next token are one string, the k-gram, built inside each
-  sequence and exploded once, so an exploded row is one short string;
-* counts use partial (map-side) aggregation by k-gram; the empty context, which
-  every token would share, is never exploded: its counts are the 1-gram counts;
-* a context's total is a window sum over its counted rows (at most the
-  vocabulary), so nothing is written or joined back; the empty context's total
-  is one number;
-* per-context top-k uses ``row_number() <= k``, which Spark plans with a
+* k-grams are counted as numbers in chunks of ``CHUNK_TOKENS`` tokens, so a task
+  holds one chunk and sends each context and next token of it once;
+* rows are shuffled once: a token and the tokens behind it are one row that holds all
+  contexts beginning there, dealt by that token (by two where the first is frequent), so
+  sums, totals and ranks of a context need no other shuffle.  The empty context, which
+  every token would share, is apart: its rows are dealt by token and its total is one number;
+* the empty context's top k uses ``row_number() <= k``, which Spark plans with a
   partial ``WindowGroupLimit`` before the shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from .ordering import group_row_number
+from .bloom import bloom_filter, may_hold
+from .ordering import group_row_number, staged
 
 # Decoding settings of the reference's student (fixed values):
 # 8 continuations per prompt, top_k 40, top_p 0.9, temperature 0.8,
@@ -32,65 +37,185 @@ TOP_K = 40
 TOP_P = 0.9
 TEMPERATURE = 0.8
 REPETITION_PENALTY = 1.1
-TOTAL_GROUPS = 1024   # groups over which the empty context's rows are spread
-
+CHUNK_TOKENS = 1 << 19     # tokens whose k-grams are counted at once
+TASK_ROWS = 1_500_000      # k-grams, repeats included, for which a task of the counts is meant
+HOT_SHARE = 1000           # a token is hot above this fraction of all; so there are fewer
 
-# Rows of needed contexts that may be broadcast to filter k-grams before they are counted.
+# Contexts that may be broadcast to filter k-grams before they are counted.
 BROADCAST_CONTEXTS = 1_000_000
 
 
-def _grams(arr: Column, size: int) -> Column:
-    """Every run of ``size`` tokens, joined by spaces."""
-    n = F.size(arr)
-    out = arr
-    for c in range(2, size + 1):
-        k = F.greatest(n - F.lit(c - 1), F.lit(0))
-        out = F.zip_with(F.slice(out, 1, k), F.slice(arr, c, k), lambda a, b: F.concat(a, F.lit(" "), b))
+def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The strings ``data[starts: starts + sizes]``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]) \
+        .cast(pa.string())
+
+
+def _chunks(batches, chunk: int, reach: int):
+    """Of sequences: (data, starts, sizes, code, words, row, own) of every ``chunk`` tokens and ``reach`` more.
+
+    Token ``i`` is ``data[starts[i]: starts[i] + sizes[i]]`` with a space behind it; ``code`` numbers
+    it in the dictionary ``words``, ``row`` is its sequence, and the first ``own`` tokens are the chunk's."""
+    for batch in batches:
+        column = batch.column(0)
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = pc.list_flatten(column)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        for at in range(0, len(tokens), chunk):
+            own = min(chunk, len(tokens) - at)
+            wide = tokens.slice(at, own + reach).cast(pa.large_string())
+            offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset: wide.offset + len(wide) + 1]
+            sizes, n, raw = np.diff(offsets), np.arange(len(wide)), wide.buffers()[2]
+            raw = np.frombuffer(raw, np.uint8)[offsets[0]: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+            data = np.full(len(raw) + len(wide), 32, dtype=np.uint8)
+            data[np.arange(len(raw)) + np.repeat(n, sizes)] = raw
+            words = wide.dictionary_encode()
+            yield (data, offsets[:-1] - offsets[0] + n, sizes, words.indices.to_numpy().astype(np.int64), words.dictionary,
+                   row[at: at + len(wide)], own)
+
+
+def _gram_task(lo: int, hi: int, chunk: int = CHUNK_TOKENS):
+    """Arrow task: sequences to ctx, next, n -- every context of ``lo`` to ``hi`` tokens and its next token, once a chunk."""
+    def run(batches):
+        for data, starts, sizes, code, words, row, own in _chunks(batches, chunk, hi):
+            begin, gram = np.arange(own), code[:own]         # where the k-grams begin, and a number of each
+            for k in range(hi + 1):
+                if k:
+                    inside = begin + k < len(row)
+                    inside[inside] = row[begin[inside]] == row[begin[inside] + k]
+                    begin = begin[inside]
+                    gram = gram[inside] * np.int64(len(words)) + code[begin + k]
+                _, first, gram, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+                if k >= lo and len(first):
+                    i = begin[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [_pieces(data, starts[i], np.maximum(starts[i + k] - 1 - starts[i], 0)),
+                         _pieces(data, starts[i + k], sizes[i + k]), pa.array(count, pa.int64())], ["ctx", "next", "n"])
+    return run
+
+
+def _window_task(lo: int, hi: int, hot: list[str], chunk: int = CHUNK_TOKENS):
+    """Arrow task: sequences to head, rest, n -- every token with the ``hi`` tokens after it, once a chunk.
+
+    The head is its first ``lo`` tokens, so all contexts that begin with them are in it.  Behind a
+    ``hot`` token the head is one token longer, and the shortest context is a row of its own."""
+    def run(batches):
+        for data, starts, sizes, code, words, row, own in _chunks(batches, chunk, hi):
+            def rows(i, h, length, count):
+                last = i + length - 1
+                return pa.RecordBatch.from_arrays(
+                    [_pieces(data, starts[i], starts[i + h] - 1 - starts[i]),
+                     _pieces(data, starts[i + h], starts[last] + sizes[last] - starts[i + h]), pa.array(count, pa.int64())],
+                    ["head", "rest", "n"])
+
+            is_hot = pc.is_in(words, pa.array(hot, words.type)).to_numpy(zero_copy_only=False)[code]
+            i = np.arange(own)
+            gram, length, on = code[:own], np.ones(own, dtype=np.int64), np.ones(own, dtype=bool)
+            for k in range(1, hi + 1):
+                on = on & (i + k < len(row))
+                on[on] = row[i[on]] == row[i[on] + k]
+                after = np.zeros(own, dtype=np.int64)              # 0: the sequence has ended
+                after[on] = code[i[on] + k] + 1
+                length += on
+                _, first, gram, count = np.unique(gram * np.int64(len(words) + 1) + after, return_index=True,
+                                                  return_inverse=True, return_counts=True)
+                if k == lo:
+                    short = is_hot[first] & (length[first] > lo)
+                    if short.any():
+                        yield rows(first[short], lo, lo + 1, count[short])
+            h = lo + is_hot[first]
+            some = length[first] > h
+            if some.any():
+                yield rows(first[some], h[some], length[first[some]], count[some])
+    return run
+
+
+def _grams(df: DataFrame, moves: str, lo: int, hi: int) -> DataFrame:
+    return df.select(moves).mapInArrow(_gram_task(lo, hi), "ctx string, next string, n long")
+
+
+def _single(df: DataFrame, moves: str) -> DataFrame:
+    """ctx_len, ctx, next, count of the empty context."""
+    counts = _grams(df, moves, 0, 0).groupBy("next").agg(F.sum("n").alias("count"))
+    return counts.select(F.lit(0).alias("ctx_len"), F.lit("").alias("ctx"), "next", "count")
+
+
+def _of_contexts(df: DataFrame, moves: str, lo: int, hi: int, contexts: DataFrame | None) -> DataFrame:
+    """ctx, next, count, the rows of a context in one partition.
+
+    Few ``contexts`` are broadcast; of more, a Bloom filter holds back most other
+    k-grams before the shuffle, and the rest meet the contexts once they are counted."""
+    rows, many = _grams(df, moves, lo, hi), None
+    if contexts is not None:
+        wanted = contexts.filter(F.col("ctx_len") > 0).select("ctx").distinct()
+        n = wanted.count()
+        if n <= BROADCAST_CONTEXTS:
+            rows = rows.join(F.broadcast(wanted), "ctx", "left_semi")
+        else:
+            bits, words = bloom_filter(wanted, ["ctx"], n)
+            rows = rows.join(F.broadcast(bits), may_hold(F.col("_bits"), words, [rows["ctx"]]), "left_semi")
+            many = wanted
+    counts = rows.repartition("ctx").groupBy("ctx", "next").agg(F.sum("n").alias("count"))
+    return counts if many is None else counts.join(many, "ctx", "left_semi")
+
+
+def _of_windows(df: DataFrame, moves: str, lo: int, hi: int, single: DataFrame) -> DataFrame:
+    """head, ctx, next, count: windows shuffled once, by head, and cut into contexts where they arrive."""
+    total = single.agg(F.sum("count")).first()[0] or 0
+    hot = [r["next"] for r in single.filter(F.col("count") > total / HOT_SHARE).select("next").collect()] if lo == 1 else []
+    rows = df.select(moves).mapInArrow(_window_task(lo, hi, hot), "head string, rest string, n long")
+    # a row becomes several where it arrives: tasks follow these, not the bytes shuffled
+    dealt = rows.repartition(max(1, -(-total * (hi - lo + 1) // TASK_ROWS)), "head")
+    size = F.length("rest") - F.length(F.replace(F.col("rest"), F.lit(" "), F.lit(""))) + 1
+    cuts = []
+    for j in range(1, hi - lo + 2):
+        ctx = F.col("head") if j == 1 else F.concat("head", F.lit(" "), F.substring_index("rest", " ", j - 1))
+        nxt = F.substring_index(F.substring_index("rest", " ", j), " ", -1)
+        cuts.append(F.struct(ctx.alias("ctx"), F.when(size >= j, nxt).alias("next")))
+    return dealt.select("head", "n", F.inline(F.array(*cuts))).filter(F.col("next").isNotNull()) \
+                .groupBy("head", "ctx", "next").agg(F.sum("n").alias("count"))
+
+
+def _counts(df: DataFrame, moves: str, max_ctx: int, min_ctx: int,
+            contexts: DataFrame | None) -> list[tuple[DataFrame, list[str]]]:
+    """Counts of the empty context and of longer ones, whichever is asked for, and the columns that name a
+    context there; its rows are together unless it is empty."""
+    lo, out = max(min_ctx, 1), []
+    windows = contexts is None and max_ctx > lo
+    single = _single(df, moves) if windows or min_ctx == 0 else None
+    if windows:
+        single = staged(single, "tokens")                    # the vocabulary, read several times
+    if min_ctx == 0:
+        asked = single
+        if contexts is not None:
+            wanted = contexts.filter(F.col("ctx_len") == 0).select("ctx").distinct()       # one row at most
+            asked = single.join(F.broadcast(wanted), "ctx", "left_semi")
+        out.append((asked.select("ctx_len", "ctx", "next", "count"), ["ctx"]))
+    if max_ctx > 0:
+        longer = _of_windows(df, moves, lo, max_ctx, single) if windows else _of_contexts(df, moves, lo, max_ctx, contexts)
+        # a context's text says its length (tokens hold no space)
+        spaces = F.length("ctx") - F.length(F.replace(F.col("ctx"), F.lit(" "), F.lit("")))
+        out.append((longer.withColumn("ctx_len", (spaces + 1).cast("int")), ["head", "ctx"] if windows else ["ctx"]))
     return out
 
 
-def _split_gram(counts: DataFrame) -> DataFrame:
-    """``gram, count`` to ``ctx_len, ctx, next, count`` (tokens hold no space)."""
-    nxt = F.substring_index("gram", " ", -1)
-    ctx = F.substring(F.col("gram"), F.lit(1), F.greatest(F.length("gram") - F.length(nxt) - 1, F.lit(0)))
-    spaces = F.length("gram") - F.length(F.replace(F.col("gram"), F.lit(" "), F.lit("")))
-    return counts.select(spaces.cast("int").alias("ctx_len"), ctx.alias("ctx"), nxt.alias("next"), "count")
+COUNTS = ["ctx_len", "ctx", "next", "count"]
 
 
 def ngram_counts(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
                  min_ctx: int = 0, contexts: DataFrame | None = None) -> DataFrame:
-    """(ctx_len, ctx, next, count), combined map-side before the shuffle.
+    """(ctx_len, ctx, next, count), combined before the shuffle.
 
-    ``contexts`` (ctx_len, ctx) keeps the rows of those contexts alone.  Few
-    contexts are broadcast and filter k-grams as they are exploded; more than
-    ``BROADCAST_CONTEXTS`` meet the counted k-grams instead, so raw rows are never
-    shuffled for the filter.
-    """
-    sizes = range(min_ctx + 1, max_ctx + 2)
-    parts = F.concat(*[_grams(F.col(moves), k) for k in sizes])
-    rows = df.select(F.explode(parts).alias("gram"))
-    if contexts is None:
-        return _split_gram(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count")))
-    wanted = contexts.select("ctx_len", "ctx").distinct()
-    if wanted.count() > BROADCAST_CONTEXTS:
-        return _split_gram(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))) \
-            .join(wanted, ["ctx_len", "ctx"], "left_semi")
-    # pairs of context and token meet the few contexts as they are exploded; a context's
-    # text says its length, so the text alone is the key
-    arr, pair = F.col(moves), "array<struct<ctx:string,next:string>>"
-    parts = [F.array().cast(pair)]
-    for c in range(max(min_ctx, 1), max_ctx + 1):
-        m = F.greatest(F.size(arr) - F.lit(c), F.lit(0))
-        parts.append(F.arrays_zip(F.slice(_grams(arr, c), 1, m), F.slice(arr, c + 1, m)).cast(pair))
-    met = df.select(F.inline(F.concat(*parts))).join(F.broadcast(wanted.select("ctx")), "ctx", "left_semi") \
-            .groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("count"))
-    spaces = F.length("ctx") - F.length(F.replace(F.col("ctx"), F.lit(" "), F.lit("")))
-    out = met.select((spaces + 1).cast("int").alias("ctx_len"), "ctx", "next", "count")
-    if min_ctx == 0:
-        single = df.select(F.explode(arr).alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("count"))
-        out = out.union(single.select(F.lit(0).alias("ctx_len"), F.lit("").alias("ctx"), "next", "count")
-                        .join(F.broadcast(wanted), ["ctx_len", "ctx"], "left_semi"))
-    return out
+    ``contexts`` (ctx_len, ctx) keeps the rows of those contexts alone."""
+    return reduce(DataFrame.union, [c.select(*COUNTS) for c, _ in _counts(df, moves, max_ctx, min_ctx, contexts)])
+
+
+def top_continuations(df: DataFrame, k: int, moves: str = "moves", max_ctx: int = 3, min_ctx: int = 0) -> DataFrame:
+    """L8 on counts: the ``k`` most frequent next tokens of every context, with ``rank``."""
+    return reduce(DataFrame.union, [top_k(c, k, keys=keys).select(*COUNTS, "rank")
+                                    for c, keys in _counts(df, moves, max_ctx, min_ctx, None)])
 
 
 def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
@@ -100,20 +225,19 @@ def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
     ``contexts`` (ctx_len, ctx) restricts the table to the contexts a set of
     prompts can back off to; their counts and shares stay exact.
     """
-    counts = ngram_counts(df, moves, max_ctx, min_ctx, contexts)
+    parts = _counts(df, moves, max_ctx, min_ctx, contexts)
     if min_count > 1:
-        counts = counts.filter(F.col("count") >= min_count)
-    # the empty context holds the vocabulary: its rows are spread by token and its
-    # total, the sum over those groups, is one number
-    spread = F.when(F.col("ctx_len") == 0, F.pmod(F.xxhash64("next"), F.lit(TOTAL_GROUPS))).otherwise(F.lit(-1))
-    own = Window.partitionBy("ctx_len", "ctx", "_g")
-    out = counts.withColumn("_g", spread).withColumn("ctx_total", F.sum("count").over(own)).drop("_g")
+        parts = [(c.filter(F.col("count") >= min_count), keys) for c, keys in parts]
+    out = []
     if min_ctx == 0:
-        zero = df.agg(F.sum(F.size(moves)).alias("_all")) if min_count == 1 else \
-            counts.filter("ctx_len = 0").agg(F.sum("count").alias("_all"))
-        out = out.crossJoin(F.broadcast(zero)).withColumn(   # one row
-            "ctx_total", F.when(F.col("ctx_len") == 0, F.col("_all")).otherwise(F.col("ctx_total"))).drop("_all")
-    return out.withColumn("prob", F.col("count") / F.col("ctx_total"))
+        # the empty context holds the vocabulary; its total is one number
+        single, _ = parts.pop(0)
+        zero = df.agg(F.sum(F.size(moves)).alias("ctx_total")) if min_count == 1 else \
+            single.agg(F.sum("count").alias("ctx_total"))
+        out.append(single.crossJoin(F.broadcast(zero)))
+    out += [c.withColumn("ctx_total", F.sum("count").over(Window.partitionBy(*keys))).select(*COUNTS, "ctx_total")
+            for c, keys in parts]
+    return reduce(DataFrame.union, out).withColumn("prob", F.col("count") / F.col("ctx_total"))
 
 
 def top_k(model: DataFrame, k: int = TOP_K, keys=("ctx_len", "ctx"),

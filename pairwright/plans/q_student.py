@@ -147,8 +147,7 @@ SELECT CAST(ctx_len AS BIGINT) AS ctx_len, ctx, nxt AS next, CAST(cnt AS BIGINT)
 WHERE r <= {N.TOP_K}""")
 def ngram_topk(spark, sf_dir):
     """The 40 most frequent continuations of every context."""
-    counts = N.ngram_counts(B.doc_sequences(spark, sf_dir), max_ctx=MAX_CTX)
-    t = N.top_k(counts, N.TOP_K)
+    t = N.top_continuations(B.doc_sequences(spark, sf_dir), N.TOP_K, max_ctx=MAX_CTX)
     return t.select(F.col("ctx_len").cast("bigint").alias("ctx_len"), "ctx", "next",
                     F.col("count").cast("bigint").alias("count"), F.col("rank").cast("bigint").alias("rank"))
 

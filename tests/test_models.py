@@ -1,7 +1,10 @@
 """Reward model (M3, M4), KL policy (M5), corpus expert (M6), plug-ins (U2, U3), n-gram student (M1, M2)."""
 
 import hashlib
+import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,56 @@ def test_ngram_probabilities_and_proposals(spark):
     s = N.propose(prompts, m, n=8, max_ctx=2)
     assert s.count() == 16
     assert {r.next for r in s.filter("position_id = 1").collect()} <= {"b", "c"}
+
+
+def test_ngram_counts_against_loops(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [None, [], ["é"], ["a"] * 9] + [[rng.choice("a a a a b c dd é 日本 x".split()) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    seqs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k long, moves array<string>").repartition(3)
+    want = Counter()
+    for r in rows:
+        want.update((c, " ".join(r[i - c:i]), r[i]) for i in range(len(r or [])) for c in range(min(i, 3) + 1))
+    totals = Counter()
+    for (c, ctx, _), n in want.items():
+        totals[c, ctx] += n
+    contexts = spark.createDataFrame([(0, ""), (1, "a"), (2, "a é"), (3, "b a a"), (3, "no such one")], "ctx_len int, ctx string")
+    asked = {(r.ctx_len, r.ctx) for r in contexts.collect()}
+    for share in (2, 1000):                                   # one hot token, all of them
+        monkeypatch.setattr(N, "HOT_SHARE", share)
+        m = N.fit_ngrams(seqs, max_ctx=3).collect()
+        assert {(r.ctx_len, r.ctx, r.next): r["count"] for r in m} == want and len(m) == len(want)
+        assert all(r.ctx_total == totals[r.ctx_len, r.ctx] for r in m)
+        for lo, hi in ((0, 1), (1, 2), (2, 3), (1, 1), (0, 0)):
+            got = N.ngram_counts(seqs, max_ctx=hi, min_ctx=lo).collect()
+            assert {tuple(r[:3]): r["count"] for r in got} == {k: n for k, n in want.items() if lo <= k[0] <= hi}
+    for few in (100, 1):                                      # broadcast, and by a Bloom filter
+        monkeypatch.setattr(N, "BROADCAST_CONTEXTS", few)
+        got = N.fit_ngrams(seqs, max_ctx=3, contexts=contexts).collect()
+        assert {tuple(r[:3]): r["count"] for r in got} == {k: n for k, n in want.items() if k[:2] in asked}
+        assert all(r.ctx_total == totals[r.ctx_len, r.ctx] for r in got)
+    top = N.top_continuations(seqs, 2).collect()
+    best = {c: sorted((k for k in want if k[:2] == c), key=lambda k: (-want[k], k[2]))[:2] for c in totals}
+    assert {(*r[:3], r["count"], r["rank"]) for r in top} == {(*k, want[k], i) for ks in best.values() for i, k in enumerate(ks, 1)}
+
+
+def test_ngram_rows_are_shuffled_once(spark):
+    seqs = spark.createDataFrame([(["a", "b", "a", "c"],)], "moves array<string>")
+    for df in (N.fit_ngrams(seqs), N.top_continuations(seqs, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(head") == 1 and "Exchange hashpartitioning(ctx_len" not in plan
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_ngram_chunks(chunk):
+    rows = [["a", "b", "a"], None, [], ["b"], ["a", "b", "a", "b", "é"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["moves"])
+    got, windows = Counter(), Counter()
+    for out in N._gram_task(1, 2, chunk)([batch, batch]):
+        for ctx, nxt, n in zip(*(c.to_pylist() for c in out.columns)):
+            got[ctx, nxt] += n
+    for out in N._window_task(1, 2, ["b"], chunk)([batch, batch]):
+        for head, rest, n in zip(*(c.to_pylist() for c in out.columns)):
+            for j in range(len(rest.split())):
+                windows[" ".join([head, *rest.split()[:j]]), rest.split()[j]] += n
+    want = Counter((" ".join(r[i - c:i]), r[i]) for r in rows if r for i in range(len(r)) for c in (1, 2) if c <= i)
+    assert got == windows == Counter({k: 2 * n for k, n in want.items()})
