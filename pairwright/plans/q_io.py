@@ -25,7 +25,8 @@ from .q_prep import _CONV_SQL, _conversation_pairs
 from .registry import SEQS, H, register
 
 W = f"WITH {SQL_GAMES.strip()}"
-STREAM_FILES = 4
+STREAM_FILES = 4          # of an archive, at least
+FILE_GAMES = 2_000_000    # of an archive's file, about: a task writes it
 SNAPSHOT = 64             # rows of a streamed snapshot
 LEAST, MOST = 20, 40       # plies of the user's own rules
 
@@ -40,6 +41,11 @@ def _records(spark, sf_dir) -> DataFrame:
     return render_games(orders)
 
 
+def _files(spark, sf_dir) -> int:
+    """Files that all games fill."""
+    return -(-B.table(spark, sf_dir, "orders").count() // FILE_GAMES)
+
+
 def _archive(spark, sf_dir) -> str:
     """The rendered games as an archive of several files, plain ones and Zstandard ones of several
     frames; the records begin with one of three tags."""
@@ -48,7 +54,7 @@ def _archive(spark, sf_dir) -> str:
     swapped = F.when(k % 3 == 1, F.regexp_replace("pgn", f"^{line}{line}", "$2\n$1\n")) \
                .when(k % 3 == 2, F.regexp_replace("pgn", f"^{line}{line}{line}", "$3\n$1\n$2\n")).otherwise(F.col("pgn"))
     recs = _records(spark, sf_dir).select("game_id", swapped.alias("pgn"))
-    half = STREAM_FILES // 2
+    half = -(-max(STREAM_FILES, _files(spark, sf_dir)) // 2)
     recs.filter(k % 2 == 0).repartition(half).select("pgn").write.text(path)
     write_archive(recs.filter(k % 2 == 1).repartition(half), path, frame_records=500)
     return path
@@ -115,7 +121,7 @@ def stream_distinct(spark, sf_dir):
     src, out, ck = _archive(spark, sf_dir), _folder(spark, "distinct"), _folder(spark, "progress")
     games = T.sft_frame(stream_game_records(spark, src, max_files=1))
     T.stream_distinct(games, out, ck, key="text").awaitTermination()
-    _records(spark, sf_dir).repartition(1).select("pgn").write.mode("append").text(src)     # all games once more
+    _records(spark, sf_dir).repartition(max(1, _files(spark, sf_dir))).select("pgn").write.mode("append").text(src)     # all games once more
     T.stream_distinct(games, out, ck, key="text").awaitTermination()
     return spark.read.parquet(out).select("text")
 

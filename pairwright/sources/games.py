@@ -20,6 +20,7 @@ from ..operators.ordering import materialize
 from .archive import SEGMENT_BYTES, index_task, read_task, write_task
 
 INPUT_ORDER = ["file", "block_start", "seq"]
+STREAM_SEGMENT_BYTES = 4 << 20     # of a file of a micro-batch, which has few
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -89,14 +90,17 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(read_game_records(spark, path))
 
 
-def stream_game_records(spark: SparkSession, path: str, max_files: int = 1, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def stream_game_records(spark: SparkSession, path: str, max_files: int = 1, segment_bytes: int = STREAM_SEGMENT_BYTES) -> DataFrame:
     """The archive folder as an incremental feed, same records and ids as in batch.
 
     ``maxFilesPerTrigger`` bounds each micro-batch, the back-pressure the
-    reference got from its bounded queue; a file's segments are dealt out.
+    reference got from its bounded queue; a file's segments are dealt out, to a
+    given number of tasks: the segments' places are a few bytes, so tasks merged by
+    size would read and parse a whole file in one.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).load(path)
-    return _records(_segments(files, segment_bytes).repartition("path", "begin"), path)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _records(_segments(files, segment_bytes).repartition(tasks, "path", "begin"), path)
 
 
 # The reference's ten named probe positions.

@@ -112,3 +112,15 @@ def test_a_torn_frame_raises(tmp_path):
     (tmp_path / "x.zst").write_bytes(data[:-5])
     with pytest.raises(ValueError):
         archive.segments(str(tmp_path / "x.zst"))
+
+
+def test_a_streamed_file_is_parsed_by_several_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pgn").write_text("\n".join(f'[Event "g{i}"]\n\n1. e4 e5 {i}\n' for i in range(60)))
+    met = []
+    recs = stream_game_records(spark, str(tmp_path / "in"), segment_bytes=100)
+    query = recs.writeStream.foreachBatch(lambda b, _: met.extend(
+        b.select(F.spark_partition_id().alias("p"), "pgn").collect())).option("checkpointLocation", str(tmp_path / "ck")) \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len({r.pgn for r in met}) == len(met) == 60 and len({r.p for r in met}) > 2
