@@ -117,7 +117,8 @@ def test_ngram_counts_against_loops(spark, monkeypatch):
     assert {(*r[:3], r["count"], r["rank"]) for r in top} == {(*k, want[k], i) for ks in best.values() for i, k in enumerate(ks, 1)}
 
 
-def test_ngram_rows_are_shuffled_once(spark):
+def test_ngram_rows_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "TASK_ROWS", 1)                    # several tasks
     seqs = spark.createDataFrame([(["a", "b", "a", "c"],)], "moves array<string>")
     for df in (N.fit_ngrams(seqs), N.top_continuations(seqs, 2)):
         plan = df._jdf.queryExecution().executedPlan().toString()
