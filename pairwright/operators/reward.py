@@ -4,7 +4,8 @@ M3 is a Bradley-Terry model on hashed move counts: x = tf(chosen) - tf(rejected)
 P(chosen preferred) = sigmoid(w . x).  It is fitted by full-batch gradient
 descent written as DataFrame steps:
 
-* a pair is one row that holds its sparse vector, staged once;
+* a pair is one row that holds its sparse vector, staged once; a text is counted
+  inside its row, so memory follows the longest text and not the tokens of a task;
 * the weights (at most ``2^bits`` numbers, a size fixed by a parameter that is
   limited to 18 bits) travel to the rows as one broadcast array;
 * a step is one pass without a join on pairs: margin and gradient factor come
@@ -15,9 +16,10 @@ descent written as DataFrame steps:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.barrier import computed_once
 from ..functions.hashing import hash32
 from ..functions.text import tokens
 from .ordering import materialize
@@ -31,20 +33,35 @@ TOLERANCE = 2e-3     # largest change of a weight in the last step
 HASH_SEED = 5
 
 
-def hashed_counts(df: DataFrame, key: list[str] | str, text: str, sign: float, bits: int = HASH_BITS) -> DataFrame:
-    """(key, bucket, value) = signed count of tokens hashed into 2^bits buckets."""
-    key = [key] if isinstance(key, str) else list(key)
-    b = F.pmod(hash32(HASH_SEED, "tok"), F.lit(1 << bits)).cast("int")
-    return (df.select(*key, F.explode(tokens(text)).alias("tok"))
-            .groupBy(*key, b.alias("bucket")).agg((F.count(F.lit(1)) * F.lit(sign)).alias("value")))
+def token_buckets(text, bits: int = HASH_BITS) -> Column:
+    """Sorted buckets (of 2^bits) of a text's tokens, repeats included."""
+    return F.sort_array(F.transform(tokens(text), lambda t: F.pmod(hash32(HASH_SEED, t), F.lit(1 << bits)).cast("int")))
 
 
 def pair_features(pairs: DataFrame, key: str = "pair_id", bits: int = HASH_BITS) -> DataFrame:
-    """``key, x``: the sparse vector tf(chosen) - tf(rejected) of each pair, zeros dropped."""
-    x = hashed_counts(pairs, key, "chosen", 1.0, bits).unionByName(
-        hashed_counts(pairs, key, "rejected", -1.0, bits))
-    x = x.groupBy(key, "bucket").agg(F.sum("value").alias("value")).filter(F.col("value") != 0)
-    return x.groupBy(key).agg(F.collect_list(F.struct("bucket", "value")).alias("x"))
+    """``key, x``: the sparse vector tf(chosen) - tf(rejected) of each pair, zeros dropped.
+
+    A token is a code: twice its bucket, one more if rejected.  Rows of one key are one
+    pair; only their codes are shuffled.  Equal codes are neighbours once sorted, so
+    counts are distances between the ends of runs.
+    """
+    codes = F.concat(F.coalesce(F.transform(token_buckets("chosen", bits), lambda b: b * 2), F.array().cast("array<int>")),
+                     F.coalesce(F.transform(token_buckets("rejected", bits), lambda b: b * 2 + 1), F.array().cast("array<int>")))
+    z = pairs.select(key, codes.alias("z")).groupBy(key).agg(F.collect_list("z").alias("z")) \
+        .select(key, F.sort_array(F.flatten("z")).alias("z")).filter(F.size("z") > 0)
+    at = F.sequence(F.lit(0), F.size("z") - 1)
+    ends = computed_once(z, [key, "z"], ends=F.filter(at, lambda i: ~F.get("z", i).eqNullSafe(F.get("z", i + 1))))
+    runs = computed_once(ends, [key], runs=F.transform("ends", lambda e, j: F.struct(
+        F.get("z", e).alias("code"), (e - F.coalesce(F.get("ends", j - 1), F.lit(-1))).alias("n"))))
+    bucket = lambda r: F.floor(r["code"] / 2).cast("int")
+    # a run of rejected tokens right behind one of the same bucket is taken off there
+    value = lambda r, j: F.when(r["code"] % 2 == 1, -r["n"]).when(
+        F.get("runs", j + 1)["code"] == r["code"] + 1, r["n"] - F.get("runs", j + 1)["n"]).otherwise(r["n"])
+    x = F.transform("runs", lambda r, j: F.struct(
+        bucket(r).alias("bucket"),
+        F.when((r["code"] % 2 == 1) & (j > 0) & (F.get("runs", j - 1)["code"] == r["code"] - 1), 0)
+         .otherwise(value(r, j)).cast("double").alias("value")))
+    return computed_once(runs, [key], x=F.filter(x, lambda e: e["value"] != 0)).filter(F.size("x") > 0)
 
 
 def fit_reward(pairs: DataFrame, key: str = "pair_id", bits: int = HASH_BITS, steps: int = STEPS,
@@ -80,8 +97,12 @@ def score_texts(df: DataFrame, weights: DataFrame, key: list[str] | str, text: s
     if bits > MAX_BITS:
         raise ValueError(f"{bits} hash bits: the weights are broadcast, so at most {MAX_BITS}")
     key = [key] if isinstance(key, str) else list(key)
-    tf = hashed_counts(df, key, text, 1.0, bits)
-    s = tf.join(F.broadcast(weights), "bucket").groupBy(*key).agg(F.sum(F.col("value") * F.col("w")).alias(name))
+    known = weights.groupBy("bucket").agg(F.sum("w").alias("w"))
+    dense = df.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("bucket")).join(known, "bucket", "left") \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("w", F.lit(0.0)).alias("w")))), lambda e: e["w"]).alias("_w"))
+    score = F.aggregate(token_buckets(text, bits), F.lit(0.0), lambda a, b: a + F.get("_w", b))
+    # rows of one key share the sum of their scores; a number a row is shuffled, no tokens
+    s = df.select(*key, text).crossJoin(F.broadcast(dense)).select(*key, score.alias(name)).groupBy(*key).agg(F.sum(name).alias(name))
     return df.join(s, key, "left").fillna(0.0, [name])
 
 

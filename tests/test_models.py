@@ -13,7 +13,7 @@ from pairwright.operators.plugins import (lexical_variety_scorer, propose_with,
                                           score_with)
 from pairwright.operators.replay import expert_from_corpus
 from pairwright.operators.report import pair_metrics
-from pairwright.operators.reward import fit_reward, kl_policy, score_texts
+from pairwright.operators.reward import HASH_SEED, fit_reward, kl_policy, pair_features, score_texts
 
 
 def test_reward_model_learns_separable_pairs(spark):
@@ -39,6 +39,30 @@ def test_reward_model_on_held_out_pairs(spark):
         fit_reward(pairs, bits=19)
 
 
+def _bucket(tok, bits):
+    return int(hashlib.md5(f"{HASH_SEED}:{tok}".encode()).hexdigest()[:8], 16) % (1 << bits)
+
+
+def test_texts_are_counted_inside_their_rows(spark):
+    rows = [("a", "e4 e5  e4", "e5 d4"), ("a", "c4", None), ("b", "x y x", "x x y"), (None, "e4", "d4"), ("c", None, " "), ("d", "", "q q")]
+    df = spark.createDataFrame(rows, "pair_id string, chosen string, rejected string")
+    x = pair_features(df, bits=5)
+    want = {}
+    for k, c, r in rows:
+        n = want.setdefault(k, Counter())
+        n.update(_bucket(t, 5) for t in (c or "").split())
+        n.subtract(_bucket(t, 5) for t in (r or "").split())
+    want = {k: {b: v for b, v in n.items() if v} for k, n in want.items()}
+    assert {r.pair_id: {e.bucket: e.value for e in r.x} for r in x.collect()} == {k: n for k, n in want.items() if n}
+    w = {i: i / 8 - 1 for i in range(32) if i % 3}
+    s = score_texts(df, spark.createDataFrame(list(w.items()), "bucket int, w double"), "pair_id", "chosen", bits=5)
+    total = lambda k: sum(w.get(_bucket(t, 5), 0) for q, c, _ in rows if q == k and k for t in (c or "").split())
+    assert sorted((r.pair_id or "", r.chosen or "", round(r.reward_score, 9)) for r in s.collect()) \
+        == sorted((k or "", c or "", round(total(k), 9)) for k, c, _ in rows)
+    for out in (x, s):      # no row a token: a task's memory would grow with its tokens
+        assert "explode(" not in out._jdf.queryExecution().toString()
+
+
 def test_pair_loss_of_far_apart_scores(spark):
     df = spark.createDataFrame([(-800.0, 0.0), (800.0, 0.0)], "s_chosen double, s_rejected double")
     assert pair_metrics(df).first().loss == 400.0
