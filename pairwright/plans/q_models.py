@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_move_numbers, join_prompt, prompt_or_default
-from ..operators.ordering import materialize
+from ..operators.ordering import materialize, staged
 from ..operators.pairs import (SAN_PATTERN, annotate_moves, attach_scores, build_pairs, candidates, canonical_move,
                                evaluation_moves, first_legal)
 from ..operators.plugins import lexical_variety_scorer, propose_with, recent_move_proposer, score_with
@@ -58,7 +58,7 @@ def _reward_data(spark, sf_dir):
 def reward_fit_eval(spark, sf_dir):
     """M3 + M4 + A11 (rows-only): Bradley-Terry model on hashed tokens fitted on
     90 % of the conversation pairs, pairwise accuracy and loss on the other 10 %."""
-    data = _reward_data(spark, sf_dir)
+    data = staged(_reward_data(spark, sf_dir).select("pair_id", "split", "chosen", "rejected"), "reward-pairs")
     train = data.filter(F.col("split") == "train").select("pair_id", "chosen", "rejected")
     w = fit_reward(train)
     ev = data.filter(F.col("split") == "eval").select("pair_id", "chosen", "rejected")
