@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# a proposer's texts are held for this much of a batch at a time
+PART_ROWS = 500
+PART_CHARS = 1 << 19
+
 Scorer = Callable[[list[str]], list[float]]
 Proposer = Callable[[list[str], int], list[list[str]]]
 
@@ -31,6 +35,18 @@ def score_with(df: DataFrame, text: str, make_scorer: Callable[[], Scorer],
     return df.withColumn(name, _score(F.col(text)))
 
 
+def _parts(b: pd.DataFrame, prompt: str) -> Iterator[pd.DataFrame]:
+    """A batch in runs of rows with at most ``PART_ROWS`` rows and, but for a longer one alone, ``PART_CHARS`` characters."""
+    first = chars = 0
+    for i, size in enumerate(b[prompt].str.len().fillna(0)):
+        if i > first and (i - first == PART_ROWS or chars + size > PART_CHARS):
+            yield b.iloc[first:i]
+            first, chars = i, 0
+        chars += size
+    if len(b) > first:
+        yield b.iloc[first:]
+
+
 def propose_with(df: DataFrame, key: str, prompt: str, make_proposer: Callable[[], Proposer],
                  n: int = 8) -> DataFrame:
     """``n`` generated texts per prompt -> key, text_no (1..n), text, prompt."""
@@ -38,7 +54,7 @@ def propose_with(df: DataFrame, key: str, prompt: str, make_proposer: Callable[[
 
     def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_proposer()  # once per task
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, prompt)):
             texts = fn(b[prompt].fillna("").tolist(), n)
             out = pd.DataFrame({
                 key: b[key].repeat([len(t) for t in texts]).to_numpy(),

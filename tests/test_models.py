@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import ngram as N
-from pairwright.operators.plugins import (lexical_variety_scorer, propose_with, recent_move_proposer,
+from pairwright.operators.plugins import (PART_CHARS, PART_ROWS, lexical_variety_scorer, propose_with, recent_move_proposer,
                                           score_with)
 from pairwright.operators.replay import expert_from_corpus
 from pairwright.operators.report import pair_metrics
@@ -96,6 +96,17 @@ def test_plugins(spark):
     assert [(r.text_no, r.text) for r in p.orderBy("text_no").collect()] == [(1, "e4 e5 Nf3 e5 e5"), (2, "e4 e5 Nf3 e5 Nf3")]
 
 
+def test_proposer_gets_a_bounded_part_of_a_batch(spark):
+    def sizes():
+        return lambda prompts, n: [[f"{len(prompts)} {sum(map(len, prompts))}"] * n for _ in prompts]
+    rows = [(i, None if i % 9 == 0 else "x" * (PART_CHARS if i == 700 else i % 5)) for i in range(2500)]
+    p = propose_with(spark.createDataFrame(rows, "k long, prompt string").coalesce(1), "k", "prompt", sizes, n=2)
+    got = p.select("k", "text_no", "text").collect()
+    assert sorted((r.k, r.text_no) for r in got) == [(i, j) for i in range(2500) for j in (1, 2)]
+    parts = [tuple(map(int, r.text.split())) for r in got]
+    assert max(n for n, _ in parts) <= PART_ROWS and max(c for _, c in parts) <= PART_CHARS
+
+
 def test_ngram_probabilities_and_proposals(spark):
     seqs = spark.createDataFrame([(["a", "b", "a", "c"],), (["a", "b", "d"],)], "moves array<string>")
     m = N.fit_ngrams(seqs, max_ctx=2)
