@@ -27,7 +27,7 @@ def parse_headers(text) -> Column:
     """``[Tag "value"]`` lines -> map<string,string> (duplicate tag: last wins,
     with ``spark.sql.mapKeyDedupPolicy=LAST_WIN``); ``\\"`` and ``\\\\`` unescaped."""
     # the tag block ends at the first blank line: the move text is never searched
-    t = F.substring_index(F.ltrim(F.regexp_replace(_c(text), "\r\n", "\n")), "\n\n", 1)
+    t = F.substring_index(F.ltrim(F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))), "\n\n", 1)
     keys = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 1)
     vals = F.regexp_extract_all(t, F.lit(TAG_PATTERN), 2)
     # unescaping is a per-element lambda: only records holding a backslash pay for it
@@ -73,23 +73,24 @@ def mainline(text) -> Column:
     Drops comments, NAGs, ``!``/``?`` marks, move numbers, the result, nested
     variations of any depth and stray closing brackets; castling written with
     zeros becomes letters.  The common path is a handful of
-    whole-string regex passes on space-normalised text (no look-behind, a
-    single-character split); innermost variations are removed ``REGEX_DEPTH``
+    whole-string regex passes (no look-behind, a single-character split that
+    drops empty tokens); innermost variations are removed ``REGEX_DEPTH``
     times and only records nested deeper take the exact per-token fold.
     """
-    # one pass: comments, NAGs, !/? marks and whitespace runs all become one space
-    t = F.regexp_replace(movetext(text), r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+(?=[\s(){};$]|$)|\s+", " ")
+    # one pass: comments, NAGs, !/? marks and line ends all become a space; the
+    # look-ahead rules most places out by one character, runs of spaces stay
+    t = F.regexp_replace(movetext(text), r"(?=[{;$!?\t\n\x0B\f\r])(?:\{[^}]*\}|;[^\n]*|\$\d+|[!?]+(?=[\s(){};$]|$)|[\t\n\x0B\f\r]+)", " ")
     v = t
     for _ in range(REGEX_DEPTH):
         v = F.regexp_replace(v, INNER_VARIATION, " ")
     v = F.when(v.contains("("), _fold_mainline(v)).otherwise(v)
-    t = F.translate(F.when(t.contains("("), v).otherwise(t), "()", "  ")
+    t = F.when(t.contains("("), F.translate(v, "()", "  ")).when(t.contains(")"), F.translate(t, "()", "  ")).otherwise(t)
     # every token now sits between spaces: " tok1 tok2 ... "
     t = F.concat(F.lit(" "), t, F.lit(" "))
-    t = F.regexp_replace(t, r" \d+\.+| (?:1-0|0-1|1/2-1/2|\*)(?= )", " ")  # move numbers, result
+    t = F.regexp_replace(t, r" (?=[\d*])(?:\d+\.+|(?:1-0|0-1|1/2-1/2|\*)(?= ))", " ")  # move numbers, result
     t = F.when(t.contains(" 0-0"), F.regexp_replace(F.regexp_replace(t, " 0-0-0(?=[+# ])", " O-O-O"),
                                                     " 0-0(?=[+# ])", " O-O")).otherwise(t)
-    return F.array_remove(F.split(F.trim(F.regexp_replace(t, r" {2,}", " ")), " "), "")
+    return F.array_remove(F.split(t, " "), "")
 
 
 def parse_elo(c) -> Column:

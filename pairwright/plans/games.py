@@ -78,12 +78,24 @@ def _movetext_variants() -> list[tuple[int, int, int, str]]:
     return rows
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt evenly to a given number of tasks (merged by size they would be few).
+
+    By all columns: one that repeats or is null does not gather its rows."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *df.columns)
+
+
 def render_games(orders: DataFrame) -> DataFrame:
     """game_id, pgn (one game record per order).
 
     The move text comes from a broadcast lookup of the fixed variant table
     (2 928 rows, independent of the data size) instead of a per-ply lambda.
+    The orders, some tens of bytes a row, are dealt out first: a file or a row
+    group holds far more records than one task should render and parse.
     """
+    orders = dealt(orders)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     spark = orders.sparkSession
     variants = spark.createDataFrame(_movetext_variants(), "_line int, _n int, _bits int, _text string")

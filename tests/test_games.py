@@ -12,6 +12,7 @@ from pairwright.functions import pgn
 from pairwright.functions.text import to_sequence
 from pairwright.operators import quality as Q
 from pairwright.operators.sampling import first_n
+from pairwright.plans.games import parse_games, render_games
 from pairwright.sources.games import INPUT_ORDER, read_game_records, read_games
 
 PGN = os.path.join(FIXTURES, "games.pgn")
@@ -105,12 +106,25 @@ def test_compressed_archive(spark, tmp_path):
 @pytest.mark.parametrize("text, moves", [
     ("1. e4!{good} e5", "e4 e5"), ("1. e4!$1 e5??;odd\n2. Nf3", "e4 e5 Nf3"), ("1. e4 e5) 2. Nf3", "e4 e5 Nf3"),
     ("1. e4 ( 1. d4 ) ) e5", "e4 e5"), ("1. e4 (((((d4)))) e5) c5", "e4 c5"), ("1. 0-0 0-0-0+ 2. 0-0# 0-1", "O-O O-O-O+ O-O#"),
-    ("1. e4 (d4 (c4 (b4 (a4) a5) b5) c5) d5", "e4 d5")])
+    ("1. e4 (d4 (c4 (b4 (a4) a5) b5) c5) d5", "e4 d5"), ("  1.e4\t1...e5  \r\n 2. 1-0 ", "e4 e5"), ("1. e4 {open * e5 3.1-0 *", "e4 {open e5 1-0")])
 def test_main_line(spark, text, moves):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(F.array_join(pgn.mainline("t"), " ")).first()[0] == moves
 
 
+def _orders(spark, n):
+    return spark.range(n).select(
+        F.when(F.col("id") % 4 > 0, F.col("id")).alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+
+
+def test_records_of_one_file_are_parsed_by_several_tasks(spark):
+    # a quarter of the keys is null
+    games = parse_games(render_games(_orders(spark, 4000).coalesce(1)))
+    met = games.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(met) >= 4 and max(r["count"] for r in met) <= 2 * 4000 / len(met)
+
+
 def test_time_rule_rejects_only_known_fast_games(spark):
     rows = [({"TimeControl": "-"}, True), ({}, True), ({"TimeControl": "180+2"}, False), ({"TimeControl": "600"}, True),
             ({"TimeControl": "300+0"}, True)]
