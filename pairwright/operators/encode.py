@@ -45,7 +45,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, moves: str = "moves",
                      .alias("pos", "token"))
     v = vocab.select("token", (F.col("id") + (FIRST_ID - 1)).alias("tid"))
     ided = toks.join(v, "token", "left").withColumn("tid", F.coalesce("tid", F.lit(unk_id)))
-    agg = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("_p"))
+    agg = ided.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_p"))
     ids = F.transform("_p", lambda s: s["tid"].cast("bigint"))
     out = df.select(key).join(agg, key, "left") \
             .withColumn("_ids", F.coalesce(ids, F.array().cast("array<bigint>")))

@@ -10,7 +10,7 @@ from ..functions.hashing import hash32
 from ..functions.text import rl_prompt_len, to_sequence
 from ..operators import encode as E
 from ..operators import quality as Q
-from ..operators.ordering import global_row_number, group_row_number
+from ..operators.ordering import global_row_number, group_row_number, staged
 from ..operators.pairs import dedup_pairs, disagreements, format_pairs
 from ..operators.report import split_sizes
 from ..operators.sampling import exact_split, first_n, hash_split, take_samples
@@ -88,7 +88,8 @@ def rl_prompts(spark, sf_dir):
     encoded and 10 % are held out (L3's cap is query ``head_games``).  ``input_ids`` is shown as
     text here; the library returns ``array<bigint>`` with the declared schema.
     """
-    sft = Q.keep_quality(synthetic_games(spark, sf_dir)).select("game_id", to_sequence("moves").alias("text"))
+    # the vocabulary, the prompts and the join back read the same rows: games are parsed once
+    sft = staged(Q.keep_quality(synthetic_games(spark, sf_dir)).select("game_id", to_sequence("moves").alias("text")), "rl-sft")
     toks = sft.select("game_id", F.split("text", " ").alias("toks"))
     vocab = E.build_vocab(toks.select(F.filter("toks", lambda x: x != "").alias("toks")), "toks")
     plen = rl_prompt_len(F.size("toks"))

@@ -13,6 +13,7 @@ from pairwright.functions.text import to_sequence
 from pairwright.operators import quality as Q
 from pairwright.operators.sampling import first_n
 from pairwright.plans.games import parse_games, render_games
+from pairwright.plans import QUERIES
 from pairwright.sources.games import INPUT_ORDER, read_game_records, read_games
 
 PGN = os.path.join(FIXTURES, "games.pgn")
@@ -125,6 +126,13 @@ def test_records_of_one_file_are_parsed_by_several_tasks(spark):
     assert len(met) >= 4 and max(r["count"] for r in met) <= 2 * 4000 / len(met)
 
 
+def test_rl_prompts_parse_each_game_once(spark, tmp_path):
+    _orders(spark, 400).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    out = QUERIES["rl_prompts"](spark, str(tmp_path))
+    assert out.count() > 10
+    assert "orders.parquet" not in out._jdf.queryExecution().toString()      # the staged rows feed every branch
+
+
 def test_time_rule_rejects_only_known_fast_games(spark):
     rows = [({"TimeControl": "-"}, True), ({}, True), ({"TimeControl": "180+2"}, False), ({"TimeControl": "600"}, True),
             ({"TimeControl": "300+0"}, True)]
