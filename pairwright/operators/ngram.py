@@ -96,6 +96,32 @@ def _gram_task(lo: int, hi: int, chunk: int = CHUNK_TOKENS):
     return run
 
 
+def _follow_task(lo: int, hi: int, chunk: int = CHUNK_TOKENS):
+    """Arrow task: sequences to ctx, nexts, ns -- every context of ``lo`` (1 at least) to ``hi`` tokens, once a chunk,
+    with the different tokens behind it, a space between them, and how often each is there."""
+    def run(batches):
+        for data, starts, sizes, code, words, row, own in _chunks(batches, chunk, hi):
+            begin, gram = np.arange(own), code[:own]
+            for k in range(1, hi + 1):
+                inside = begin + k < len(row)
+                inside[inside] = row[begin[inside]] == row[begin[inside] + k]
+                begin = begin[inside]
+                pair = gram[inside] * np.int64(len(words)) + code[begin + k]
+                value, first, gram, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                if k >= lo and len(first):
+                    i = begin[first]
+                    at = np.flatnonzero(np.diff(value // len(words), prepend=-1))   # equal contexts are side by side
+                    ends = np.append(at[1:], len(value))
+                    size = np.append(0, np.cumsum(sizes[i + k] + 1))                # each with the space behind it
+                    follow = data[np.arange(size[-1]) + np.repeat(starts[i + k] - size[:-1], sizes[i + k] + 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [_pieces(data, starts[i[at]], np.maximum(starts[i[at] + k] - 1 - starts[i[at]], 0)),
+                         _pieces(follow, size[at], size[ends] - 1 - size[at]),
+                         pa.ListArray.from_arrays(pa.array(np.append(at, len(value)), pa.int32()), pa.array(count, pa.int32()))],
+                        ["ctx", "nexts", "ns"])
+    return run
+
+
 def _window_task(lo: int, hi: int, hot: list[str], chunk: int = CHUNK_TOKENS):
     """Arrow task: sequences to head, rest, n -- every token with the ``hi`` tokens after it, once a chunk.
 
@@ -142,22 +168,31 @@ def _single(df: DataFrame, moves: str) -> DataFrame:
     return counts.select(F.lit(0).alias("ctx_len"), F.lit("").alias("ctx"), "next", "count")
 
 
+def _among(rows: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose ctx is among ``contexts``, and the contexts they must still meet once they are counted, if any.
+
+    Few ``contexts`` are broadcast; of more, a Bloom filter holds back most other rows before the shuffle."""
+    wanted = contexts.select("ctx").distinct()
+    n = wanted.count()
+    if n <= BROADCAST_CONTEXTS:
+        return rows.join(F.broadcast(wanted), "ctx", "left_semi"), None
+    bits, words = bloom_filter(wanted, ["ctx"], n)
+    return rows.join(F.broadcast(bits), may_hold(F.col("_bits"), words, [rows["ctx"]]), "left_semi"), wanted
+
+
 def _of_contexts(df: DataFrame, moves: str, lo: int, hi: int, contexts: DataFrame | None) -> DataFrame:
-    """ctx, next, count, the rows of a context in one partition.
-
-    Few ``contexts`` are broadcast; of more, a Bloom filter holds back most other
-    k-grams before the shuffle, and the rest meet the contexts once they are counted."""
-    rows, many = _grams(df, moves, lo, hi), None
-    if contexts is not None:
-        wanted = contexts.filter(F.col("ctx_len") > 0).select("ctx").distinct()
-        n = wanted.count()
-        if n <= BROADCAST_CONTEXTS:
-            rows = rows.join(F.broadcast(wanted), "ctx", "left_semi")
-        else:
-            bits, words = bloom_filter(wanted, ["ctx"], n)
-            rows = rows.join(F.broadcast(bits), may_hold(F.col("_bits"), words, [rows["ctx"]]), "left_semi")
-            many = wanted
-    counts = rows.repartition("ctx").groupBy("ctx", "next").agg(F.sum("n").alias("count"))
+    """ctx, next, count, the rows of a context in one partition; of ``contexts`` alone if there are any.
+
+    A context is then sent once a chunk, with all that follows it."""
+    many = None
+    if contexts is None:
+        rows = _grams(df, moves, lo, hi).repartition("ctx")
+    else:
+        rows = df.select(moves).mapInArrow(_follow_task(lo, hi), "ctx string, nexts string, ns array<int>")
+        rows, many = _among(rows, contexts.filter(F.col("ctx_len") > 0))
+        follow = F.arrays_zip(F.split("nexts", " ").alias("next"), F.col("ns").alias("n"))
+        rows = rows.repartition("ctx").select("ctx", F.inline(follow).alias("next", "n"))
+    counts = rows.groupBy("ctx", "next").agg(F.sum("n").alias("count"))
     return counts if many is None else counts.join(many, "ctx", "left_semi")
 
 
@@ -304,10 +339,9 @@ def sample_n(df: DataFrame, n: int = N_SAMPLES, seed: int = 42, keys=("position_
             .withColumn("_lo", F.coalesce(F.lag("_hi").over(w_order), F.lit(0.0))) \
             .withColumn("_tot", F.max("_hi").over(Window.partitionBy(*keys))) \
             .withColumn("_last", F.lead("_hi").over(w_order).isNull())
-    draws = (df.select(*keys).distinct()
-             .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))))
-    draws = draws.withColumn("_u", unit_hash(seed, key, "draw"))
-    j = draws.join(cum, list(keys))
+    # a group's rows meet its draws where they are: the distribution is read once
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda d: F.struct(d.alias("draw"), unit_hash(seed, key, d).alias("_u")))
+    j = cum.dropna(subset=list(keys)).select(*cum.columns, F.inline(draws))
     hit = (F.col("_u") * F.col("_tot") >= F.col("_lo")) & ((F.col("_u") * F.col("_tot") < F.col("_hi")) | F.col("_last"))
     return j.filter(hit).select(*keys, "draw", item)
 
@@ -348,25 +382,48 @@ def proposal_distribution(prompts: DataFrame, model: DataFrame, moves: str = "mo
 
     Exact top-k under the penalty without scanning whole contexts: only tokens
     of the prompt can drop in rank, so the k best after re-weighting lie in the
-    raw ranks 1 .. k + s, where s = prompt tokens found in the context.  Those
-    ranks are exploded per prompt and equi-joined on (ctx, rank), so a prompt
-    that backs off to the unigram context reads k + s rows, not the vocabulary.
+    raw ranks 1 .. k + s, where s = prompt tokens found there, and end where k
+    others were found.  So a prompt meets the first ranks of its context, one row;
+    the few prompts that hold too many of these tokens meet more ranks of theirs.
+    A prompt that backs off to the unigram context reads no vocabulary.
     Output: key, next, prob.
     """
-    ctx = backoff_lookup(prompts, model, moves, key, max_ctx)
-    # Raw rank inside each context by a distributed sort (a unigram context
-    # holds the whole vocabulary, so a per-context window would be one task).
-    ranked = group_row_number(model, ["ctx_len", "ctx"], [F.col("count").desc(), F.col("next")],
-                              "raw_rank")
-    ptoks = (prompts.select(key, F.explode(F.array_distinct(F.col(moves))).alias("next"))
-             .join(ctx, key))
-    in_ctx = ptoks.join(ranked.select("ctx_len", "ctx", "next"), ["ctx_len", "ctx", "next"], "left_semi")
-    s = in_ctx.groupBy(key).agg(F.count(F.lit(1)).alias("s"))
-    need = (ctx.join(s, key, "left").fillna(0, ["s"])
-            .withColumn("raw_rank", F.explode(F.sequence(F.lit(1), F.lit(k) + F.col("s")))))
-    cand = need.join(ranked, ["ctx_len", "ctx", "raw_rank"]) \
-               .join(in_ctx.withColumn("in_prompt", F.lit(True)).select(key, "next", "in_prompt"),
-                     [key, "next"], "left")
+    own, depth, parts = ["ctx_len", "ctx"], 2 * k, []
+    ctx = staged(backoff_lookup(prompts, model, moves, key, max_ctx), "backoff")
+    words = prompts.select(F.col(key).alias("_key"), F.array_join(F.array_distinct(F.col(moves)), " ").alias("_words"))
+    left, total = ctx, ctx.count()
+    while total or not parts:
+        asked = left.groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
+        known, texts = model, words
+        if parts:
+            asked = staged(asked, "asked")
+            if asked.count() <= BROADCAST_CONTEXTS:
+                known = model.join(F.broadcast(asked.select(*own)), own, "left_semi")
+            if total <= BROADCAST_CONTEXTS:
+                texts = words.join(F.broadcast(left), F.col("_key") == F.col(key), "left_semi")
+        # raw ranks inside each context; the other rows leave before the shuffle
+        ranked = group_row_number(known, own, [F.col("count").desc(), F.col("next")], "raw_rank", first=depth)
+        best = ranked.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("raw_rank", "next", "prob"))).alias("_best"))
+        # a context that many prompts share would be one task: there are few, and their first ranks are broadcast
+        hot = F.broadcast(asked.filter(F.col("n") * (HOT_SHARE * 2 * k) > total * depth).select(*own))
+        met = left.join(hot, own, "left_anti").join(best, own) \
+                  .unionByName(left.join(F.broadcast(best.join(hot, own, "left_semi")), own))
+        # a key that comes again has the tokens of each of its prompts
+        found = F.array_intersect(F.col("_best.next"), F.split("_words", " "))
+        met = met.join(texts, F.col(key) == F.col("_key"), "left").select(key, *own, "_best", found.alias("_found")) \
+                 .groupBy(key).agg(*[F.first(c).alias(c) for c in (*own, "_best")],
+                                   F.flatten(F.collect_list("_found")).alias("_found"))
+        s = F.size(F.array_distinct("_found"))
+        met = staged(met.select(key, *own, F.slice("_best", 1, F.lit(k) + s).alias("_best"), "_found",
+                                ((F.size("_best") < depth) | (F.size("_best") - s >= k)).alias("_all")), "best")
+        parts.append(met.filter("_all").select(key, "_found", F.inline("_best")))
+        left, depth = met.filter(~F.col("_all")).select(key, *own), depth * 8
+        total = left.count()
+    cand = reduce(DataFrame.union, parts)
+    # a token comes once for every prompt of its key that has it, and once if none has
+    times = F.size("_found") - F.size(F.array_remove("_found", F.col("next")))
+    cand = cand.select(key, "next", "prob", (times > 0).alias("in_prompt"),
+                       F.explode(F.array_repeat(F.lit(1), F.greatest(F.lit(1), times))))
     cand = reweight(cand.select(key, "next", "prob", "in_prompt"), t, penalty, keys=(key,))
     cand = top_k(cand, k, keys=(key,), score="prob").drop("rank")
     return renormalise(nucleus(renormalise(cand, (key,)), p, (key,)), (key,))

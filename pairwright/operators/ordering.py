@@ -74,17 +74,24 @@ def global_row_number(df: DataFrame, order, name: str = "rn",
 
 
 def group_row_number(df: DataFrame, keys: list[str], order, name: str = "rn",
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, first: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)``, skew-safe.
 
-    Rows get a global number in (keys, order); the first number of each group
+    ``first`` asks for the numbers up to it alone: every task then drops the other rows
+    before the shuffle (Spark's WindowGroupLimit, up to a threshold of its own).
+
+    Otherwise, rows get a global number in (keys, order); the first number of each group
     comes from a partial-aggregated ``min`` and is joined back.  The join side
     has one row per group; AQE's skew-join splits a hot group on the big side.
     """
+    if first is not None and first <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        w = Window.partitionBy(*keys).orderBy(*_cols(order))
+        few = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= first)
+        return few.withColumn(name, F.col(name).cast("bigint"))
     g = global_row_number(df, [*keys, *_cols(order)], "_g", partitions)
     starts = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
-    return g.join(starts, keys).withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("bigint")) \
-            .drop("_g", "_g0")
+    out = g.join(starts, keys).withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("bigint")).drop("_g", "_g0")
+    return out if first is None else out.filter(F.col(name) <= first)
 
 
 def materialize(df: DataFrame) -> DataFrame:

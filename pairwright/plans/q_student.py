@@ -16,7 +16,7 @@ from ..operators import ngram as N
 from ..operators.pairs import SAN_PATTERN, build_pairs, candidates, first_legal
 from . import bindings as B
 from .registry import BOUNDS, H, SEQS, register
-from ..operators.ordering import materialize
+from ..operators.ordering import staged
 
 _CUT = int(B.PROPOSAL_FRACTION * 4294967296)
 MAX_CTX = 3
@@ -25,15 +25,14 @@ MAX_CTX = 3
 def _parts(spark, sf_dir):
     seqs = B.split_docs(B.doc_sequences(spark, sf_dir))
     p = B.doc_positions(seqs.filter(F.col("split") == "eval").drop("split"))
+    prompts = staged(p.select(F.col("doc_id").alias("position_id"), "lang", "prompt", "expert"), "prompts")
     # the prompt as tokens, recovered from the sampled slice of the sequence
-    prompts = p.select(F.col("doc_id").alias("position_id"), "lang", "prompt", "expert",
-                       F.split("prompt", " ").alias("moves"))
-    prompts = materialize(prompts)   # every step below reads these short rows again
+    prompts = prompts.withColumn("moves", F.split("prompt", " "))
     # only contexts some prompt can back off to are counted (exactly)
     needed = N.backoff_contexts(prompts, max_ctx=MAX_CTX)
     model = N.fit_ngrams(seqs.filter(F.col("split") == "train"), max_ctx=MAX_CTX, contexts=needed)
     # the model feeds the back-off lookup, the ranking and the candidates
-    return seqs, materialize(model), prompts
+    return seqs, staged(model, "model"), prompts
 
 
 def _model_sql(where: str) -> str:

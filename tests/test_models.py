@@ -1,6 +1,7 @@
 """Reward model (M3, M4), KL policy (M5), corpus expert (M6), plug-ins (U2, U3), n-gram student (M1, M2)."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -174,3 +175,105 @@ def test_ngram_chunks(chunk):
                 windows[" ".join([head, *rest.split()[:j]]), rest.split()[j]] += n
     want = Counter((" ".join(r[i - c:i]), r[i]) for r in rows if r for i in range(len(r)) for c in (1, 2) if c <= i)
     assert got == windows == Counter({k: 2 * n for k, n in want.items()})
+
+
+def _distribution(rows, model, k, p, t, penalty, max_ctx):
+    """Prompts (key, moves) to {key: [(next, prob)]}, by loops; a token comes once for every prompt of a key that has it."""
+    keys = {}
+    for key, moves in rows:
+        keys.setdefault(key, []).append(moves)
+    out = {}
+    for key, all_moves in keys.items():
+        ends = [" ".join(m[len(m) - c:]) for m in all_moves for c in range(min(max_ctx, len(m)) + 1)]
+        ctx = max((e for e in ends if e in model), key=lambda e: len(e.split()))
+        total, cands = sum(model[ctx].values()), []
+        for nxt, n in model[ctx].items():
+            times = sum(nxt in m for m in all_moves)
+            cands += [(math.log(n / total) * (penalty if times else 1) / t, nxt)] * max(1, times)
+        cands = [(math.exp(s - max(cands)[0]), nxt) for s, nxt in sorted(cands, key=lambda c: (-c[0], c[1]))[:k]]
+        mass, kept, before = sum(w for w, _ in cands), [], 0.0
+        for w, nxt in cands:
+            if before < p:
+                kept.append((w / mass, nxt))
+            before += w / mass
+        mass = sum(w for w, _ in kept)
+        out[key] = sorted((nxt, round(w / mass, 9)) for w, nxt in kept)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [1000, 0])              # ranks by a window with a limit, and by one distributed sort
+def test_distribution_against_loops(spark, threshold):
+    rng = random.Random(8)
+    words = [f"w{i:03}" for i in range(300)]
+    seqs = [[words[int(300 * rng.random() ** 3)] for _ in range(40)] for _ in range(60)]
+    model = {}
+    for m in seqs:
+        for i in range(len(m)):
+            for c in range(min(i, 2) + 1):
+                model.setdefault(" ".join(m[i - c:i]), Counter())[m[i]] += 1
+    # short prompts, prompts that hold all frequent tokens (of the empty context too), and a key that comes twice
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(1, 9))]) for i in range(60)]
+    rows += [(100 + i, words[:60 * i] + ["unseen"] * (i % 2) + words[:1] * (1 - i % 2)) for i in range(1, 5)]
+    rows += [(200, ["w001", "w000", "w002"])] * 2
+    prompts = spark.createDataFrame(rows, "position_id long, moves array<string>").repartition(3)
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(name, threshold)
+    try:
+        fitted = N.fit_ngrams(spark.createDataFrame([(m,) for m in seqs], "moves array<string>"), max_ctx=2)
+        got = {}
+        for r in N.proposal_distribution(prompts, fitted, k=3, p=0.9, max_ctx=2).collect():
+            got.setdefault(r.position_id, []).append((r.next, round(r.prob, 9)))
+    finally:
+        spark.conf.unset(name)
+    want = _distribution(rows, model, 3, 0.9, N.TEMPERATURE, N.REPETITION_PENALTY, 2)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_distribution_without_prompts_or_contexts(spark):
+    fitted = N.fit_ngrams(spark.createDataFrame([(["a", "b"],)], "moves array<string>"), max_ctx=2)
+    prompts = spark.createDataFrame([(1, ["a"])], "position_id long, moves array<string>")
+    assert N.proposal_distribution(prompts.limit(0), fitted, max_ctx=2).count() == 0
+    assert N.propose(prompts, fitted.limit(0), max_ctx=2).count() == 0
+
+
+def test_distribution_writes_first_ranks_not_the_model(spark, monkeypatch):
+    monkeypatch.setattr("pairwright.operators.ordering.global_row_number", None)     # of a whole table, written out
+    seqs = spark.createDataFrame([([f"t{i}" for i in range(3000)],)], "moves array<string>")
+    prompts = spark.createDataFrame([(i, ["unseen"]) for i in range(5)], "position_id long, moves array<string>")
+    written, keep = [], N.staged
+    monkeypatch.setattr(N, "staged", lambda df, name: written.append(keep(df, name)) or written[-1])
+    d = N.proposal_distribution(prompts, N.fit_ngrams(seqs, max_ctx=0), k=2, p=1.0, max_ctx=0)
+    assert d.count() == 10
+    assert sum(df.count() for df in written) <= 10 and max(len(r._best) for df in written if "_best" in df.columns for r in df.collect()) <= 4
+
+
+def test_draws_read_the_distribution_once(spark):
+    dist = spark.createDataFrame([(1, "a", 0.75), (1, "b", 0.25), (None, "c", 1.0)], "position_id long, next string, prob double")
+    s = N.sample_n(dist, 8)
+    assert s._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert sorted((r.position_id, r.draw) for r in s.collect()) == [(1, i) for i in range(1, 9)]
+
+
+def test_a_context_is_sent_once_with_all_behind_it(spark):
+    seqs = spark.createDataFrame([(["a", "b", "a", "c", "a", "b"],)], "moves array<string>")
+    contexts = spark.createDataFrame([(1, "a")], "ctx_len int, ctx string")
+    m = N.fit_ngrams(seqs, max_ctx=2, min_ctx=1, contexts=contexts)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "nexts" in plan.split("Exchange hashpartitioning(ctx", 1)[1]
+    assert sorted((r.ctx, r.next, r["count"], r.ctx_total) for r in m.collect()) == [("a", "b", 2, 3), ("a", "c", 1, 3)]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_follow_chunks(chunk):
+    rows = [["a", "b", "a"], None, [], ["b"], ["a", "b", "a", "b", "é"], ["日本", "a", "日本", "é"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["moves"])
+    got, want = Counter(), Counter()
+    for out in N._follow_task(1, 3, chunk)([batch, batch]):
+        for ctx, nexts, ns in zip(*(c.to_pylist() for c in out.columns)):
+            assert len(set(nexts.split(" "))) == len(ns)
+            for nxt, n in zip(nexts.split(" "), ns):
+                got[ctx, nxt] += n
+    for out in N._gram_task(1, 3, chunk)([batch, batch]):
+        for ctx, nxt, n in zip(*(c.to_pylist() for c in out.columns)):
+            want[ctx, nxt] += n
+    assert got == want

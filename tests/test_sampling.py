@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators.ordering import global_row_number, group_row_number
@@ -84,3 +85,15 @@ def test_late_positions(spark):
     got = {r.game_id: r.move_index for r in sample_position(df, "game_id", mode="late").collect()}
     assert set(got) == {i for i in range(12) if 5 + i >= 11}
     assert all(10 <= m <= 5 + i - 1 for i, m in got.items())
+
+
+@pytest.mark.parametrize("threshold", [1000, 0])
+def test_first_numbers_of_groups(spark, threshold):
+    df = spark.createDataFrame([("a", v) for v in range(9)] + [("b", 5), (None, 1), (None, 0)], "g string, v long").repartition(3)
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(name, threshold)
+    try:
+        got = {(r.g, r.v, r.rn) for r in group_row_number(df, ["g"], ["v"], "rn", first=2).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got - {(None, 0, 1), (None, 1, 2)} == {("a", 0, 1), ("a", 1, 2), ("b", 5, 1)}
