@@ -267,7 +267,7 @@ def fit_ngrams(df: DataFrame, moves: str = "moves", max_ctx: int = 3,
     if min_ctx == 0:
         # the empty context holds the vocabulary; its total is one number
         single, _ = parts.pop(0)
-        zero = df.agg(F.sum(F.size(moves)).alias("ctx_total")) if min_count == 1 else \
+        zero = df.agg(F.sum(F.size(moves)).alias("ctx_total")) if min_count == 1 and contexts is None else \
             single.agg(F.sum("count").alias("ctx_total"))
         out.append(single.crossJoin(F.broadcast(zero)))
     out += [c.withColumn("ctx_total", F.sum("count").over(Window.partitionBy(*keys))).select(*COUNTS, "ctx_total")

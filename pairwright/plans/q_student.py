@@ -29,7 +29,7 @@ def _parts(spark, sf_dir):
     # the prompt as tokens, recovered from the sampled slice of the sequence
     prompts = prompts.withColumn("moves", F.split("prompt", " "))
     # only contexts some prompt can back off to are counted (exactly)
-    needed = N.backoff_contexts(prompts, max_ctx=MAX_CTX)
+    needed = staged(N.backoff_contexts(prompts, max_ctx=MAX_CTX).select("ctx_len", "ctx").distinct(), "contexts")
     model = N.fit_ngrams(seqs.filter(F.col("split") == "train"), max_ctx=MAX_CTX, contexts=needed)
     # the model feeds the back-off lookup, the ranking and the candidates
     return seqs, staged(model, "model"), prompts

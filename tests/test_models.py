@@ -277,3 +277,11 @@ def test_follow_chunks(chunk):
         for ctx, nxt, n in zip(*(c.to_pylist() for c in out.columns)):
             want[ctx, nxt] += n
     assert got == want
+
+
+def test_total_of_the_empty_context_reads_no_text_again(spark):
+    seqs = spark.createDataFrame([(["a", "b", "a"],), (None,)], "moves array<string>")
+    contexts = spark.createDataFrame([(0, ""), (1, "a")], "ctx_len int, ctx string")
+    m = N.fit_ngrams(seqs, max_ctx=1, contexts=contexts)
+    assert "size(moves" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.ctx, r.next, r["count"], r.ctx_total) for r in m.collect()) == [("", "a", 2, 3), ("", "b", 1, 3), ("a", "b", 1, 1)]
